@@ -15,6 +15,8 @@ DENSE = FeatureConfig(window_size_days=10)
 # The orders table spans years with few orders per customer: three windows of a year.
 YEARLY = FeatureConfig(window_size_days=365)
 
+LINE_FEATURES = ["recency_ratio", "recency_days", "spend_90d", "complaint_ratio", "response_delay_mean", "activity_mean", "tenure_days"]
+
 
 def r6(column: Column | str) -> Column:
     """Six decimals, and no negative zero, for comparison."""
@@ -115,9 +117,10 @@ class Tables:
         )
 
     def contributions(self) -> DataFrame:
-        """One row per prediction and feature."""
+        """One row per prediction and feature: an order's line numbers play the features."""
+        feature = F.element_at(F.array(*[F.lit(n) for n in LINE_FEATURES]), F.col("l_linenumber"))
         return self.read("lineitem").select(
-            F.col("l_orderkey").alias("pred_id"), F.col("l_linenumber").alias("slot"), F.concat("l_returnflag", "l_linestatus").alias("feature"),
+            F.col("l_orderkey").alias("pred_id"), F.col("l_linenumber").alias("slot"), feature.alias("feature"),
             F.round(F.col("l_discount") - F.col("l_tax"), 4).alias("contribution"), F.col("l_quantity").alias("value"),
         )
 
@@ -193,8 +196,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "latest": (("predictions",), """
         SELECT p.* FROM predictions p JOIN (SELECT customer_id, max(created_at) AS m FROM predictions GROUP BY 1) x
         ON x.customer_id = p.customer_id AND x.m = p.created_at"""),
-    "contributions": ((), """
-        SELECT l_orderkey AS pred_id, l_linenumber AS slot, l_returnflag || l_linestatus AS feature,
+    "contributions": ((), f"""
+        SELECT l_orderkey AS pred_id, l_linenumber AS slot, {LINE_FEATURES!r}[l_linenumber] AS feature,
                round(l_discount - l_tax, 4) AS contribution, l_quantity AS value FROM lineitem"""),
     "actions": ((), """
         SELECT o_orderkey AS action_id, o_custkey AS customer_id,
