@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ebbtide.session import cut_lineage
+
 BUCKETS = 200
 
 
@@ -83,3 +85,22 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -
         F.max(F.col("pos") - low).alias("frac"),
     )
     return picked.select(group, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("quantile"))
+
+
+def global_position(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
+    """Zero-based position in the global order of ``order`` (unique together), for any sortable type.
+
+    Rows are range-partitioned and sorted inside partitions, then written to checkpoint storage
+    so that partitions stay as they are; partition sizes give the offsets.
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    numbered = placed.withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    sizes = {r["_pid"]: r["n"] for r in numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}  # one number per partition
+    start, offsets = 0, []
+    for pid in range(max(sizes, default=-1) + 1):
+        offsets.append(start)
+        start += sizes.get(pid, 0)
+    offset = F.element_at(F.lit(offsets or [0]), F.col("_pid") + 1).cast("bigint")
+    return numbered.withColumn(out, F.col("_in") + offset).drop("_pid", "_in")

@@ -51,7 +51,9 @@ def date_array(dates: Dates) -> Column:
 
 
 def customer_spine(customers: DataFrame, dates: Dates) -> DataFrame:
-    """One row per customer and as-of date."""
+    """One row per customer and as-of date; a frame that already has the date column is taken as the spine."""
+    if AS_OF in customers.columns:
+        return customers
     return customers.withColumn(AS_OF, F.explode(date_array(dates)))
 
 
@@ -210,7 +212,7 @@ def numeric_features(
 ) -> DataFrame:
     """Recency, 30/90-day counts and spend, mean value and tenure; plus the series for D4-D12."""
     daily = daily_transactions(transactions, max(dates))
-    spine = customer_spine(customers.select(CID, "created_at"), dates)
+    spine = customer_spine(customers, dates).select(CID, AS_OF, "created_at")
     joined = spine.join(transaction_windows(daily, dates, config, wide_days=wide_days), [CID, AS_OF], "left").join(
         purchase_history(daily, dates), [CID, AS_OF], "left"
     )
@@ -268,7 +270,7 @@ def text_signals(
 ) -> DataFrame:
     """D3: message counts, complaint rate, mean length, mean reply delay and volatility."""
     daily = daily_messages(trusted)
-    spine = customer_spine(customers.select(CID), dates)
+    spine = customer_spine(customers, dates).select(CID, AS_OF)
     sums = _fan_out(daily, dates, days).groupBy(CID, AS_OF).agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("day") >= _days_before(7), F.col("n"))).alias("n7"),
@@ -368,7 +370,7 @@ def feature_vector(
     text_days = config.window_size_days if verified else 30
     signals = text_signals(customers, trusted, dates, text_days, "active" if verified else "calendar")
     msg_series = windowed_series(daily_messages(trusted), dates, config, {"msg_series": "n"})
-    spine = customer_spine(customers.select(CID), dates)
+    spine = customer_spine(customers, dates).select(CID, AS_OF)
     sentiment = sentiment_features(spine, semantics, dates, prior_days)
     joined = (
         derived_features(numeric, config)
