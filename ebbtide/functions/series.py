@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +84,51 @@ def safe_ratio(current: Column, prior: Column, config: FeatureConfig) -> Column:
         .when(prior == 0, F.lit(config.ratio_cap))
         .otherwise(F.least(F.lit(config.ratio_cap), F.try_divide(current, prior)))
     )
+
+
+# ---------------------------------------------------------------------------------------------
+# The same on a fixed number of window columns: plain arithmetic that stays in generated code
+# ---------------------------------------------------------------------------------------------
+def total_of(values: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, values)
+
+
+def mean_of(values: list[Column]) -> Column:
+    return total_of(values) / float(len(values))
+
+
+def smooth_of(values: list[Column], config: FeatureConfig) -> list[Column]:
+    """D18 on window columns (oldest first)."""
+    if len(values) <= 1:
+        return list(values)
+    if config.smoothing_method == "ema":
+        out = [values[0]]
+        for v in values[1:]:
+            out.append(v * config.alpha + out[-1] * (1 - config.alpha))
+        return out
+    w = config.smoothing_window
+    return [mean_of(values[max(0, i - w + 1) : i + 1]) for i in range(len(values))]
+
+
+def slope_of(values: list[Column]) -> Column:
+    """D8 on window columns: weights are the centred positions."""
+    n = len(values)
+    if n < 2:
+        return F.lit(0.0)
+    weighted = [v * (i - (n - 1) / 2) for i, v in enumerate(values) if i != (n - 1) / 2]
+    return total_of(weighted) / (n * (n * n - 1) / 12)
+
+
+def std_of(values: list[Column]) -> Column:
+    if len(values) < 2:
+        return F.lit(0.0)
+    mean = mean_of(values)
+    return F.sqrt(mean_of([(v - mean) * (v - mean) for v in values]))
+
+
+def capped_cv_of(values: list[Column], config: FeatureConfig) -> Column:
+    """D10 on window columns."""
+    if len(values) < 2:
+        return F.lit(0.0)
+    mean = mean_of(values)
+    return F.when(mean >= config.min_activity_threshold, F.least(F.lit(config.cv_cap), F.try_divide(std_of(values), mean))).otherwise(F.lit(0.0))

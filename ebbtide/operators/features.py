@@ -158,53 +158,56 @@ def zero_series(column: str, config: FeatureConfig) -> Column:
     return F.coalesce(F.col(column), F.array(*[F.lit(0.0)] * config.activity_windows))
 
 
-def transaction_windows(daily: DataFrame, dates: Dates, config: FeatureConfig, bounds: str = "inclusive", wide_days: int = 90) -> DataFrame:
-    """Everything D1 and D4 need from the look-back in one aggregation."""
-    fanned = _fan_out(daily, dates, max(wide_days, config.lookback_days))
-    aggs = []
-    for days in sorted({30, wide_days}):
-        recent = F.col("day") >= _days_before(days)
-        aggs += [
-            F.sum(F.when(recent, F.col("n"))).alias(f"tx_count_{days}"),
-            F.sum(F.when(recent, F.col("spend"))).cast("double").alias(f"spend_{days}"),
-        ]
-    for i in range(config.activity_windows):
-        hit = in_window(i, config, bounds)
-        aggs += [
-            F.coalesce(F.sum(F.when(hit, F.col("n"))).cast("double"), F.lit(0.0)).alias(f"_n_{i}"),
-            F.coalesce(F.sum(F.when(hit, F.col("spend"))).cast("double"), F.lit(0.0)).alias(f"_s_{i}"),
-        ]
-    wide = fanned.groupBy(CID, AS_OF).agg(*aggs)
-    span = range(config.activity_windows)
-    return wide.withColumns(
-        {"tx_series": F.array(*[f"_n_{i}" for i in span]), "spend_series": F.array(*[f"_s_{i}" for i in span])}
-    ).drop(*[f"_n_{i}" for i in span], *[f"_s_{i}" for i in span])
-
-
-def purchase_history(daily: DataFrame, dates: Dates) -> DataFrame:
-    """D12 and recency: last purchase day and mean gap between purchases up to each as-of date.
+def purchase_windows(daily: DataFrame, dates: Dates, config: FeatureConfig, bounds: str = "inclusive", wide_days: int = 90) -> DataFrame:
+    """Look-back sums (D1, D4) and life-time values (recency, D12) per customer and as-of date, in one pass.
 
-    Gaps count whole elapsed 24 h blocks. Two purchases on one day are less than a block apart,
-    so only the gap from the last time of one active day to the first of the next can count.
+    A day row goes to the as-of dates whose look-back holds the day and to those it is the newest
+    purchase day of. Gaps between purchases count whole elapsed 24 h blocks: two purchases on one
+    day are less than a block apart, so only the gap from the last time of one active day to the
+    first of the next can count, and running sums over active days give the mean gap.
     """
     w = Window.partitionBy(CID).orderBy("day")
     running = w.rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.expr("extract(DAY FROM (first_ts - _prev_ts))")
     rows = (
-        daily.withColumn("_prev_ts", F.lag("last_ts").over(w))
-        .withColumn("_gap", F.coalesce(gap, F.lit(0)))
-        .select(
-            CID, "day",
-            F.sum("_gap").over(running).alias("gap_days"),
-            F.sum("n").over(running).alias("purchases"),
-        )
-    )
-    return _valid_at(rows, "day", dates).select(
-        CID, AS_OF,
-        F.col("day").alias("last_tx_day"),
-        "purchases",
-        F.coalesce(F.try_divide(F.col("gap_days").cast("double"), F.col("purchases") - 1), F.lit(0.0)).alias("avg_interpurchase_days"),
+        daily.withColumns({"_prev_ts": F.lag("last_ts").over(w), "_next": F.lead("day").over(w)})
+        .withColumn("_gap", F.coalesce(F.expr("extract(DAY FROM (first_ts - _prev_ts))"), F.lit(0)))
+        .select(CID, "day", "n", "spend", "_next", F.sum("_gap").over(running).alias("_gaps"), F.sum("n").over(running).alias("_buys"))
     )
+    lookback = max(wide_days, config.lookback_days)
+
+    def wanted(a: Column) -> Column:
+        recent = F.col("day") >= F.date_sub(a, lookback)
+        return (F.col("day") <= a) & (recent | F.col("_next").isNull() | (a < F.col("_next")))
+
+    fanned = rows.withColumn(AS_OF, F.explode(F.filter(date_array(dates), wanted)))
+    newest = F.col("_next").isNull() | (F.col(AS_OF) < F.col("_next"))
+    aggs = [F.max(F.when(newest, F.col(c))).alias(out) for c, out in (("day", "last_tx_day"), ("_gaps", "gap_days"), ("_buys", "purchases"))]
+    for days in sorted({30, wide_days}):
+        recent = F.col("day") >= _days_before(days)
+        aggs += [F.sum(F.when(recent, F.col("n"))).alias(f"tx_count_{days}"), F.sum(F.when(recent, F.col("spend"))).cast("double").alias(f"spend_{days}")]
+    for i in range(config.activity_windows):
+        hit = in_window(i, config, bounds)
+        aggs += [F.sum(F.when(hit, F.col("n"))).cast("double").alias(f"_n_{i}"), F.sum(F.when(hit, F.col("spend"))).cast("double").alias(f"_s_{i}")]
+    return fanned.groupBy(CID, AS_OF).agg(*aggs)
+
+
+def _numeric_columns(config: FeatureConfig, wide_days: int) -> dict[str, Column]:
+    """D1 columns over a spine left-joined to :func:`purchase_windows`."""
+    count_w, spend_w = F.coalesce(f"tx_count_{wide_days}", F.lit(0)), F.coalesce(f"spend_{wide_days}", F.lit(0.0))
+    gap = F.try_divide(F.col("gap_days").cast("double"), F.col("purchases") - 1)
+    span = range(config.activity_windows)
+    return {
+        "recency_days": F.coalesce(F.datediff(AS_OF, "last_tx_day"), F.lit(NEVER_BOUGHT_RECENCY)),
+        "tx_count_30d": F.coalesce("tx_count_30", F.lit(0)),
+        "tx_count_90d": count_w,
+        "spend_30d": F.coalesce("spend_30", F.lit(0.0)),
+        "spend_90d": spend_w,
+        "avg_tx_value": F.coalesce(F.try_divide(spend_w, count_w.cast("double")), F.lit(0.0)),
+        "tenure_days": F.coalesce(F.greatest(F.datediff(AS_OF, F.to_date("created_at")), F.lit(0)), F.lit(0)),
+        "avg_interpurchase_days": F.coalesce(gap, F.lit(0.0)),
+        "tx_series": F.array(*[F.coalesce(f"_n_{i}", F.lit(0.0)) for i in span]),
+        "spend_series": F.array(*[F.coalesce(f"_s_{i}", F.lit(0.0)) for i in span]),
+    }
 
 
 def numeric_features(
@@ -213,24 +216,8 @@ def numeric_features(
     """Recency, 30/90-day counts and spend, mean value and tenure; plus the series for D4-D12."""
     daily = daily_transactions(transactions, max(dates))
     spine = customer_spine(customers, dates).select(CID, AS_OF, "created_at")
-    joined = spine.join(transaction_windows(daily, dates, config, wide_days=wide_days), [CID, AS_OF], "left").join(
-        purchase_history(daily, dates), [CID, AS_OF], "left"
-    )
-    count_w, spend_w = F.coalesce(f"tx_count_{wide_days}", F.lit(0)), F.coalesce(f"spend_{wide_days}", F.lit(0.0))
-    tenure = F.datediff(AS_OF, F.to_date("created_at"))
-    return joined.select(
-        CID, AS_OF,
-        F.coalesce(F.datediff(AS_OF, "last_tx_day"), F.lit(NEVER_BOUGHT_RECENCY)).alias("recency_days"),
-        F.coalesce("tx_count_30", F.lit(0)).alias("tx_count_30d"),
-        count_w.alias("tx_count_90d"),
-        F.coalesce("spend_30", F.lit(0.0)).alias("spend_30d"),
-        spend_w.alias("spend_90d"),
-        F.coalesce(F.try_divide(spend_w, count_w.cast("double")), F.lit(0.0)).alias("avg_tx_value"),
-        F.coalesce(F.greatest(tenure, F.lit(0)), F.lit(0)).alias("tenure_days"),
-        F.coalesce("avg_interpurchase_days", F.lit(0.0)).alias("avg_interpurchase_days"),
-        zero_series("tx_series", config).alias("tx_series"),
-        zero_series("spend_series", config).alias("spend_series"),
-    )
+    joined = spine.join(purchase_windows(daily, dates, config, wide_days=wide_days), [CID, AS_OF], "left")
+    return joined.select(CID, AS_OF, *[c.alias(n) for n, c in _numeric_columns(config, wide_days).items()])
 
 
 def rfm_scores(numeric: DataFrame) -> DataFrame:
@@ -264,38 +251,67 @@ def msg_volatility(daily: DataFrame, dates: Dates, mode: str = "calendar", days:
     return sums.select(CID, AS_OF, _calendar_std(F.col("s"), F.col("ss"), span).alias("msg_volatility"))
 
 
+def message_windows(daily: DataFrame, dates: Dates, days: int = 30, config: FeatureConfig | None = None) -> DataFrame:
+    """Sums behind the text signals of the last ``days`` days and, with ``config``, the window counts, in one pass."""
+    fanned = _fan_out(daily, dates, max(days, config.lookback_days) if config else days)
+    recent = F.col("day") >= _days_before(days)
+
+    def recent_sum(column: Column | str) -> Column:
+        return F.sum(F.when(recent, F.col(column) if isinstance(column, str) else column))
+
+    aggs = [recent_sum(c).alias(c) for c in ("n", "complaints", "len_sum", "len_n", "delay_sum", "delay_n", "delay_all_n")]
+    aggs += [
+        F.sum(F.when(F.col("day") >= _days_before(7), F.col("n"))).alias("n7"),
+        recent_sum(F.col("n") * F.col("n")).alias("squares"),
+        F.count_if(recent).alias("active_days"),
+    ]
+    if config:
+        aggs += [F.sum(F.when(in_window(i, config, "inclusive"), F.col("n"))).cast("double").alias(f"_m_{i}") for i in range(config.activity_windows)]
+    return fanned.groupBy(CID, AS_OF).agg(*aggs)
+
+
+def _signal_columns(days: int, volatility: str, delay_ignores_zero: bool = True) -> dict[str, Column]:
+    """D3 columns over a spine left-joined to :func:`message_windows`."""
+    def mean(top: str, under: str) -> Column:
+        return F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(under).cast("double")), F.lit(0.0))
+
+    span = F.lit(days + 1) if volatility == "calendar" else F.nullif("active_days", F.lit(0))
+    return {
+        "msg_count_7d": F.coalesce("n7", F.lit(0)),
+        "msg_count_30d": F.coalesce("n", F.lit(0)),
+        "complaint_rate_30d": mean("complaints", "n"),
+        "avg_msg_length_30d": mean("len_sum", "len_n"),
+        "response_delay_mean": mean("delay_sum", "delay_n" if delay_ignores_zero else "delay_all_n"),
+        "msg_volatility": F.coalesce(_calendar_std(F.col("n"), F.col("squares"), span), F.lit(0.0)),
+    }
+
+
 def text_signals(
     customers: DataFrame, trusted: DataFrame, dates: Dates, days: int = 30, volatility: str = "calendar",
     delay_ignores_zero: bool = True,
 ) -> DataFrame:
     """D3: message counts, complaint rate, mean length, mean reply delay and volatility."""
-    daily = daily_messages(trusted)
     spine = customer_spine(customers, dates).select(CID, AS_OF)
-    sums = _fan_out(daily, dates, days).groupBy(CID, AS_OF).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.when(F.col("day") >= _days_before(7), F.col("n"))).alias("n7"),
-        F.sum("complaints").alias("complaints"),
-        F.sum("len_sum").alias("len_sum"),
-        F.sum("len_n").alias("len_n"),
-        F.sum("delay_sum").alias("delay_sum"),
-        F.sum("delay_n" if delay_ignores_zero else "delay_all_n").alias("delay_n"),
-        F.sum(F.col("n") * F.col("n")).alias("ss"),
-        F.count(F.lit(1)).alias("k"),
-    )
-    span = F.lit(days + 1) if volatility == "calendar" else F.col("k")
+    joined = spine.join(message_windows(daily_messages(trusted), dates, days), [CID, AS_OF], "left")
+    return joined.select(CID, AS_OF, *[c.alias(n) for n, c in _signal_columns(days, volatility, delay_ignores_zero).items()])
 
-    def mean(top: str, under: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(top).cast("double"), F.col(under).cast("double")), F.lit(0.0))
 
-    return spine.join(sums, [CID, AS_OF], "left").select(
-        CID, AS_OF,
-        F.coalesce("n7", F.lit(0)).alias("msg_count_7d"),
-        F.coalesce("n", F.lit(0)).alias("msg_count_30d"),
-        mean("complaints", "n").alias("complaint_rate_30d"),
-        mean("len_sum", "len_n").alias("avg_msg_length_30d"),
-        mean("delay_sum", "delay_n").alias("response_delay_mean"),
-        F.coalesce(_calendar_std(F.col("n"), F.col("ss"), span), F.lit(0.0)).alias("msg_volatility"),
-    )
+def _sentiment_parts(semantics: DataFrame, dates: Dates, prior_days: int, current_as_of: bool) -> tuple[DataFrame, DataFrame]:
+    """Current and prior score per customer and as-of date, as columns ``_now`` and ``_prior``."""
+    scores = semantics.select(CID, F.col(AS_OF).alias("snap"), "avg_sentiment_score")
+    prior = _valid_at(scores, "snap", dates, prior_days).select(CID, AS_OF, F.col("avg_sentiment_score").alias("_prior"))
+    if current_as_of:
+        current = _valid_at(scores, "snap", dates).select(CID, AS_OF, F.col("avg_sentiment_score").alias("_now"))
+    else:
+        wanted = [F.lit(d) for d in sorted(set(dates))]
+        current = scores.filter(F.col("snap").isin(*wanted)).select(CID, F.col("snap").alias(AS_OF), F.col("avg_sentiment_score").alias("_now"))
+    return current, prior
+
+
+def _sentiment_columns() -> dict[str, Column]:
+    now = F.coalesce("_now", F.lit(0.0))
+    before = F.when(F.col("_now").isNotNull(), F.coalesce("_prior", F.lit(0.0))).otherwise(F.lit(0.0))
+    return {"avg_sentiment_score": now, "sentiment_trend": now - before}
 
 
 def sentiment_features(spine: DataFrame, semantics: DataFrame, dates: Dates, prior_days: int = 30, current_as_of: bool = False) -> DataFrame:
@@ -304,16 +320,9 @@ def sentiment_features(spine: DataFrame, semantics: DataFrame, dates: Dates, pri
     A prior snapshot without a score counts as 0; nothing older is consulted. With
     ``current_as_of`` the current score is looked up as-of as well (training variant).
     """
-    scores = semantics.select(CID, F.col(AS_OF).alias("snap"), "avg_sentiment_score")
-    prior = _valid_at(scores, "snap", dates, prior_days).select(CID, AS_OF, F.col("avg_sentiment_score").alias("_prior"))
-    if current_as_of:
-        current = _valid_at(scores, "snap", dates).select(CID, AS_OF, F.col("avg_sentiment_score").alias("_now"))
-    else:
-        current = scores.select(CID, F.col("snap").alias(AS_OF), F.col("avg_sentiment_score").alias("_now"))
+    current, prior = _sentiment_parts(semantics, dates, prior_days, current_as_of)
     joined = spine.select(CID, AS_OF).join(current, [CID, AS_OF], "left").join(prior, [CID, AS_OF], "left")
-    prior_score = F.when(F.col("_now").isNotNull(), F.coalesce("_prior", F.lit(0.0))).otherwise(F.lit(0.0))
-    now = F.coalesce("_now", F.lit(0.0))
-    return joined.select(CID, AS_OF, now.alias("avg_sentiment_score"), (now - prior_score).alias("sentiment_trend"))
+    return joined.select(CID, AS_OF, *[c.alias(n) for n, c in _sentiment_columns().items()])
 
 
 def live_sentiment_windows(scored_messages: DataFrame, as_of: dt.date, days: int = 30, cap: int = 20) -> DataFrame:
@@ -340,19 +349,28 @@ def live_sentiment_windows(scored_messages: DataFrame, as_of: dt.date, days: int
 # ---------------------------------------------------------------------------------------------
 # The 20-feature vector
 # ---------------------------------------------------------------------------------------------
+def window_items(series: str, config: FeatureConfig) -> list[Column]:
+    return [F.col(series)[i] for i in range(config.activity_windows)]
+
+
 def derived_features(base: DataFrame, config: FeatureConfig) -> DataFrame:
-    """Trends, magnitude, volatility, ratio and interaction from the window series."""
-    freq = S.trend_slope(S.smooth(F.col("tx_series"), config))
+    """Trends, magnitude, volatility, ratio and interaction from the window series.
+
+    The number of windows is fixed by the configuration, so everything is plain arithmetic on
+    window columns.
+    """
+    tx, spend = window_items("tx_series", config), window_items("spend_series", config)
+    freq, mean = S.slope_of(S.smooth_of(tx, config)), S.mean_of(tx)
     return base.withColumns({
         "recency_ratio": S.safe_ratio(F.col("recency_days").cast("double"), F.col("avg_interpurchase_days"), config),
         "frequency_trend_smoothed": freq,
-        "spend_trend_smoothed": S.trend_slope(S.smooth(F.col("spend_series"), config)),
-        "activity_mean": S.array_mean(F.col("tx_series")),
-        "recent_activity_avg": F.element_at("tx_series", -1),
-        "activity_std": S.std_pop(F.col("tx_series")),
-        "activity_cv": S.capped_cv(F.col("tx_series"), config),
-        "spend_volatility_cv": S.capped_cv(F.col("spend_series"), config),
-        "trend_magnitude_interaction": freq * S.array_mean(F.col("tx_series")),
+        "spend_trend_smoothed": S.slope_of(S.smooth_of(spend, config)),
+        "activity_mean": mean,
+        "recent_activity_avg": tx[-1],
+        "activity_std": S.std_of(tx),
+        "activity_cv": S.capped_cv_of(tx, config),
+        "spend_volatility_cv": S.capped_cv_of(spend, config),
+        "trend_magnitude_interaction": freq * mean,
     })
 
 
@@ -363,24 +381,27 @@ def feature_vector(
     """The 20 features in schema order per customer and as-of date.
 
     ``persisted`` uses the fixed 30/90-day look-backs and the calendar volatility; ``verified``
-    ties the look-back and the text window to ``config`` and uses active-day volatility.
+    ties the look-back and the text window to ``config`` and uses active-day volatility. One spine
+    is joined to one aggregate of purchases, one of messages and two of sentiment snapshots, all
+    on the same keys.
     """
     verified = mode == "verified"
-    numeric = numeric_features(customers, transactions, dates, config, config.lookback_days if verified else 90)
+    wide_days = config.lookback_days if verified else 90
     text_days = config.window_size_days if verified else 30
-    signals = text_signals(customers, trusted, dates, text_days, "active" if verified else "calendar")
-    msg_series = windowed_series(daily_messages(trusted), dates, config, {"msg_series": "n"})
-    spine = customer_spine(customers, dates).select(CID, AS_OF)
-    sentiment = sentiment_features(spine, semantics, dates, prior_days)
+    spine = customer_spine(customers, dates).select(CID, AS_OF, "created_at")
+    current, prior = _sentiment_parts(semantics, dates, prior_days, False)
     joined = (
-        derived_features(numeric, config)
-        .join(signals, [CID, AS_OF])
-        .join(msg_series, [CID, AS_OF], "left")
-        .join(sentiment, [CID, AS_OF])
-        .withColumn("msg_trend_smoothed", S.trend_slope(S.smooth(zero_series("msg_series", config), config)))
-        .withColumnRenamed("complaint_rate_30d", "complaint_ratio")
+        spine.join(purchase_windows(daily_transactions(transactions, max(dates)), dates, config, wide_days=wide_days), [CID, AS_OF], "left")
+        .join(message_windows(daily_messages(trusted), dates, text_days, config), [CID, AS_OF], "left")
+        .join(current, [CID, AS_OF], "left")
+        .join(prior, [CID, AS_OF], "left")
     )
-    return joined.select(
+    columns = _numeric_columns(config, wide_days) | _signal_columns(text_days, "active" if verified else "calendar") | _sentiment_columns()
+    messages = [F.coalesce(f"_m_{i}", F.lit(0.0)) for i in range(config.activity_windows)]
+    columns["msg_trend_smoothed"] = S.slope_of(S.smooth_of(messages, config))
+    base = joined.select(CID, AS_OF, *[c.alias(n) for n, c in columns.items()])
+    full = derived_features(base, config).withColumnRenamed("complaint_rate_30d", "complaint_ratio")
+    return full.select(
         CID, AS_OF,
         *[F.col(name).cast("double").alias(name) for name in FEATURE_NAMES],
         F.col("msg_count_30d").alias("trusted_feedback_used"),

@@ -14,7 +14,7 @@ from ebbtide.operators import explain as X
 from ebbtide.operators import features as D
 from ebbtide.operators import training as TR
 from ebbtide.plans.bindings import YEARLY, Tables, add_cte, r6
-from ebbtide.plans.q_features import VECTOR_SQL, dense_vector, feature_ctes
+from ebbtide.plans.q_features import VECTOR_SQL, dense_vector, feature_ctes, rounded
 from ebbtide.plans.q_ingest import vector_tables
 from ebbtide.plans.registry import query
 from ebbtide.session import cut_lineage
@@ -173,16 +173,24 @@ def _(t):
 # ---------------------------------------------------------------------------------------------
 # Feature profiles
 # ---------------------------------------------------------------------------------------------
+add_cte("vec_6", "vec_e", f"SELECT customer_id, as_of_date, {VECTOR_SQL} FROM vec_e")
+
+
+def _profiled(t: Tables):
+    """Features with six decimals, so that sums which are zero count as zero on both sides."""
+    return rounded(dense_vector(t))
+
+
 def _long(t: Tables, *keep: str):
-    return TR.unpivot(dense_vector(t), FEATURE_NAMES, *keep)
+    return TR.unpivot(_profiled(t), FEATURE_NAMES, *keep)
 
 
-_LONG = _unpivot("vec_e")
+_LONG = _unpivot("vec_6")
 
 
 @query("describe_features", f"""
     SELECT feature, count(value) AS count, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min, round(quantile_cont(value, 0.25), 6) + 0.0 AS p25,
-           round(quantile_cont(value, 0.5), 6) + 0.0 AS p50, round(quantile_cont(value, 0.75), 6) + 0.0 AS p75, round(max(value), 6) + 0.0 AS max FROM ({_LONG}) GROUP BY 1""", "vec_e")
+           round(quantile_cont(value, 0.5), 6) + 0.0 AS p50, round(quantile_cont(value, 0.75), 6) + 0.0 AS p75, round(max(value), 6) + 0.0 AS max FROM ({_LONG}) GROUP BY 1""", "vec_6")
 def _(t):
     out = V.describe_features(cut_lineage(_long(t)))
     return out.select("feature", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
@@ -190,36 +198,36 @@ def _(t):
 
 @query("feature_histogram", f"""
     WITH l AS ({_LONG}), s AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM l GROUP BY 1)
-    SELECT feature, CAST(CASE WHEN hi = lo THEN 15 ELSE least(floor((value - lo) / (hi - lo) * 30), 29) END AS INTEGER) AS bin, count(*) AS count FROM l JOIN s USING (feature) GROUP BY 1, 2""", "vec_e")
+    SELECT feature, CAST(CASE WHEN hi = lo THEN 15 ELSE least(floor((value - lo) / (hi - lo) * 30), 29) END AS INTEGER) AS bin, count(*) AS count FROM l JOIN s USING (feature) GROUP BY 1, 2""", "vec_6")
 def _(t):
     return V.histogram(_long(t))
 
 
 @query("group_comparison", f"""
-    WITH l AS ({_unpivot("vec_e", "CASE WHEN recency_days > (SELECT median(recency_days) FROM vec_e) THEN 1 ELSE 0 END AS label,")}),
+    WITH l AS ({_unpivot("vec_6", "CASE WHEN recency_days > (SELECT median(recency_days) FROM vec_6) THEN 1 ELSE 0 END AS label,")}),
     g AS (SELECT feature, avg(value) FILTER (label = 0) AS low_mean, avg(value) FILTER (label = 1) AS high_mean, stddev_samp(value) FILTER (label = 0) AS low_std, stddev_samp(value) FILTER (label = 1) AS high_std FROM l GROUP BY 1)
     SELECT feature, round(low_mean, 6) + 0.0 AS low_mean, round(high_mean, 6) + 0.0 AS high_mean, round(low_std, 6) + 0.0 AS low_std, round(high_std, 6) + 0.0 AS high_std,
-           round((high_mean - low_mean) / nullif(low_mean, 0) * 100, 4) + 0.0 AS diff_pct FROM g""", "vec_e")
+           round((high_mean - low_mean) / nullif(low_mean, 0) * 100, 4) + 0.0 AS diff_pct FROM g""", "vec_6")
 def _(t):
-    marked = V.proxy_label(cut_lineage(dense_vector(t).withColumn("recency_days", F.when(F.col("customer_id").isNotNull(), F.col("recency_days")))))
+    marked = V.proxy_label(cut_lineage(_profiled(t)))
     out = V.group_comparison(TR.unpivot(marked, FEATURE_NAMES, "label"))
     return out.select("feature", *[r6(c).alias(c) for c in ("low_mean", "high_mean", "low_std", "high_std")], (F.round("diff_pct", 4) + 0.0).alias("diff_pct"))
 
 
 _CORR = f"""
-    WITH l AS (SELECT customer_id, feature, value, list_position({list(FEATURE_NAMES)}, feature) AS i FROM ({_unpivot("vec_e", "customer_id,")}))
+    WITH l AS (SELECT customer_id, feature, value, list_position({list(FEATURE_NAMES)}, feature) AS i FROM ({_unpivot("vec_6", "customer_id,")}))
     SELECT feature_1, feature_2, round(c, 4) AS correlation FROM (SELECT a.feature AS feature_1, b.feature AS feature_2, corr(a.value, b.value) AS c FROM l a JOIN l b ON b.customer_id = a.customer_id AND a.i < b.i GROUP BY 1, 2)
     WHERE c IS NOT NULL AND NOT isnan(c) AND abs(c) > LIMIT_HERE"""
 for _name, _limit in (("correlations", 0.95), ("correlations_moderate", 0.5)):
-    @query(_name, _CORR.replace("LIMIT_HERE", str(_limit)), "vec_e")
+    @query(_name, _CORR.replace("LIMIT_HERE", str(_limit)), "vec_6")
     def _(t, limit=_limit):
-        return V.correlations(dense_vector(t), FEATURE_NAMES, limit).withColumn("correlation", F.round("correlation", 4))
+        return V.correlations(_profiled(t), FEATURE_NAMES, limit).withColumn("correlation", F.round("correlation", 4))
 
 
 @query("edge_cases", f"""
     WITH l AS ({_LONG}), s AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS s FROM l GROUP BY 1)
     SELECT feature, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (value = 0) AS zero, count(*) FILTER (feature IN ('activity_cv', 'spend_volatility_cv') AND value >= 9.99) AS capped,
-           count(*) FILTER (s > 0 AND abs(value - m) > 3 * s) AS outliers FROM l JOIN s USING (feature) GROUP BY 1""", "vec_e")
+           count(*) FILTER (s > 0 AND abs(value - m) > 3 * s) AS outliers FROM l JOIN s USING (feature) GROUP BY 1""", "vec_6")
 def _(t):
     return V.edge_cases(_long(t))
 
@@ -276,7 +284,7 @@ def _(t):
 
 
 add_cte("top5", "contrib", f"""
-    SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, i) AS rank, feature, round(value, 4) + 0.0 AS value, round(contribution, 4) + 0.0 AS contribution FROM contrib
+    SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, i) AS rank, feature, CAST(round(CAST(value AS DECIMAL(24,9)), 4) AS DOUBLE) + 0.0 AS value, round(contribution, 4) + 0.0 AS contribution FROM contrib
     WHERE feature NOT IN ('{NEUTRALIZED_FEATURES[0]}') AND NOT (feature = 'recency_ratio' AND recency_days >= 90 AND tx_count_90d <= 0) QUALIFY rank <= 5""")
 
 
@@ -293,7 +301,7 @@ _IMPACTS = ", ".join(f"{{'i': {i}, 'feature': '{n}', 'value': {n}, 'contribution
 
 
 @query("heuristic_reasons", f"""
-    SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, i) AS rank, feature, round(value, 4) + 0.0 AS value, round(contribution, 4) + 0.0 AS contribution
+    SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, i) AS rank, feature, CAST(round(CAST(value AS DECIMAL(24,9)), 4) AS DOUBLE) + 0.0 AS value, round(contribution, 4) + 0.0 AS contribution
     FROM (SELECT customer_id, unnest([{_IMPACTS}], recursive := true) FROM vec_e) QUALIFY rank <= 5""", "vec_e")
 def _(t):
     return _reason_rows(X.heuristic_reasons(dense_vector(t)))
