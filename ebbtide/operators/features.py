@@ -153,10 +153,6 @@ def windowed_series(
     return wide.select(CID, AS_OF, *arrays)
 
 
-def zero_series(column: str, config: FeatureConfig) -> Column:
-    """The series of a customer without facts in the look-back."""
-    return F.coalesce(F.col(column), F.array(*[F.lit(0.0)] * config.activity_windows))
-
 
 def purchase_windows(daily: DataFrame, dates: Dates, config: FeatureConfig, bounds: str = "inclusive", wide_days: int = 90) -> DataFrame:
     """Look-back sums (D1, D4) and life-time values (recency, D12) per customer and as-of date, in one pass.

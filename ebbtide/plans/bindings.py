@@ -20,41 +20,41 @@ LINE_FEATURES = ["recency_ratio", "recency_days", "spend_90d", "complaint_ratio"
 
 def r6(column: Column | str) -> Column:
     """Six decimals, and no negative zero, for comparison."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, 6) + F.lit(0.0)
+    if isinstance(column, str):
+        return F.expr(f"round({column}, 6) + 0D")
+    return F.round(column, 6) + 0.0
 
 
 class Tables:
     """The given parquet tables and the model tables bound to them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._read = spark, sf_dir, {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     # -- customers and purchases ---------------------------------------------------------------
     def customers(self) -> DataFrame:
         first = self.read("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("created_at"))
-        c = self.read("customer")
-        phone = F.concat(F.lit("08"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
-        return c.join(first, c.c_custkey == first.o_custkey, "left").select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"),
-            (F.col("c_acctbal") >= -900).alias("is_active"), (F.col("c_acctbal") < 0).alias("is_provisional"),
-            "created_at", phone.alias("phone"),
+        return self.read("customer").join(first, F.expr("c_custkey = o_custkey"), "left").selectExpr(
+            "c_custkey AS customer_id", "c_name AS name", "c_mktsegment AS city", "c_acctbal >= -900 AS is_active",
+            "c_acctbal < 0 AS is_provisional", "created_at", "concat('08', lpad(CAST(c_custkey AS STRING), 12, '0')) AS phone",
         )
 
     def transactions(self) -> DataFrame:
-        status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "cancelled").otherwise("refunded")
-        return self.read("orders").select(
-            F.col("o_orderkey").alias("tx_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("tx_date"),
-            F.col("o_orderpriority").alias("service_type"), F.col("o_totalprice").cast("decimal(12,2)").alias("amount"), status.alias("status"),
+        return self.read("orders").selectExpr(
+            "o_orderkey AS tx_id", "o_custkey AS customer_id", "o_orderdate AS tx_date", "o_orderpriority AS service_type",
+            "CAST(o_totalprice AS DECIMAL(12,2)) AS amount",
+            "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'cancelled' ELSE 'refunded' END AS status",
         )
 
     def purchases(self) -> DataFrame:
-        return self.read("events").filter("event_type = 'purchase'").select(
-            F.col("event_id").alias("tx_id"), F.col("user_id").alias("customer_id"), F.col("ts").alias("tx_date"),
-            F.lit("purchase").alias("service_type"), F.col("value").cast("decimal(12,2)").alias("amount"), F.lit("completed").alias("status"),
+        return self.read("events").filter("event_type = 'purchase'").selectExpr(
+            "event_id AS tx_id", "user_id AS customer_id", "ts AS tx_date", "'purchase' AS service_type",
+            "CAST(value AS DECIMAL(12,2)) AS amount", "'completed' AS status",
         )
 
     # -- message signals from events -------------------------------------------------------------
@@ -62,28 +62,26 @@ class Tables:
         return self.read("events").filter("event_type <> 'purchase'")
 
     def messages(self) -> DataFrame:
-        return self._signals().select(
-            F.col("event_id").alias("msg_id"), F.col("user_id").cast("string").alias("phone_number"), F.col("ts").alias("timestamp"),
-            F.when(F.col("event_type") == "signup", "outbound").otherwise("inbound").alias("direction"), F.col("props").alias("text"),
+        return self._signals().selectExpr(
+            "event_id AS msg_id", "CAST(user_id AS STRING) AS phone_number", "ts AS timestamp",
+            "CASE WHEN event_type = 'signup' THEN 'outbound' ELSE 'inbound' END AS direction", "props AS text",
         )
 
     def links(self) -> DataFrame:
-        m = F.col("event_id") % 4
-        return self._signals().select(
-            (F.col("event_id") * 10).alias("link_id"), F.col("event_id").alias("msg_id"), F.col("user_id").alias("customer_id"),
-            F.when(m < 2, 1.0).when(m == 2, 0.6).otherwise(0.0).alias("match_confidence"),
-            F.when(m < 2, "phone_exact").otherwise("phone_provisional").alias("match_method"),
-            F.when(m == 0, "verified").when(m == 1, "probable").when(m == 2, "provisional").otherwise("rejected").alias("link_status"),
-            F.col("ts").alias("linked_at"),
+        return self._signals().selectExpr(
+            "event_id * 10 AS link_id", "event_id AS msg_id", "user_id AS customer_id",
+            "CASE WHEN event_id % 4 < 2 THEN 1D WHEN event_id % 4 = 2 THEN 0.6D ELSE 0D END AS match_confidence",
+            "CASE WHEN event_id % 4 < 2 THEN 'phone_exact' ELSE 'phone_provisional' END AS match_method",
+            "CASE event_id % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'probable' WHEN 2 THEN 'provisional' ELSE 'rejected' END AS link_status",
+            "ts AS linked_at",
         )
 
     def message_features(self) -> DataFrame:
-        return self._signals().select(
-            (F.col("event_id") * 10 + 1).alias("feature_id"), (F.col("event_id") * 10).alias("link_id"), F.col("event_id").alias("msg_id"),
-            F.col("user_id").alias("customer_id"), (F.col("event_type") == "error").alias("has_complaint"),
-            F.col("props").contains("7").alias("has_refund_request"), F.floor("value").cast("int").alias("msg_length"),
-            F.when(F.col("event_type") != "view", F.floor(F.col("value") * 3).cast("int")).alias("response_time_secs"),
-            (F.col("ts") + F.expr("INTERVAL 90 MINUTES")).alias("processed_at"),
+        return self._signals().selectExpr(
+            "event_id * 10 + 1 AS feature_id", "event_id * 10 AS link_id", "event_id AS msg_id", "user_id AS customer_id",
+            "event_type = 'error' AS has_complaint", "contains(props, '7') AS has_refund_request", "CAST(floor(value) AS INT) AS msg_length",
+            "CASE WHEN event_type <> 'view' THEN CAST(floor(value * 3) AS INT) END AS response_time_secs",
+            "ts + INTERVAL 90 MINUTES AS processed_at",
         )
 
     def trusted(self) -> DataFrame:
