@@ -154,11 +154,13 @@ def oversample(train: DataFrame, names: tuple[str, ...], label: str = "churned",
     placed = minority.withColumn("z", unit).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
     weight = lambda i: F.xxhash64(F.col("line"), i, F.lit(seed)) / F.lit(float(1 << 63))
     placed = placed.withColumn("at", F.aggregate(F.transform("z", lambda v, i: v * weight(i)), F.lit(0.0), lambda a, v: a + v))
-    # order along each line in range blocks, so that no line is one task
-    cuts = {r["line"]: r["c"] for r in placed.groupBy("line").agg(F.percentile_approx("at", [i / 64 for i in range(1, 64)], 1000).alias("c")).collect()}
+    # order along each line in range blocks of about a hundred thousand rows, so that no line is one task
+    blocks = min(1000, counts["positives"] // 100_000)
     block = F.lit(0)
-    for line, c in cuts.items():
-        block = F.when(F.col("line") == line, F.size(F.filter(F.lit(c), lambda b: b < F.col("at")))).otherwise(block)
+    if blocks > 1:
+        cuts = placed.groupBy("line").agg(F.percentile_approx("at", [i / blocks for i in range(1, blocks)], 10_000).alias("c")).collect()
+        for line, c in cuts:
+            block = F.when(F.col("line") == line, F.size(F.filter(F.lit(c), lambda b: b < F.col("at")))).otherwise(block)
     w = Window.partitionBy("line", block).orderBy("at", "_id")
     packed = F.struct(F.col("_id").alias("id"), F.col("x").alias("x"), F.col("z").alias("z"))
     near = placed.withColumn("cand", F.filter(F.array(*[f(packed, j).over(w) for j in range(1, k + 1) for f in (F.lag, F.lead)]), lambda c: c.isNotNull()))

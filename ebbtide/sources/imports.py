@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,19 +32,24 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix=f"ebbtide-{label}-")
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at ``path``, or None where nothing has been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def write_snapshot(rows: DataFrame, path: str, keys: tuple[str, ...] = ("customer_id",), partition: str = "as_of_date") -> None:
     """Upsert by key and date: only the touched date partitions are read, merged and replaced.
 
     The merged rows are staged first, so a lost executor never reads a half-replaced partition.
     """
     spark = rows.sparkSession
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(
-        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
-    if exists:
+    old = stored(spark, path)
+    if old is not None:
         touched = [r[0] for r in rows.select(partition).distinct().collect()]  # one value per as-of date
-        old = spark.read.parquet(path).filter(F.col(partition).isin(touched))
-        kept = old.join(rows.select(*keys, partition), [*keys, partition], "left_anti")
+        kept = old.filter(F.col(partition).isin(touched)).join(rows.select(*keys, partition), [*keys, partition], "left_anti")
         staged = scratch_dir(spark, "stage")
         kept.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
         rows = spark.read.parquet(staged)

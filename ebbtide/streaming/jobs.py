@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ebbtide.functions import text as T
 from ebbtide.operators.messages import signal_columns
+from ebbtide.sources.imports import stored
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
@@ -44,9 +45,9 @@ def append_new_features(path: str, key: str = "link_id") -> Callable[[DataFrame,
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
+        known = stored(spark, path)
+        if known is not None:
+            fresh = fresh.join(known.select(key), key, "left_anti")
         fresh.write.mode("append").parquet(path)
 
     return write
