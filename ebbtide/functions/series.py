@@ -119,16 +119,13 @@ def slope_of(values: list[Column]) -> Column:
     return total_of(weighted) / (n * (n * n - 1) / 12)
 
 
-def std_of(values: list[Column]) -> Column:
+def std_of(values: list[Column], mean: Column) -> Column:
+    """Population std of window columns around their mean."""
     if len(values) < 2:
         return F.lit(0.0)
-    mean = mean_of(values)
-    return F.sqrt(mean_of([(v - mean) * (v - mean) for v in values]))
+    return F.sqrt(mean_of([F.pow(v - mean, F.lit(2.0)) for v in values]))
 
 
-def capped_cv_of(values: list[Column], config: FeatureConfig) -> Column:
-    """D10 on window columns."""
-    if len(values) < 2:
-        return F.lit(0.0)
-    mean = mean_of(values)
-    return F.when(mean >= config.min_activity_threshold, F.least(F.lit(config.cv_cap), F.try_divide(std_of(values), mean))).otherwise(F.lit(0.0))
+def capped_cv_of(std: Column, mean: Column, config: FeatureConfig) -> Column:
+    """D10 from std and mean."""
+    return F.when(mean >= config.min_activity_threshold, F.least(F.lit(config.cv_cap), F.try_divide(std, mean))).otherwise(F.lit(0.0))

@@ -141,7 +141,7 @@ def top_reasons(rows: DataFrame, n: int = 5, neutral: tuple[str, ...] = NEUTRALI
     kept = F.filter(c, lambda x: ~x["feature"].isin(*neutral)) if neutral else c
     if drop_silent_ratio:
         silent = (_value_of(c, "recency_days") >= 90) & (_value_of(c, "tx_count_90d") <= 0)
-        kept = F.filter(kept, lambda x: ~((x["feature"] == "recency_ratio") & silent))
+        kept = F.when(silent, F.filter(kept, lambda x: x["feature"] != "recency_ratio")).otherwise(kept)
     ordered = F.array_sort(F.transform(kept, lambda x, i: F.struct((-F.abs(x["contribution"])).alias("o"), i.alias("i"), x.alias("x"))))
     best = F.transform(F.slice(ordered, 1, n), lambda s: F.struct(
         s["x"]["feature"].alias("feature"), F.round(s["x"]["value"], 4).alias("value"), F.round(s["x"]["contribution"], 4).alias("contribution")))

@@ -58,13 +58,16 @@ def customer_spine(customers: DataFrame, dates: Dates) -> DataFrame:
 
 
 def daily_transactions(transactions: DataFrame, until: dt.date | None = None) -> DataFrame:
-    """Completed transactions per customer and day: count, spend, first and last time."""
+    """Completed transactions per customer and day: count, spend, first and last time.
+
+    Money has two decimals and is summed as whole cents: exact in any order and faster than wide decimals.
+    """
     done = transactions.filter(F.col("status") == "completed")
     if until is not None:
         done = done.filter(F.col("tx_date") < F.lit(dt.datetime.combine(until + dt.timedelta(1), dt.time())).cast("timestamp_ntz"))
     return done.groupBy(CID, F.to_date("tx_date").alias("day")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("amount").alias("spend"),
+        F.sum((F.col("amount") * 100).cast("bigint")).alias("cents"),
         F.min("tx_date").alias("first_ts"),
         F.max("tx_date").alias("last_ts"),
     )
@@ -167,7 +170,7 @@ def purchase_windows(daily: DataFrame, dates: Dates, config: FeatureConfig, boun
     rows = (
         daily.withColumns({"_prev_ts": F.lag("last_ts").over(w), "_next": F.lead("day").over(w)})
         .withColumn("_gap", F.coalesce(F.expr("extract(DAY FROM (first_ts - _prev_ts))"), F.lit(0)))
-        .select(CID, "day", "n", "spend", "_next", F.sum("_gap").over(running).alias("_gaps"), F.sum("n").over(running).alias("_buys"))
+        .select(CID, "day", "n", "cents", "_next", F.sum("_gap").over(running).alias("_gaps"), F.sum("n").over(running).alias("_buys"))
     )
     lookback = max(wide_days, config.lookback_days)
 
@@ -180,10 +183,10 @@ def purchase_windows(daily: DataFrame, dates: Dates, config: FeatureConfig, boun
     aggs = [F.max(F.when(newest, F.col(c))).alias(out) for c, out in (("day", "last_tx_day"), ("_gaps", "gap_days"), ("_buys", "purchases"))]
     for days in sorted({30, wide_days}):
         recent = F.col("day") >= _days_before(days)
-        aggs += [F.sum(F.when(recent, F.col("n"))).alias(f"tx_count_{days}"), F.sum(F.when(recent, F.col("spend"))).cast("double").alias(f"spend_{days}")]
+        aggs += [F.sum(F.when(recent, F.col("n"))).alias(f"tx_count_{days}"), (F.sum(F.when(recent, F.col("cents"))) / 100.0).alias(f"spend_{days}")]
     for i in range(config.activity_windows):
         hit = in_window(i, config, bounds)
-        aggs += [F.sum(F.when(hit, F.col("n"))).cast("double").alias(f"_n_{i}"), F.sum(F.when(hit, F.col("spend"))).cast("double").alias(f"_s_{i}")]
+        aggs += [F.sum(F.when(hit, F.col("n"))).cast("double").alias(f"_n_{i}"), (F.sum(F.when(hit, F.col("cents"))) / 100.0).alias(f"_s_{i}")]
     return fanned.groupBy(CID, AS_OF).agg(*aggs)
 
 
@@ -353,28 +356,34 @@ def derived_features(base: DataFrame, config: FeatureConfig) -> DataFrame:
     """Trends, magnitude, volatility, ratio and interaction from the window series.
 
     The number of windows is fixed by the configuration, so everything is plain arithmetic on
-    window columns.
+    window columns. Means and deviations become columns before they are used again, which keeps
+    each generated method small and every value computed once.
     """
     tx, spend = window_items("tx_series", config), window_items("spend_series", config)
-    freq, mean = S.slope_of(S.smooth_of(tx, config)), S.mean_of(tx)
-    return base.withColumns({
+    first = base.withColumns({
         "recency_ratio": S.safe_ratio(F.col("recency_days").cast("double"), F.col("avg_interpurchase_days"), config),
-        "frequency_trend_smoothed": freq,
+        "frequency_trend_smoothed": S.slope_of(S.smooth_of(tx, config)),
         "spend_trend_smoothed": S.slope_of(S.smooth_of(spend, config)),
-        "activity_mean": mean,
+        "activity_mean": S.mean_of(tx),
+        "spend_mean": S.mean_of(spend),
         "recent_activity_avg": tx[-1],
-        "activity_std": S.std_of(tx),
-        "activity_cv": S.capped_cv_of(tx, config),
-        "spend_volatility_cv": S.capped_cv_of(spend, config),
-        "trend_magnitude_interaction": freq * mean,
     })
+    second = first.withColumns({
+        "activity_std": S.std_of(tx, F.col("activity_mean")),
+        "spend_std": S.std_of(spend, F.col("spend_mean")),
+        "trend_magnitude_interaction": F.col("frequency_trend_smoothed") * F.col("activity_mean"),
+    })
+    return second.withColumns({
+        "activity_cv": S.capped_cv_of(F.col("activity_std"), F.col("activity_mean"), config),
+        "spend_volatility_cv": S.capped_cv_of(F.col("spend_std"), F.col("spend_mean"), config),
+    }).drop("spend_mean", "spend_std")
 
 
 def feature_vector(
     customers: DataFrame, transactions: DataFrame, trusted: DataFrame, semantics: DataFrame, dates: Dates,
-    config: FeatureConfig = FeatureConfig(), mode: str = "persisted", prior_days: int = 30,
+    config: FeatureConfig = FeatureConfig(), mode: str = "persisted", prior_days: int = 30, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The 20 features in schema order per customer and as-of date.
+    """The 20 features in schema order per customer and as-of date, plus the spine columns in ``keep``.
 
     ``persisted`` uses the fixed 30/90-day look-backs and the calendar volatility; ``verified``
     ties the look-back and the text window to ``config`` and uses active-day volatility. One spine
@@ -384,7 +393,7 @@ def feature_vector(
     verified = mode == "verified"
     wide_days = config.lookback_days if verified else 90
     text_days = config.window_size_days if verified else 30
-    spine = customer_spine(customers, dates).select(CID, AS_OF, "created_at")
+    spine = customer_spine(customers, dates).select(CID, AS_OF, "created_at", *keep)
     current, prior = _sentiment_parts(semantics, dates, prior_days, False)
     joined = (
         spine.join(purchase_windows(daily_transactions(transactions, max(dates)), dates, config, wide_days=wide_days), [CID, AS_OF], "left")
@@ -395,10 +404,10 @@ def feature_vector(
     columns = _numeric_columns(config, wide_days) | _signal_columns(text_days, "active" if verified else "calendar") | _sentiment_columns()
     messages = [F.coalesce(f"_m_{i}", F.lit(0.0)) for i in range(config.activity_windows)]
     columns["msg_trend_smoothed"] = S.slope_of(S.smooth_of(messages, config))
-    base = joined.select(CID, AS_OF, *[c.alias(n) for n, c in columns.items()])
+    base = joined.select(CID, AS_OF, *keep, *[c.alias(n) for n, c in columns.items()])
     full = derived_features(base, config).withColumnRenamed("complaint_rate_30d", "complaint_ratio")
     return full.select(
-        CID, AS_OF,
+        CID, AS_OF, *keep,
         *[F.col(name).cast("double").alias(name) for name in FEATURE_NAMES],
         F.col("msg_count_30d").alias("trusted_feedback_used"),
     )

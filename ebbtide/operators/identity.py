@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbtide.functions.skew import salted_join
+
 LINK_STATUSES = ("verified", "probable", "provisional", "rejected")
 SIGNAL_COLUMNS = ("feature_id", "msg_length", "num_exclamations", "num_questions", "embedding", "processed_at")
 
@@ -27,7 +29,7 @@ def link_messages(messages: DataFrame, customers: DataFrame, links: DataFrame) -
     by_phone = customers.filter(F.col("phone_hash").isNotNull()).select(
         F.col("phone_hash").alias("phone_number"), F.col("customer_id").cast("string").alias("_cid"), F.coalesce("is_provisional", F.lit(False)).alias("_prov")
     )
-    matched = open_msgs.join(by_phone, "phone_number", "left")
+    matched = salted_join(open_msgs, by_phone, ["phone_number"], ["msg_id"], "left")
     openers = (
         matched.filter(F.col("_cid").isNull()).groupBy("phone_number").agg(F.min(F.struct("timestamp", "msg_id")).alias("f"))
         .select(F.col("f.msg_id").alias("msg_id"), F.lit(True).alias("_opens"))

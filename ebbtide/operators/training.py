@@ -78,8 +78,8 @@ def training_dataset(
         labels = labels.filter(F.datediff(OBS, F.to_date("created_at")) >= min_tenure)
     spine = labels.withColumn(AS_OF, F.date_sub(OBS, 1))
     as_of = [d - dt.timedelta(1) for d in dates]
-    vectors = D.feature_vector(spine.select(CID, AS_OF, "created_at"), transactions, trusted, semantics, as_of, config)
-    return vectors.join(spine.select(CID, AS_OF, OBS, "churned"), [CID, AS_OF]).withColumnRenamed(AS_OF, "feature_as_of_date")
+    vectors = D.feature_vector(spine, transactions, trusted, semantics, as_of, config, keep=(OBS, "churned"))
+    return vectors.withColumnRenamed(AS_OF, "feature_as_of_date")
 
 
 def time_split(df: DataFrame, test_share: float = 0.2, date: str = OBS, key: str = CID) -> DataFrame:

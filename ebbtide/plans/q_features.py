@@ -185,7 +185,7 @@ def _(t):
     GROUP BY 1, 2, 3""", "wins_o transactions")
 def _(t):
     dates = [t.anchor("orders")]
-    daily = D.daily_transactions(t.transactions(), dates[0])
+    daily = D.daily_transactions(t.transactions(), dates[0]).withColumn("spend", F.col("cents") / 100.0)
     return _series_rows(D.windowed_series(daily, dates, YEARLY, {"tx_series": "n", "spend_series": "spend"}, "half_open"), ["tx_series", "spend_series"])
 
 

@@ -40,9 +40,10 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def write_snapshot(rows: DataFrame, path: str, keys: tuple[str, ...] = ("customer_id",), partition: str = "as_of_date") -> None:
+def write_snapshot(rows: DataFrame, path: str, keys: tuple[str, ...] = ("customer_id",), partition: str = "as_of_date", files: int = 64) -> None:
     """Upsert by key and date: only the touched date partitions are read, merged and replaced.
 
+    Each date is written as ``files`` files, by as many tasks.
     The merged rows are staged first, so a lost executor never reads a half-replaced partition.
     """
     spark = rows.sparkSession
@@ -54,6 +55,6 @@ def write_snapshot(rows: DataFrame, path: str, keys: tuple[str, ...] = ("custome
         kept.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
         rows = spark.read.parquet(staged)
     (
-        rows.repartition(partition, F.pmod(F.xxhash64(*keys), F.lit(64)))
+        rows.repartition(partition, F.pmod(F.xxhash64(*keys), F.lit(files)))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     )

@@ -80,8 +80,9 @@ def test_array_and_column_forms_agree(spark):
     for config in (FeatureConfig(), FeatureConfig(smoothing_method="ema"), FeatureConfig(smoothing_window=2)):
         assert value(spark, F.array(*series.smooth_of(cols, config))) == pytest.approx(value(spark, series.smooth(arr, config)))
         assert value(spark, series.slope_of(cols)) == pytest.approx(value(spark, series.trend_slope(arr)))
-        assert value(spark, series.std_of(cols)) == pytest.approx(value(spark, series.std_pop(arr)))
-        assert value(spark, series.capped_cv_of(cols, config)) == pytest.approx(value(spark, series.capped_cv(arr, config)))
+        std = series.std_of(cols, series.mean_of(cols))
+        assert value(spark, std) == pytest.approx(value(spark, series.std_pop(arr)))
+        assert value(spark, series.capped_cv_of(std, series.mean_of(cols), config)) == pytest.approx(value(spark, series.capped_cv(arr, config)))
 
 
 def test_dormant_series_are_not_volatile(spark):
