@@ -190,11 +190,12 @@ def nearest_messages(
         features.filter(F.col("embedding").isNotNull() & (F.col("processed_at") <= F.lit(as_of).cast("timestamp_ntz"))).drop("customer_id")
         .join(links.filter(F.col("link_status").isin(*statuses)).select("link_id", "customer_id", "link_status"), "link_id")
     )
+    candidates = usable.join(messages.select("msg_id"), "msg_id", "left_semi")  # texts join after the ranking, ids before
     if query_vector is None:
         newest = usable.groupBy("customer_id").agg(F.max_by("embedding", F.struct("processed_at", "feature_id")).alias("_q"))
-        paired = salted_join(usable, newest, ["customer_id"], ["feature_id"])
+        paired = salted_join(candidates, newest, ["customer_id"], ["feature_id"])
     else:
-        paired = usable.withColumn("_q", F.lit([float(x) for x in query_vector]))
+        paired = candidates.withColumn("_q", F.lit([float(x) for x in query_vector]))
     similarity = F.greatest(F.lit(0.0), (1 + V.cosine(F.col("embedding"), F.col("_q"))) / 2)
     best = top_n(paired.withColumn("_s", similarity), ["customer_id"], [F.desc_nulls_last("_s"), F.asc("feature_id")], n, "rank")
     return best.join(messages.select("msg_id", "text", "timestamp"), "msg_id").select(
