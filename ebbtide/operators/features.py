@@ -219,14 +219,17 @@ def numeric_features(
     return joined.select(CID, AS_OF, *[c.alias(n) for n, c in _numeric_columns(config, wide_days).items()])
 
 
-def rfm_scores(numeric: DataFrame) -> DataFrame:
+def rfm_columns() -> dict[str, Column]:
     """Recency, frequency and spend mapped to 0..5, two decimals."""
-    return numeric.select(
-        CID, AS_OF,
-        F.round(F.greatest(F.lit(0.0), 5.0 - F.col("recency_days") / 36.0), 2).alias("r_score"),
-        F.round(F.least(F.lit(5.0), F.col("tx_count_90d") / F.lit(2.0)), 2).alias("f_score"),
-        F.round(F.least(F.lit(5.0), F.col("spend_90d") / F.lit(1_000_000.0)), 2).alias("m_score"),
-    )
+    return {
+        "r_score": F.round(F.greatest(F.lit(0.0), 5.0 - F.col("recency_days") / 36.0), 2),
+        "f_score": F.round(F.least(F.lit(5.0), F.col("tx_count_90d") / F.lit(2.0)), 2),
+        "m_score": F.round(F.least(F.lit(5.0), F.col("spend_90d") / F.lit(1_000_000.0)), 2),
+    }
+
+
+def rfm_scores(numeric: DataFrame) -> DataFrame:
+    return numeric.select(CID, AS_OF, *[c.alias(n) for n, c in rfm_columns().items()])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -451,6 +454,19 @@ def trust_gate(customers: DataFrame, links: DataFrame, as_of: dt.datetime, statu
     )
 
 
+def eligible_customers(customers: DataFrame, links: DataFrame, as_of: dt.datetime, statuses: tuple[str, ...] = TRUSTED_STATUSES) -> DataFrame:
+    """Customers with a trusted link known at ``as_of``; verified scoring takes no others."""
+    known = links.filter(F.col("link_status").isin(*statuses) & (F.col("linked_at") <= F.lit(as_of).cast("timestamp_ntz")))
+    return customers.join(known.select(CID), CID, "left_semi")
+
+
+def snapshot_counters(snapshot: DataFrame) -> DataFrame:
+    """Customers in a snapshot, with all features, and with a missing one."""
+    return snapshot.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("complete").alias("processed"), F.count_if(~F.col("complete")).alias("missing")
+    )
+
+
 def feature_snapshot(
     customers: DataFrame, transactions: DataFrame, trusted: DataFrame, semantics: DataFrame, as_of: dt.date,
     config: FeatureConfig = FeatureConfig(), prior_days: int = 30,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.config import FEATURE_NAMES, FeatureConfig, feature_schema_hash
 from ebbtide.functions import series as S
+from ebbtide.functions.risk import risk_floor, risk_label
 from ebbtide.functions.text import coerce_numeric
 from ebbtide.operators import features as D
 from ebbtide.plans.bindings import DENSE, YEARLY, Tables, add_cte, r6
@@ -347,3 +348,29 @@ def _(t):
 def _(t):
     out = D.feature_snapshot(t.customers(), t.purchases(), t.trusted(), t.semantics(), t.anchor("events"), DENSE, prior_days=10)
     return rounded(out, ("complete",))
+
+
+@query("snapshot_counters", "SELECT count(*) AS total, count(*) AS processed, 0 AS missing FROM customers WHERE is_active", "customers")
+def _(t):
+    return D.snapshot_counters(D.feature_snapshot(t.customers(), t.purchases(), t.trusted(), t.semantics(), t.anchor("events"), DENSE, prior_days=10))
+
+
+@query("feature_vector_trusted_only", f"""
+    SELECT customer_id, as_of_date, {VECTOR_SQL} FROM vec_ev
+    WHERE customer_id IN (SELECT customer_id FROM links WHERE link_status IN ('verified', 'probable') AND linked_at <= TIMESTAMP '2024-01-02 12:00:00')""", "vec_ev links")
+def _(t):
+    trusted_only = D.eligible_customers(t.customers(), t.links(), dt.datetime(2024, 1, 2, 12))
+    return rounded(D.feature_vector(trusted_only, t.purchases(), t.trusted(), t.semantics(), [t.anchor("events")], DENSE, "verified", prior_days=10))
+
+
+@query("drifting_customers", """
+    SELECT customer_id, CAST(recency_days AS INTEGER) AS recency_days, round(recency_ratio, 6) AS recency_ratio, round(r_score, 2) AS r_score, risk_score, CASE WHEN risk_score < 0.4 THEN 'low' WHEN risk_score < 0.9 THEN 'medium' ELSE 'high' END AS risk_label
+    FROM (SELECT *, greatest(0.0, 5.0 - recency_days / 36.0::DOUBLE) AS r_score, CASE WHEN tx_count_90d > 0 OR spend_90d > 0 THEN 0.0 WHEN recency_days >= 180 THEN 0.9 WHEN recency_days >= 120 THEN 0.8 WHEN recency_days >= 90 THEN 0.65 ELSE 0.0 END::DOUBLE AS risk_score FROM vec_o)
+    ORDER BY risk_score DESC, recency_days DESC, customer_id LIMIT 20""", "vec_o")
+def drifting_customers(t):
+    """The flagship: features, inactivity floor and label; the twenty customers furthest away."""
+    v = D.feature_vector(t.customers(), t.transactions(), t.trusted(), t.semantics(), [t.anchor("orders")], YEARLY)
+    score = risk_floor(F.lit(0.0), F.col("recency_days"), F.col("tx_count_90d"), F.col("spend_90d"))
+    scored = v.withColumns(D.rfm_columns() | {"risk_score": score})
+    return scored.orderBy(F.desc("risk_score"), F.desc("recency_days"), "customer_id").limit(20).select(
+        "customer_id", F.col("recency_days").cast("int").alias("recency_days"), r6("recency_ratio").alias("recency_ratio"), "r_score", "risk_score", risk_label(F.col("risk_score")).alias("risk_label"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbtide.functions import vectors as V
 from ebbtide.operators import messages as C
 from ebbtide.operators import semantics as E
 from ebbtide.plans.bindings import Tables, add_cte, r6

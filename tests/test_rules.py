@@ -191,7 +191,7 @@ CHAT = """orphan line
   second line
 [99/99/24, 10:00] Bob: lost header
 kept by Ana
-[01/02/24, 10:01:30] Mamina Admin: <Media omitted>
+[01/02/24, 10:01:30] Spa Admin: <Media omitted>
 [01/02/2024, 10:02:30] My ADMIN desk: hi: there
 [03/02/99, 9:05] Cleo: old"""
 
