@@ -316,9 +316,10 @@ for _mode, (_days, _std) in _VOL_SQL.items():
         return D.msg_volatility(D.daily_messages(t.trusted()), [t.anchor("events")], mode).select("customer_id", r6("msg_volatility").alias("msg_volatility"))
 
 
-@query("feature_schema_check")
+@query("feature_schema_check", f"SELECT customer_id, as_of_date, {VECTOR_SQL}, '{feature_schema_hash()}' AS feature_schema_hash FROM vec_e", "vec_e")
 def _(t):
-    return D.check_feature_schema(dense_vector(t), feature_schema_hash())
+    checked = D.check_feature_schema(dense_vector(t), feature_schema_hash())
+    return rounded(D.with_metadata(checked, DENSE), ("feature_schema_hash",))
 
 
 @query("score_range_violations", "SELECT pred_id, churn_score FROM (SELECT event_id AS pred_id, value / 100 AS churn_score FROM events) WHERE churn_score IS NULL OR churn_score < 0 OR churn_score > 1")

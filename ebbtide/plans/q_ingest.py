@@ -84,7 +84,7 @@ add_cte("message_file", "", """
 # ---------------------------------------------------------------------------------------------
 # A: import
 # ---------------------------------------------------------------------------------------------
-@query("read_import_csv")
+@query("read_import_csv", "SELECT CAST(row AS VARCHAR) AS row, nullif(customer_id, '') AS customer_id, customer_name, phone_number, join_date FROM customer_file", "customer_file")
 def _(t):
     folder = scratch_dir(t.spark, "csv")
     customer_file(t).withColumnRenamed("customer_name", "Customer Name").write.mode("overwrite").option("header", True).option("quoteAll", True).csv(folder)
@@ -254,7 +254,8 @@ def _(t):
                     T.hash_phone(F.col("raw"), "pepper").alias("salted_hash"), T.hash_identifier(F.col("name"), "pepper").alias("id_hash"))
 
 
-@query("write_snapshot")
+@query("write_snapshot", """
+    SELECT as_of_date, count(*) AS rows, round(sum(CASE WHEN as_of_date = as_of THEN 0.5 ELSE avg_sentiment_score END), 6) + 0.0 AS score_sum FROM semantics, anchor_events GROUP BY 1""", "semantics anchor_events")
 def _(t):
     folder = scratch_dir(t.spark, "snapshot")
     first = t.semantics()
