@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +24,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -26,15 +32,34 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable checkpoint storage and read it back.
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder name below the folder that driver and executors share.
 
-    The folder comes from the session's ``spark.checkpoint.dir``; only when a
-    session names none (unit tests, a laptop) is one made here.
+    The root is ``spark.checkpoint.dir`` of the session, else the checkpoint folder set on the
+    context. Only a local master, whose driver and executors are one process, may go without; any
+    other master is refused, because each executor would write to its own disk.
     """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_root()
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_root() -> str:
+    """One temporary folder per process for sessions on a local master; it goes when the process ends."""
+    root = tempfile.mkdtemp(prefix="ebbtide-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to reliable checkpoint storage below :func:`shared_folder` and read it back."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ebbtide-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark, "checkpoints"))
     return df.checkpoint(eager=True)

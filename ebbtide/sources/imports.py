@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbtide.session import shared_folder
+
 
 def read_import_csv(spark: SparkSession, path: str, multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """A1: every column as text, blank cells NULL, headers trimmed, lower case, blanks to underscores.
@@ -28,9 +27,8 @@ def read_import_csv(spark: SparkSession, path: str, multi_line: bool = True, enc
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared folder the session names, or a local one where it names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix=f"ebbtide-{label}-")
+    """A fresh folder for intermediate files that driver and executors share."""
+    return shared_folder(spark, label)
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
