@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ebbtide.llm import decontaminate, language, mixing, simhash, suffixes, tokens, vectors
-from ebbtide.llm.common import table
+from ebbtide.llm import chat, decontaminate, language, licences, mixing, pages, simhash, suffixes, tokens, vectors
+from ebbtide.llm.common import row_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -100,6 +106,21 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.stored_tokens(table(spark, sf_dir, "documents"))
 
 
+@query("op6_chat_format")
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is the event that sets its message; conversation -1 says the control strings themselves."""
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    events = row_id(rows, "message").withColumns({"seq": F.lit(0).cast("long"), "kind": F.lit("message")})
+    return chat.digests(chat.render(chat.messages(events)))
+
+
+@query("op7_licences")
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("_rid")
+
+
 @query("op8_embedding_dedup")
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
