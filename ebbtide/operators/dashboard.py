@@ -141,8 +141,12 @@ def last_visits(transactions: DataFrame) -> DataFrame:
 def list_customers(
     customers: DataFrame, predictions: DataFrame, transactions: DataFrame, search: str | None = None, city: str | None = None,
     is_active: bool | None = None, risk_level: str | None = None, sort: str = "name", descending: bool = False, page: int = 1, limit: int = 20,
+    most: int = 100,
 ) -> DataFrame:
-    """One page of customers with newest risk and last visit; the total rides along."""
+    """One page of customers with newest risk and last visit; the total rides along.
+
+    A page has ``limit`` rows, 20 where none is asked for, and never more than ``most``.
+    """
     found = customers
     if search:
         found = found.filter(F.col("name").ilike(f"%{search}%") | F.col("city").ilike(f"%{search}%"))
@@ -159,7 +163,7 @@ def list_customers(
         order = F.desc_nulls_last("churn_score") if descending else F.asc_nulls_last("churn_score")
     else:
         order = F.desc("name") if descending else F.asc("name")
-    limit = min(100, max(1, limit))
+    limit = min(most, limit if limit > 0 else 20)
     shown = found.orderBy(order, "customer_id").offset((max(page, 1) - 1) * limit).limit(limit)
     return shown.join(last_visits(transactions), "customer_id", "left").select(
         "customer_id", "name", "city", "is_active", F.round("churn_score", 3).alias("risk_score"), F.col("churn_label").alias("risk_label"), "last_visit", total.alias("total")

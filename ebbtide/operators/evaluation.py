@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,14 +133,16 @@ def proxy_label(df: DataFrame, column: str = "recency_days") -> DataFrame:
 def correlations(df: DataFrame, names: tuple[str, ...], above: float = 0.95) -> DataFrame:
     """feature pairs whose absolute Pearson correlation exceeds ``above``.
 
-    The matrix is a distributed sum; what reaches the driver is one number per feature pair.
+    Every pair uses the rows where both features are present, whatever the others lack. Values are taken relative
+    to the feature's mean, so that large offsets do not eat the digits. All pairs are one aggregate; what reaches
+    the driver is one number per feature and per pair.
     """
-    vectors = VectorAssembler(inputCols=list(names), outputCol="v", handleInvalid="skip").transform(df.select(*names))
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    pairs = [
-        (a, b, float(matrix[i][j])) for i, a in enumerate(names) for j, b in enumerate(names)
-        if i < j and abs(matrix[i][j]) > above
-    ]
+    listed = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    means = df.agg(*[F.avg(n).alias(n) for n in names]).first()
+    near = df.select(*[(F.col(n) - F.lit(float(means[n] or 0.0))).alias(n) for n in names])
+    both = lambda a, b: (F.col(a).isNotNull() & F.col(b).isNotNull())
+    found = near.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"c{k}") for k, (a, b) in enumerate(listed)]).first()
+    pairs = [(a, b, float(found[f"c{k}"])) for k, (a, b) in enumerate(listed) if found[f"c{k}"] is not None and abs(found[f"c{k}"]) > above]
     return df.sparkSession.createDataFrame(pairs, "feature_1 string, feature_2 string, correlation double")
 
 

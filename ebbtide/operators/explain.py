@@ -85,7 +85,7 @@ def linear_contributions(vectors: DataFrame, weights: dict[str, float]) -> DataF
 
 
 def shapley_contributions(
-    vectors: DataFrame, model: PipelineModel, key: str, names: tuple[str, ...] = FEATURE_NAMES, permutations: int = 2, seed: int = 42
+    vectors: DataFrame, model: PipelineModel, key: str, names: tuple[str, ...] = FEATURE_NAMES, permutations: int = 10, seed: int = 42
 ) -> DataFrame:
     """F19 for any fitted model: permutation-sampled Shapley values against the feature means.
 

@@ -76,14 +76,26 @@ def daily_transactions(transactions: DataFrame, until: dt.date | None = None) ->
 def trusted_messages(
     messages: DataFrame, links: DataFrame, features: DataFrame, statuses: tuple[str, ...] = TRUSTED_STATUSES
 ) -> DataFrame:
-    """Raw message, link and extracted signals of trusted links, joined on their unique ids."""
+    """Raw message, link and extracted signals of trusted links, joined on their unique ids.
+
+    Messages come first: a filter on ``timestamp`` above (see :func:`recent`) reaches their scan, and only the
+    messages left go into the second join.
+    """
     return (
-        features.select("link_id", "msg_id", "has_complaint", "msg_length", "response_time_secs")
+        messages.select("msg_id", "timestamp")
+        .join(features.select("link_id", "msg_id", "has_complaint", "msg_length", "response_time_secs"), "msg_id")
         .join(links.filter(F.col("link_status").isin(*statuses)).select("link_id", CID), "link_id")
-        .join(messages.select("msg_id", "timestamp"), "msg_id")
+        .select("msg_id", "link_id", "has_complaint", "msg_length", "response_time_secs", CID, "timestamp")
     )
 
 
+def recent(trusted: DataFrame, dates: Dates, days: int) -> DataFrame:
+    """Messages that any of the dates can see, by literal bounds on the message time."""
+    first, last = min(dates) - dt.timedelta(days), max(dates) + dt.timedelta(1)
+    at = lambda d: F.lit(dt.datetime.combine(d, dt.time())).cast("timestamp_ntz")
+    return trusted.filter((F.col("timestamp") >= at(first)) & (F.col("timestamp") < at(last)))
+
+
 def daily_messages(trusted: DataFrame) -> DataFrame:
     """Trusted messages per customer and day, with the sums every text signal needs."""
     nonzero_len = F.when(F.col("msg_length") != 0, F.col("msg_length"))
@@ -294,13 +306,13 @@ def text_signals(
 ) -> DataFrame:
     """D3: message counts, complaint rate, mean length, mean reply delay and volatility."""
     spine = customer_spine(customers, dates).select(CID, AS_OF)
-    joined = spine.join(message_windows(daily_messages(trusted), dates, days), [CID, AS_OF], "left")
+    joined = spine.join(message_windows(daily_messages(recent(trusted, dates, days)), dates, days), [CID, AS_OF], "left")
     return joined.select(CID, AS_OF, *[c.alias(n) for n, c in _signal_columns(days, volatility, delay_ignores_zero).items()])
 
 
 def _sentiment_parts(semantics: DataFrame, dates: Dates, prior_days: int, current_as_of: bool) -> tuple[DataFrame, DataFrame]:
     """Current and prior score per customer and as-of date, as columns ``_now`` and ``_prior``."""
-    scores = semantics.select(CID, F.col(AS_OF).alias("snap"), "avg_sentiment_score")
+    scores = semantics.filter(F.col(AS_OF) <= F.lit(max(dates))).select(CID, F.col(AS_OF).alias("snap"), "avg_sentiment_score")
     prior = _valid_at(scores, "snap", dates, prior_days).select(CID, AS_OF, F.col("avg_sentiment_score").alias("_prior"))
     if current_as_of:
         current = _valid_at(scores, "snap", dates).select(CID, AS_OF, F.col("avg_sentiment_score").alias("_now"))
@@ -400,7 +412,7 @@ def feature_vector(
     current, prior = _sentiment_parts(semantics, dates, prior_days, False)
     joined = (
         spine.join(purchase_windows(daily_transactions(transactions, max(dates)), dates, config, wide_days=wide_days), [CID, AS_OF], "left")
-        .join(message_windows(daily_messages(trusted), dates, text_days, config), [CID, AS_OF], "left")
+        .join(message_windows(daily_messages(recent(trusted, dates, max(text_days, config.lookback_days))), dates, text_days, config), [CID, AS_OF], "left")
         .join(current, [CID, AS_OF], "left")
         .join(prior, [CID, AS_OF], "left")
     )

@@ -214,7 +214,7 @@ def topic_keywords(texts: DataFrame, topic: str = "topic_idx", n: int = 10) -> D
     sizes = counts.groupBy(topic).agg(F.sum("n").alias("topic_words"))
     mean_size = sizes.agg(F.avg("topic_words").alias("a")).scalar()
     totals = counts.groupBy("word").agg(F.sum("n").alias("f"))
-    scored = counts.join(sizes, topic).join(totals, "word").withColumn("score", F.round(F.col("n") / F.col("topic_words") * F.log(1 + mean_size / F.col("f")), 9))
+    scored = counts.join(F.broadcast(sizes), topic).join(totals, "word").withColumn("score", F.round(F.col("n") / F.col("topic_words") * F.log(1 + mean_size / F.col("f")), 9))  # sizes: a row per topic
     return top_n(scored, [topic], [F.desc("score"), F.asc("word")], n, "rank").select(topic, "rank", "word", "n", "score")
 
 

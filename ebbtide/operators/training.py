@@ -85,22 +85,24 @@ def training_dataset(
 def time_split(df: DataFrame, test_share: float = 0.2, date: str = OBS, key: str = CID) -> DataFrame:
     """flag the first rows by (date, key) as training rows, at least one row on each side.
 
-    Row counts per date (a few hundred numbers) settle all dates but the one the cut falls into;
-    only that date is ordered by key, over all tasks.
+    Row counts per date (a few hundred numbers) settle all dates but the one the cut falls into.
+    Only that date is ordered by key, over all tasks, to find the key at the cut; the flag is then a comparison, without a
+    join. Fewer than two rows and missing dates are refused; (date, key) must be unique.
     """
-    counts = sorted((r[date], r["n"]) for r in df.groupBy(date).agg(F.count(F.lit(1)).alias("n")).collect())
+    by_date = df.groupBy(date).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = sorted((r[date], r["n"]) for r in by_date if r[date] is not None)
     total = sum(n for _, n in counts)
+    if len(counts) < len(by_date) or total < 2:
+        raise ValueError(f"a split by {date} needs two rows at least and a date in every row; found {total} dated rows")
     cut = min(max(int(total * (1 - test_share)), 1), total - 1)
     before = 0
     for boundary, n in counts:
         if before + n > cut:
             break
         before += n
-    boundary_rows = global_position(df.filter(F.col(date) == F.lit(boundary)).select(date, key), [date, key], "_pos")
-    first = boundary_rows.filter(F.col("_pos") < cut - before).select(date, key, F.lit(True).alias("_first"))
-    return df.join(first, [date, key], "left").withColumn(
-        "is_train", (F.col(date) < F.lit(boundary)) | F.coalesce("_first", F.lit(False))
-    ).drop("_first")
+    ranked = global_position(df.filter(F.col(date) == F.lit(boundary)).select(date, key), [date, key], "_pos")
+    first_test = ranked.filter(F.col("_pos") == cut - before).first()[key]
+    return df.withColumn("is_train", (F.col(date) < F.lit(boundary)) | ((F.col(date) == F.lit(boundary)) & (F.col(key) < F.lit(first_test))))
 
 
 def unpivot(df: DataFrame, names: tuple[str, ...], *keep: str) -> DataFrame:
@@ -131,6 +133,10 @@ def class_weight(train: DataFrame, label: str = "churned") -> DataFrame:
     )
 
 
+#: Places along a line that one task orders.
+LINE_BLOCK = 100_000
+
+
 def needs_oversampling(positives: int, negatives: int) -> bool:
     return positives >= 10 and positives / (positives + negatives) < 0.2
 
@@ -153,25 +159,26 @@ def oversample(train: DataFrame, names: tuple[str, ...], label: str = "churned",
     placed = minority.withColumn("z", unit).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
     weight = lambda i: F.xxhash64(F.col("line"), i, F.lit(seed)) / F.lit(float(1 << 63))
     placed = placed.withColumn("at", F.aggregate(F.transform("z", lambda v, i: v * weight(i)), F.lit(0.0), lambda a, v: a + v))
-    # order along each line in range blocks of about a hundred thousand rows, so that no line is one task
-    blocks = min(1000, counts["positives"] // 100_000)
-    block = F.lit(0)
-    if blocks > 1:
-        cuts = placed.groupBy("line").agg(F.percentile_approx("at", [i / blocks for i in range(1, blocks)], 10_000).alias("c")).collect()
-        for line, c in cuts:
-            block = F.when(F.col("line") == line, F.size(F.filter(F.lit(c), lambda b: b < F.col("at")))).otherwise(block)
-    w = Window.partitionBy("line", block).orderBy("at", "_id")
+    # Rows are cut into blocks of a fixed number of places along each line. The rows next to a block's edge are
+    # guests in the neighbouring block, so every row sees the same neighbours wherever blocks begin.
+    ranked = global_position(placed, ["line", "at", "_id"], "_pos")
+    block, off = F.floor(F.col("_pos") / LINE_BLOCK), F.col("_pos") % LINE_BLOCK
+    stay = lambda b, guest: F.struct(b.alias("b"), F.lit(guest).alias("guest"))
+    places = F.array(stay(block, False), F.when(off < k, stay(block - 1, True)), F.when(off >= LINE_BLOCK - k, stay(block + 1, True)))
+    spread_out = ranked.withColumn("p", F.explode(F.filter(places, lambda p: p.isNotNull())))
+    w = Window.partitionBy("line", "p.b").orderBy("at", "_id")
     packed = F.struct(F.col("_id").alias("id"), F.col("x").alias("x"), F.col("z").alias("z"))
-    near = placed.withColumn("cand", F.filter(F.array(*[f(packed, j).over(w) for j in range(1, k + 1) for f in (F.lag, F.lead)]), lambda c: c.isNotNull()))
+    near = spread_out.withColumn("cand", F.filter(F.array(*[f(packed, j).over(w) for j in range(1, k + 1) for f in (F.lag, F.lead)]), lambda c: c.isNotNull())).filter("not p.guest")
     gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
     pairs = near.select("_id", "x", "z", F.explode("cand").alias("c")).select("_id", "x", F.col("c.id").alias("other"), F.col("c.x").alias("y"), gap(F.col("z"), F.col("c.z")).alias("d"))
     best = pairs.dropDuplicates(["_id", "other"]).withColumn("r", F.row_number().over(Window.partitionBy("_id").orderBy("d", "other"))).filter(F.col("r") <= k)
     neighbours = best.groupBy("_id").agg(F.first("x").alias("x"), F.array_sort(F.collect_list(F.struct("r", "y"))).alias("ys"))
-    missing = counts["negatives"] - counts["positives"]
-    each = missing / max(counts["positives"], 1)
-    whole = int(each)
-    extra = F.when(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1_000_000)) / 1e6 < each - whole, 1).otherwise(0)
-    copies = F.col("_id").isNotNull().cast("int") * whole + extra
+    missing = max(0, counts["negatives"] - counts["positives"])
+    whole, rest = divmod(missing, max(counts["positives"], 1))
+    # exactly ``rest`` rows, spread by hash, are drawn once more
+    turn = global_position(neighbours.select(F.xxhash64("_id", F.lit(seed)).alias("_t"), "_id"), ["_t", "_id"], "_turn").select("_id", "_turn")
+    neighbours = neighbours.join(turn, "_id")
+    copies = F.lit(whole) + F.when(F.col("_turn") < rest, 1).otherwise(0)
     draws = neighbours.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(1), F.lit(whole + 1)), lambda c: c <= copies)))
     pick = F.element_at("ys", (F.pmod(F.xxhash64("_id", "copy", F.lit(seed + 1)), F.size("ys")) + 1).cast("int"))["y"]
     share = F.pmod(F.xxhash64("_id", "copy", F.lit(seed + 2)), F.lit(1_000_000)) / 1e6
@@ -245,11 +252,15 @@ def score_distribution(scores: DataFrame) -> DataFrame:
 def retrain(dataset: DataFrame, trees: int = 100, version: str = "retrained") -> DataFrame:
     """split, impute, fit the transaction-only and the full model, and report metrics side by side."""
     rows = cut_lineage(dataset)
-    if rows.limit(10).count() < 10:
-        raise ValueError("Not enough training data")
+    least, found = 10, rows.limit(10).count()
+    if found < least:
+        raise ValueError(f"retraining takes {least} labelled rows or more, this data set has {found}")
     split = cut_lineage(time_split(rows))
     filled = cut_lineage(median_impute(split, split.filter("is_train"), FEATURE_NAMES))
     train, test = filled.filter("is_train"), filled.filter("NOT is_train")
+    classes = class_weight(train).first()
+    if needs_oversampling(classes["positives"], classes["negatives"]):  # the weight is taken anew from the balanced rows
+        train = cut_lineage(oversample(train, FEATURE_NAMES))
     metrics = []
     for names in (BASELINE_FEATURE_NAMES, FEATURE_NAMES):
         model = train_risk_model(train, names, trees=trees)

@@ -96,6 +96,17 @@ def _(t):
     return A.validate_required_columns(t.customers(), ("customer_id", "customer_name", "phone_number", "join_date"))
 
 
+@query("parse_datetime_iso", """
+    SELECT event_id, ts AS parsed_iso, ts AS parsed_named, date_trunc('second', ts) AS parsed_zoned FROM events""")
+def _(t):
+    """ISO with T and microseconds, English month names, and a zone mark, for the time of every event."""
+    e = t.read("events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    iso = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T"), F.date_format("ts", "HH:mm:ss.SSSSSS"))
+    named = F.concat_ws(" ", F.date_format("ts", "d"), F.date_format("ts", "MMMM"), F.date_format("ts", "yyyy"), F.date_format("ts", "HH:mm:ss.SSSSSS"))
+    zoned = F.concat(F.date_format("ts", "yyyy/M/d HH:mm:ss"), F.lit("Z"))
+    return e.select("event_id", T.parse_datetime(iso).alias("parsed_iso"), T.parse_datetime(named).alias("parsed_named"), T.parse_datetime(zoned).alias("parsed_zoned"))
+
+
 @query("parse_datetime_multi", """
     SELECT row, CASE WHEN transaction_date = 'bad' THEN NULL ELSE CAST(CAST(real_date AS DATE) AS TIMESTAMP) END AS parsed FROM transaction_file""", "transaction_file")
 def _(t):
@@ -440,7 +451,8 @@ def _(t):
 
 
 def _sql_rule(patterns: tuple[str, ...], column: str = "text") -> str:
-    body = "|".join(p.replace(" ", r"[\s\p{Z}\x0B\x1C-\x1F\x85]+") for p in patterns)
+    space = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
+    body = "|".join(p.replace(r"\b", "").replace(r"\s", space).replace(" ", space + "+") for p in patterns)
     return rf"regexp_matches(lower({column}), '(^|[^\p{{L}}\p{{N}}_])({body})($|[^\p{{L}}\p{{N}}_])')"
 
 

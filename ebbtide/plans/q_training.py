@@ -325,14 +325,15 @@ def evidence(t: Tables, query_vector=None):
     links, feats, _ = vector_tables(t)
     feats = feats.select(F.col("link_id").alias("feature_id"), "link_id", F.col("link_id").alias("msg_id"), "embedding", "processed_at")
     docs = t.read("documents").select(F.col("doc_id").alias("msg_id"), "text", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0)").alias("timestamp"))
-    return X.nearest_messages(feats, links, docs, dt.datetime(2024, 1, 1, 6), query_vector=query_vector)
+    newest = feats.agg(F.max("processed_at")).first()[0]
+    return X.nearest_messages(feats, links, docs, newest, query_vector=query_vector)
 
 
 add_cte("near", "vectors", """
     SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY s DESC, link_id) AS rank, link_id AS msg_id, link_status, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text_snippet, round(s, 4) AS similarity_score
     FROM (SELECT v.*, greatest(0, (1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2) AS s FROM vectors v
-          JOIN (SELECT customer_id, embedding FROM vectors WHERE link_id <= 360 AND embedding IS NOT NULL AND link_status IN ('verified', 'probable') QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY link_id DESC) = 1) q USING (customer_id)
-          WHERE v.link_id <= 360 AND v.embedding IS NOT NULL AND v.link_status IN ('verified', 'probable')) JOIN documents ON doc_id = link_id QUALIFY rank <= 5""")
+          JOIN (SELECT customer_id, embedding FROM vectors WHERE embedding IS NOT NULL AND link_status IN ('verified', 'probable') QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY link_id DESC) = 1) q USING (customer_id)
+          WHERE v.embedding IS NOT NULL AND v.link_status IN ('verified', 'probable')) JOIN documents ON doc_id = link_id QUALIFY rank <= 5""")
 
 
 @query("nearest_messages", "SELECT * FROM near", "near")
@@ -405,9 +406,9 @@ def _(t):
 @query("ablation_auc")
 def _(t):
     split, _model = fitted(t)
-    return TR.ablation_auc(split.filter("is_train"), split.filter("NOT is_train"), trees=20)
+    return TR.ablation_auc(split.filter("is_train"), split.filter("NOT is_train"), trees=TREES)
 
 
 @query("retrain_job")
 def _(t):
-    return TR.retrain(training_frame(t), trees=20)
+    return TR.retrain(training_frame(t), trees=TREES)

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.session import shared_folder
 
 
-def read_import_csv(spark: SparkSession, path: str, multi_line: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def _plain_name(header: str) -> str:
+    """A header cell as a column name: no byte-order mark, lower case, runs of blanks as one underscore."""
+    return re.sub(r"[\s_]+", "_", re.sub(r"^[\ufeff\s]+|\s+$", "", header).lower())
+
+
+def read_import_csv(spark: SparkSession, path: str, multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """A1: every column as text, blank cells NULL, headers trimmed, lower case, blanks to underscores.
 
-    ``multi_line`` allows line breaks inside quoted cells and reads one file per task, so large
-    imports should come as many files; switch it off for files without such breaks and Spark
-    splits them. A byte-order mark is taken off the first header.
+    Spark splits large files over tasks. ``multi_line`` allows line breaks inside quoted cells, as in message
+    files, and reads one file per task, so such imports should come as many files. Files of one path must have one header: a file
+    with its columns in another order is refused, never read by position. Files in another encoding than UTF-8 need ``encoding``.
     """
     raw = (
-        spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
+        spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .option("encoding", encoding).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
     )
-    names = [c.lstrip("﻿").strip().lower().replace(" ", "_") for c in raw.columns]
+    names = [_plain_name(c) for c in raw.columns]
     cells = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]  # quoted blanks are blank cells too
     meta = raw.select(*cells, F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("source_row"))
     return meta.toDF(*names, "source_file", "source_row")
@@ -32,19 +38,22 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The parquet table at ``path``, or None where nothing has been written yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The parquet table at ``path``, or None where nothing is there; an unreadable table is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
+    return spark.read.parquet(path)
 
 
 def write_snapshot(rows: DataFrame, path: str, keys: tuple[str, ...] = ("customer_id",), partition: str = "as_of_date", files: int = 64) -> None:
     """Upsert by key and date: only the touched date partitions are read, merged and replaced.
 
-    Each date is written as ``files`` files, by as many tasks.
-    The merged rows are staged first, so a lost executor never reads a half-replaced partition.
+    Each date is written as ``files`` files, by as many tasks. Of several rows of one key and date the one with the
+    least other columns, in their order, is kept. The merged rows are staged first, so a lost executor never reads a
+    half-replaced partition.
     """
+    others = [c for c in rows.columns if c not in (*keys, partition)]
+    rows = rows.groupBy(*keys, partition).agg(F.min(F.struct(*others)).alias("_r")).select(*keys, partition, "_r.*").select(*rows.columns) if others else rows.distinct()
     spark = rows.sparkSession
     old = stored(spark, path)
     if old is not None:

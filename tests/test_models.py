@@ -69,7 +69,7 @@ def test_oversampling_balances_between_neighbours(frame):
     assert training.needs_oversampling(counts["positives"], counts["negatives"])
     out = training.oversample(frame, FEATURE_NAMES)
     made = out.filter("synthetic").collect()
-    assert abs(len(made) - (counts["negatives"] - counts["positives"])) <= 0.25 * counts["positives"] + 5
+    assert len(made) == counts["negatives"] - counts["positives"]
     real = [r["recency_days"] for r in frame.filter("churned = 1").collect()]
     assert all(min(real) <= r["recency_days"] <= max(real) and r["churned"] == 1 for r in made)
     again = training.oversample(frame, FEATURE_NAMES).filter("synthetic").count()

@@ -238,6 +238,29 @@ COMPLAINTS = [("Saya sangat kecewa dengan layanan ini", True, False), ("Treatmen
               ("Bisa uang kembali?", True, True), ("Mau booking untuk besok", False, False), ("kembalikan uang!", True, True), ("rusaknya", False, False), (None, False, False)]
 
 
+def test_last_resort_dates_keep_the_wall_time(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["2024-05-06T07:08:09", "2024-05-06 07:08:09.250000", "6 May 2024", "May 6, 2024", "2024-05-06T07:08:09Z", "2024-03-10 02:30:00", "31/04/2024", "6 Maybe 2024", "2024-05-06 25:00"]
+    want = [ts("2024-05-06T07:08:09"), ts("2024-05-06T07:08:09.250000"), ts("2024-05-06T00:00:00"), ts("2024-05-06T00:00:00"), ts("2024-05-06T07:08:09"), ts("2024-03-10T02:30:00"), None, None, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, d string")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert [r[0] for r in df.orderBy("i").select(text.parse_datetime(F.col("d"))).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_every_rule_finds_its_wording(spark):
+    complaints = ("komplain keluhan kecewa buruk parah rusak cacat jelek telat terlambat lambat kasar".split()
+                  + [f"{no} {word}" for no in ("tidak", "nggak", "gak") for word in ("puas", "sesuai", "bagus", "baik")]
+                  + [f"kurang  {word}" for word in ("puas", "bagus", "baik", "bersih", "ramah")] + ["lama banget"])
+    refunds = ["refund", "uang kembali", "kembali uang", "kembalikan uang", "balikin uang", "dana kembali", "cancel booking", "batal booking", "batalkan booking"]
+    rows = [(x, x in refunds) for x in complaints + refunds]
+    df = spark.createDataFrame([(f"ya, {x}.", r) for x, r in rows], "t string, r boolean")
+    assert df.filter(~text.detect_complaint(F.col("t")) | (text.detect_refund(F.col("t")) != F.col("r"))).count() == 0
+    assert len(text.COMPLAINT_PATTERNS) == 17 and len(text.REFUND_PATTERNS) == 7
+
+
 def test_complaint_and_refund_rules(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(COMPLAINTS)], "i int, t string")
     got = df.select(text.detect_complaint(F.col("t")), text.detect_refund(F.col("t"))).collect()
@@ -245,7 +268,7 @@ def test_complaint_and_refund_rules(spark):
 
 
 def test_message_counts(spark):
-    stats = text.message_stats(F.lit("Halo! Bagaimana kabar? Saya sangat senang!!"))
+    stats = text.message_stats(F.lit("Pesanan sampai! Bisa kirim nota?! Makasih ya!"))
     assert value(spark, F.struct(stats["num_exclamations"], stats["num_questions"])) == (3, 1)
 
 

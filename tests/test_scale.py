@@ -11,6 +11,7 @@ from ebbtide.config import FeatureConfig
 from ebbtide.functions import ranking, series, skew
 from ebbtide.operators import evaluation, features, training
 from ebbtide.plans.bindings import DENSE, Tables
+from ebbtide.session import shared_folder
 from ebbtide.sources.imports import read_import_csv, write_snapshot
 
 
@@ -152,8 +153,68 @@ def test_snapshot_upsert(spark, tmp_path):
     assert got == [(1, d1, 1), (1, d2, 1), (2, d1, 9), (3, d1, 9)]
 
 
+def test_snapshot_of_repeated_keys_and_unreadable_tables(spark, tmp_path):
+    day, schema = dt.date(2024, 1, 1), "customer_id long, as_of_date date, v long"
+    path = str(tmp_path / "snap")
+    write_snapshot(spark.createDataFrame([(1, day, 5), (1, day, 3)], schema), path)
+    assert [r["v"] for r in spark.read.parquet(path).collect()] == [3]
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        write_snapshot(spark.createDataFrame([(1, day, 1)], schema), str(broken))
+    assert (broken / "part-0.parquet").read_bytes() == b"not parquet"
+
+
+def test_import_of_files_with_other_column_orders_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\nC1,Ann\n")
+    (tmp_path / "b.csv").write_text("name,id\nBob,C2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_import_csv(spark, str(tmp_path)).collect()
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(), "x")
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/ck"}
+    assert shared_folder(Session(), "x").startswith("hdfs://shared/ck/x-")
+
+
+def test_correlations_use_all_rows_of_a_pair(spark):
+    rows = [(float(i), float(i * i % 17), None if i % 3 else float(-i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r[0], r[1]): r[2] for r in evaluation.correlations(df, ("a", "b", "c"), above=-1.0).collect()}
+    a, b = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    assert abs(got["a", "b"] - np.corrcoef(a, b)[0, 1]) < 1e-9 and abs(got["a", "c"] + 1) < 1e-9
+
+
+def test_messages_are_pruned_before_the_joins(spark, sf_dir):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    t = Tables(spark, sf_dir)
+    plan = features.feature_vector(t.customers(), t.purchases(), t.trusted(), t.semantics(), [t.anchor("events")], DENSE)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "event_id" in line and "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(ts," in line and "LessThan(ts," in line for line in scans)
+
+
+def test_split_refuses_what_it_cannot_split(spark):
+    schema = "observation_date date, customer_id string"
+    for rows in ([], [(dt.date(2024, 1, 1), "a")], [(dt.date(2024, 1, 1), "a"), (None, "b"), (dt.date(2024, 1, 2), "c")]):
+        with pytest.raises(ValueError):
+            training.time_split(spark.createDataFrame(rows, schema))
+
+
 def test_read_import_csv(spark, tmp_path):
     path = tmp_path / "m.csv"
     path.write_text('﻿Message ID, Phone Number ,message_text\nm1,0811,"hello, ""you""\nsecond line"\nm2,,"x"\n', encoding="utf-8")
-    got = read_import_csv(spark, str(path)).orderBy("source_row").collect()
+    got = read_import_csv(spark, str(path), multi_line=True).orderBy("source_row").collect()
     assert [(r["message_id"], r["phone_number"], r["message_text"]) for r in got] == [("m1", "0811", 'hello, "you"\nsecond line'), ("m2", None, "x")]
