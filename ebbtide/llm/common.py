@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +24,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fixed(df: DataFrame, label: str = "input") -> DataFrame:
+    """``df`` itself if it is a plain scan, whose rows come in the same order in every evaluation; else a stored copy.
+
+    Operators that number rows and read their input more than once start from this.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.sub(r"^[\s:+-]*", "", line).split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
+    return df if nodes <= {"Relation", "Project", "Filter", "LocalRelation", "LogicalRDD"} else stage(df, label)
+
+
 def row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     """Number the rows of a table, so that repeated and missing ids stay apart.
 
     The number depends on the file split and the place in it, so it is the same in every
-    evaluation of a scan. Use it directly on a scan or on a stored stage.
+    evaluation of a scan. Use it directly on a scan, a stored stage or :func:`fixed` data.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import BROADCAST_ROWS, ascii_lower, row_id, small_side, stage
+from ebbtide.llm.common import BROADCAST_ROWS, ascii_lower, fixed, row_id, small_side, stage
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -44,10 +44,10 @@ def hits(docs: DataFrame, windows: DataFrame, lengths: list[int], small: bool) -
         probe = windows.filter(F.col("length") == length).select(F.xxhash64(F.split("window", " ")).alias("_h"), "window", "items")
         probe = F.broadcast(probe) if small else probe
         listed = docs.select("_rid", words(F.col("text")).alias("_w"))
-        spread = listed.select("_rid", "_w" if small else F.lit(None).alias("_w"), F.posexplode(_starts(length)).alias("_at", "_h"))
-        met = spread.join(probe, "_h")
+        kept = ["_rid", "_w"] if small else ["_rid"]
+        met = listed.select(*kept, F.posexplode(_starts(length)).alias("_at", "_h")).join(probe, "_h")
         if not small:
-            met = met.drop("_w").join(listed, "_rid")
+            met = met.join(listed, "_rid")
         sure = F.concat_ws(" ", F.slice("_w", F.col("_at") + 1, length)) == F.col("window")
         found.append(met.filter(sure).select("_rid", F.col("_at").alias("start"), F.lit(length).alias("length"), "items"))
     out = found[0]
@@ -78,6 +78,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_wind
     judged one by one, whether or not ids repeat. Without items nothing is hit. Other columns are
     not read.
     """
+    docs = fixed(docs)
     windows = stage(item_windows(items, n), "windows")
     sizes = windows.groupBy("length").count().collect()  # n rows at most
     base = row_id(docs.select("doc_id", "text"))
@@ -103,5 +104,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_wi
     The list of contaminated rows is stored and anti-joined; texts are shuffled only if it is too
     long to broadcast.
     """
+    docs = fixed(docs)
     bad = stage(contamination(docs, items, n, broadcast_windows).filter("contaminated").select("_rid"), "contaminated")
     return row_id(docs).join(small_side(bad), "_rid", "left_anti").drop("_rid")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ebbtide.llm.common import small_side, stage
+from ebbtide.llm.common import fixed, small_side, stage
 
 #: Bits of the hash that one histogram resolves.
 LEVEL_BITS = 12
@@ -144,6 +144,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
 
     ``docs`` is scanned twice and never shuffled. Rows without words are left out, for they add nothing.
     """
+    docs = fixed(docs)
     keyed = _keyed(docs.select("doc_id", "text", "source"))
     found, level = plan(stage(keyed.drop("text"), "sizes"), weights, share, cap)
     names = docs.columns

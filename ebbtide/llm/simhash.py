@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import row_id, small_side, stage
+from ebbtide.llm.common import fixed, row_id, small_side, stage
 from ebbtide.llm.components import components, fold
 
 BITS = 64
@@ -152,7 +152,7 @@ def linked_fingerprints(fps: DataFrame, radius: int = 3, cell: int = 4096) -> Da
         rows, depth = stage(_cells(rows.join(full, key, "left_semi"), depth, more), "deeper-cells"), depth + more
     cells = done[0]
     for part in done[1:]:
-        cells = cells.union(part)
+        cells = cells.unionByName(part)
     links = cells.groupBy(*key).applyInArrow(lambda k, t: _tie(k, t, radius), "u long, v long")
     return components(links)
 
@@ -180,6 +180,7 @@ def deduplicated(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 
     The rows to drop are stored and anti-joined; texts are shuffled only if that list is too long to broadcast.
     """
+    docs = fixed(docs)
     rows = stage(near_duplicates(docs, k, radius), "near-duplicates")
     # rows that carry their group's least id (or none, where no row has one); the first of them stays
     first = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min("_rid").alias("_rid"))

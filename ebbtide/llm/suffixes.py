@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import row_id, stage
+from ebbtide.llm.common import fixed, row_id, stage
 
 WINDOW = 400
 #: Bytes of the first digit. A window holds WINDOW - DIGIT + 1 of them.
@@ -209,6 +209,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     repeats, are kept whole. Every row is a document of its own, so repeated rows remove each other.
     Columns other than doc_id and text are not read.
     """
+    docs = fixed(docs)
     base = row_id(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
     spans = repeated_spans(base.filter(F.octet_length("text") >= WINDOW).select("_rid", "text"))
     by_text = spans.groupBy("_rid").agg(F.collect_list(F.struct("start", "end")).alias("listed"))  # spans of one text
