@@ -6,7 +6,7 @@ import numpy as np
 
 LIMIT = 18
 #: Ids between two bit offsets from which decoding can begin.
-STEP = 1024
+STEP = 512
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -89,26 +89,25 @@ class Decoder:
 
     def __init__(self, lengths: np.ndarray):
         self.width = max(1, int(lengths.max(initial=1)))
-        self.symbol, self.length = np.zeros(1 << self.width, np.uint32), np.ones(1 << self.width, np.uint8)
+        self.entry = np.ones(1 << self.width, np.uint64)  # symbol above, length in the low byte
         codes = canonical(lengths)
         for s in np.flatnonzero(lengths).tolist():
             n = int(lengths[s])
             a = int(codes[s]) << (self.width - n)
-            self.symbol[a : a + (1 << (self.width - n))] = s
-            self.length[a : a + (1 << (self.width - n))] = n
+            self.entry[a : a + (1 << (self.width - n))] = (s << 8) | n
 
     def decode(self, payload: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Ids of runs that begin at bit offsets ``starts``, all runs side by side, in the order given."""
         data = np.frombuffer(payload + bytes(4), np.uint8)
         words = (data[:-3].astype(np.uint32) << 24) | (data[1:-2].astype(np.uint32) << 16) | (data[2:-1].astype(np.uint32) << 8) | data[3:]
         order = np.argsort(-sizes, kind="stable")
-        at, left, first = starts[order].copy(), sizes[order], (np.cumsum(sizes) - sizes)[order]
+        at, first = starts[order].astype(np.uint64), (np.cumsum(sizes) - sizes)[order]
+        active = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0)))).tolist()  # runs longer than k come first
         out = np.zeros(int(sizes.sum()), np.uint32)
-        drop = np.uint32(32 - self.width)
-        for k in range(int(sizes.max(initial=0))):
-            n = int(np.searchsorted(-left, -k))  # runs longer than k come first
+        drop, byte, low, eight = np.uint32(32 - self.width), np.uint64(3), np.uint64(7), np.uint64(255)
+        for k, n in enumerate(active):
             here = at[:n]
-            peek = (words[here >> 3] << (here & 7).astype(np.uint32)) >> drop
-            out[first[:n] + k] = self.symbol[peek]
-            here += self.length[peek]
+            found = self.entry[(words[here >> byte] << (here & low).astype(np.uint32)) >> drop]
+            out[first[:n] + k] = found >> np.uint64(8)
+            here += found & eight
         return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +20,12 @@ from ebbtide.session import shared_folder
 END_ID = 0
 #: Ids after which a block is closed; a document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 16
-#: Distinct pieces of text whose ids a worker keeps.
-KEEP = 600_000
+#: Distinct pieces of text whose ids a worker keeps, and as many of an older generation.
+KEEP = 700_000
+#: Code points of whole texts whose ids a worker keeps.
+SEEN = 8_000_000
+#: Ids that a task decodes side by side.
+DECODED = 1 << 20
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
@@ -39,6 +44,7 @@ class Encoder:
     """
 
     def __init__(self, definition: str, keep: int = KEEP):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
@@ -51,19 +57,25 @@ class Encoder:
             self.opens[number] = name.startswith("\u0120")  # the byte-level mark of a leading space
         made = json.loads(definition)
         self.cuttable = (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and made.get("normalizer") is None
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.older = keep, {}, {}
+        self.seen, self.size_seen = {}, 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def _learn(self, parts: set[str]) -> None:
         new = [w for w in parts if w not in self.known]
-        fit = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-        self.known.update(dict.fromkeys(new))  # a part with blanks at its ends: not to be used
-        for at in range(0, len(fit), 4000):
-            some = fit[at : at + 4000]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, self.kind)
+        if len(self.known) + len(new) > self.keep:
+            self.older, self.known = self.known, {}  # what is still in use comes back from the older half
+            new = list(parts)
+        for w in new:
+            self.known[w] = self.older.get(w)  # None for a part with blanks at its ends: not to be used
+        fit = [w for w in new if self.known[w] is None and w and not w[0].isspace() and not w[-1].isspace()]
+        for at in range(0, len(fit), 1 << 16):
+            some = fit[at : at + (1 << 16)]
+            lines = [" " + " ".join(some[k : k + 1000]) for k in range(0, len(some), 1000)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(lines, add_special_tokens=False)])
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(some):
                 raise ValueError("the vocabulary marks leading spaces in another way")
@@ -71,21 +83,32 @@ class Encoder:
             self.known.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:])), strict=False))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; a text met again while it is remembered is not encoded again."""
+        new = list(dict.fromkeys(t for t in texts if t not in self.seen))
+        found = dict(zip(new, self._encode(new), strict=True))
+        out = [found[t] if t in found else self.seen[t] for t in texts]
+        size = sum(map(len, new))
+        if self.size_seen + size > SEEN:
+            self.seen, self.size_seen = {}, 0
+        if size <= SEEN:
+            self.seen.update(found)
+            self.size_seen += size
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuttable:
             return self.whole(texts)
         cut = [t.split(" ") for t in texts]
-        parts = set().union(*[c[1:] for c in cut])
-        if len(self.known) + len(parts) > self.keep:
-            self.known.clear()
-        self._learn(parts)
-        heads = self.whole([c[0] for c in cut])
+        self._learn(set().union(*[c[1:] for c in cut]))
+        heads = list({c[0] for c in cut})
+        first = dict(zip(heads, self.whole(heads), strict=True))
         out, look = [], self.known.__getitem__
-        for text, c, head in zip(texts, cut, heads, strict=True):
+        for text, c in zip(texts, cut, strict=True):
             try:
                 # a blank at the end of the first part touches the space after it
                 if c[0][-1:].isspace() and len(c) > 1:
                     raise TypeError
-                out.append(head + b"".join(map(look, c[1:])))
+                out.append(first[c[0]] + b"".join(map(look, c[1:])))
             except TypeError:
                 out.append(self.whole([text])[0])
         return out
@@ -150,7 +173,7 @@ def write(docs: DataFrame, path: str, definition: str, parts: int | None = None)
     ``path/lengths``: the code length of every id that occurs, which defines the canonical code.
     ``path/blocks``: per row a block of whole documents: segment, block, the first id's place in the
     segment, doc_ids, ids per document, bytes per document, payload, and per document the bit offset of every
-    1024th id, from which decoding can begin. ``path/segments``: ids before each segment.
+    ``huffman.STEP``-th id, from which decoding can begin. ``path/segments``: ids before each segment.
     """
     enc = Encoder(definition)
     size, kind = enc.size, enc.kind
@@ -236,17 +259,35 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = huffman.Decoder(told.value)
+
+        def decode(blocks: list[tuple]) -> pa.RecordBatch:
+            """Several blocks side by side: every run between two bit offsets is one lane."""
+            sizes = np.concatenate([np.array(b[2], np.int64) for b in blocks])
+            used = np.concatenate([np.array(b[3], np.int64) for b in blocks])
+            base = (np.cumsum(used) - used) * 8
+            per_doc = np.array([len(m) for b in blocks for m in b[4]], np.int64)
+            marks = np.array([x for b in blocks for m in b[4] for x in m], np.int64) + np.repeat(base, per_doc)
+            step = np.arange(per_doc.sum()) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+            runs = np.minimum(huffman.STEP, np.repeat(sizes, per_doc) - step * huffman.STEP)
+            ids = table.decode(b"".join(b[5] for b in blocks), marks, runs).astype("<u4")
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            n = [len(b[2]) for b in blocks]
+            first = np.repeat([b[0] for b in blocks], n) + ends[:-1] - np.repeat(ends[np.cumsum([0, *n[:-1]])], n)
+            crc = [zlib.crc32(ids[p:q]) for p, q in zip(ends.tolist(), ends[1:].tolist())]
+            docs = pa.concat_arrays([b[1] for b in blocks])
+            return pa.RecordBatch.from_arrays([docs, pa.array(first), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+        held, total = [], 0
         for b in batches:
             for k in range(b.num_rows):
-                sizes = np.array(b.column("sizes")[k].as_py(), np.int64)
-                base = np.cumsum([0, *b.column("bytes")[k].as_py()])[:-1] * 8
-                marks = [np.array(m, np.int64) + o for m, o in zip(b.column("marks")[k].as_py(), base.tolist(), strict=True)]
-                runs = [np.minimum(huffman.STEP, n - np.arange(0, n, huffman.STEP)) for n in sizes.tolist()]
-                ids = table.decode(b.column("payload")[k].as_py(), np.concatenate(marks), np.concatenate(runs)).astype("<u4")
-                ends = np.concatenate(([0], np.cumsum(sizes)))
-                start = b.column("first")[k].as_py() + b.column("before")[k].as_py() + ends[:-1]
-                crc = [zlib.crc32(ids[p:q]) for p, q in zip(ends.tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[k].values, pa.array(start), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                at = b.column("first")[k].as_py() + b.column("before")[k].as_py()
+                held.append((at, b.column("doc_ids")[k].values, *[b.column(c)[k].as_py() for c in ("sizes", "bytes", "marks", "payload")]))
+                total += sum(held[-1][2])
+                if total >= DECODED:
+                    yield decode(held)
+                    held, total = [], 0
+        if held:
+            yield decode(held)
 
     return placed.mapInArrow(run, f"doc_id {doc_type}, start long, n_tokens long, ids_crc32 long")
 
