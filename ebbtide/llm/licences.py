@@ -47,6 +47,8 @@ WINNOW = 2
 #: Words by which an alignment may leave the diagonal of its candidate.
 BAND = 6
 COVERAGE = 0.8
+#: Templates of up to this many words must be found whole: one other word names another licence.
+SHORT = 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _PLAIN = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else 32 for c in bytes(range(256)).lower())
 
@@ -91,12 +93,13 @@ class Scanner:
         """(equal words, first word, word after the last) of the best local alignment near a diagonal.
 
         Equal words add one, a word left out or put in costs a third, an exchanged word two thirds.
-        Cells further than the band from the diagonal are not looked at.
+        Cells further than the band from the diagonal are not looked at; of equally good
+        alignments the one that begins nearest to the diagonal is taken.
         """
         lo, hi = max(0, begin - self.band), min(len(w), begin + len(template) + self.band)
         part = w[lo:hi]
         none = (0, 0, 0, 0)  # score in thirds, -first, equal, end
-        best, before = none, {}
+        best, before = (0, 0, 0, 0), {}
         for i, word in enumerate(template):
             row, at = {}, begin - lo + i
             for j in range(max(0, at - self.band), min(len(part), at + self.band + 1)):
@@ -108,10 +111,10 @@ class Scanner:
                     cell = max((diag[0] - 2, *diag[1:]), (up[0] - 1, *up[1:]), (left[0] - 1, *left[1:]))
                     cell = cell if cell[0] > 0 else none
                 row[j] = cell
-                if (cell[2], cell[0], cell[1]) > (best[2], best[0], best[1]):
-                    best = cell
+                if (cell[2], cell[0]) > best[:2] or ((cell[2], cell[0]) == best[:2] and abs(lo - cell[1] - begin) < abs(lo - best[2] - begin)):
+                    best = (cell[2], cell[0], cell[1], cell[3])
             before = row
-        return best[2], lo - best[1], lo + best[3]
+        return best[0], lo - best[2], lo + best[3]
 
     def scan(self, text: bytes) -> list[tuple[str, float, int, int, int]]:
         """(template, coverage, equal words, first byte, byte after the last), in order of place.
@@ -131,7 +134,7 @@ class Scanner:
             taken: list[tuple[int, int]] = []
             for equal, first, end in sorted(set(found), key=lambda f: (-f[0], f[1], f[2])):
                 share = equal / len(self.templates[name])
-                if share < self.coverage or any(first < q and p < end for p, q in taken):
+                if share < (1.0 if len(self.templates[name]) <= SHORT else self.coverage) or any(first < q and p < end for p, q in taken):
                     continue
                 taken.append((first, end))
                 spots = spots or [m.span() for m in WORD.finditer(text.lower())]
@@ -143,7 +146,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     """One row per match: _rid, doc_id, licence, coverage, n_words, span_start, span_end.
 
     ``coverage`` is the share of the template's words found equal and in order, ``n_words`` their number; the span is in
-    code points of the text. The index of the templates is a parameter, not corpus data, and goes to every
+    code points of the text. Templates of up to 20 words count only whole, longer ones from ``coverage`` on. The index of the templates is a parameter, not corpus data, and goes to every
     task. Whole texts are scanned. Null and empty texts, and templates without words, match nothing; repeated rows
     each give their matches. An empty table gives no rows; columns other than doc_id and text are not read.
     """

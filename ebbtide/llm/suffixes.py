@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import fixed, row_id, stage
+from ebbtide.llm.common import fixed, row_id, small_side, stage
 
 WINDOW = 400
 #: Bytes of the first digit. A window holds WINDOW - DIGIT + 1 of them.
@@ -158,23 +158,26 @@ def repeated_spans(base: DataFrame) -> DataFrame:
     3. The windows of the open runs are sorted through all 400 bytes; equal groups are the repeats.
        Digits with more than ``GROUP`` open runs are not gathered: their windows are counted as rows.
 
-    Steps 1 and 2 are counts that combine before the shuffle. Joins have one row per digit on one side.
+    Steps 1 and 2 are counts that combine before the shuffle. Joins have one stored row per
+    digit on one side, so adaptive skew handling can split a digit with very many runs on the other.
     """
     listed = stage(base.mapInArrow(_index, "_rid long, a long, near long, far long, digit long, run long"), "runs")
     often = listed.groupBy("digit").agg(F.count(F.lit(1)).alias("_n"), F.min("run").alias("_lo"), F.max("run").alias("_hi")).filter("_n > 1")
-    met = stage(listed.join(often.select("digit", (F.col("_lo") != F.col("_hi")).alias("mixed")), "digit"), "met")
+    often = stage(often.select("digit", (F.col("_lo") != F.col("_hi")).alias("mixed")), "digits")
+    met = stage(listed.join(often, "digit"), "met")
     whole = met.filter("not mixed")
     mixed = met.filter("mixed")
     same = stage(mixed.groupBy("digit", "run").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rid", "a", "near", "far")).alias("r")), "same")
     whole = whole.unionByName(mixed.join(same.filter("_n > 1").select("digit", "run"), ["digit", "run"]))
     spans = whole.select("_rid", (F.col("a") - F.col("far")).alias("start"), (F.col("a") - F.col("near") + WINDOW).alias("end"))
-    crowded = same.groupBy("digit").agg(F.count(F.lit(1)).alias("_k")).select("digit", (F.col("_k") > GROUP).alias("hot"))
-    open_ = same.join(crowded, "digit").select("r._rid", F.struct("r.a", "r.near", "r.far", "digit", "hot").alias("x"))
+    crowded = stage(same.groupBy("digit").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > GROUP).select("digit", F.lit(True).alias("hot")), "crowded")
+    marked = same.join(small_side(crowded), "digit", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    open_ = marked.select("r._rid", F.struct("r.a", "r.near", "r.far", "digit", "hot").alias("x"))
     by_text = open_.groupBy("_rid").agg(F.collect_list("x").alias("listed"))  # runs of one text
     cut = stage(base.join(by_text, "_rid").mapInArrow(_cut, "_rid long, a long, near long, far long, digit long, hot boolean, bytes binary"), "open-runs")
     small = cut.filter("not hot").groupBy("digit").applyInArrow(_sorted_group, "_rid long, start long, end long")
     windows = cut.filter("hot").mapInArrow(_listed_windows, "_rid long, start long, h long, digit long")
-    twice = windows.groupBy("digit", "h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    twice = stage(windows.groupBy("digit", "h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"), "windows")
     large = windows.join(twice, ["digit", "h"]).select("_rid", "start", (F.col("start") + WINDOW).alias("end"))
     return spans.unionByName(small).unionByName(large)
 

@@ -109,15 +109,15 @@ def _compare(key: tuple, block: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"node": ids[used], "links": total[used], "root": ids[labels[used]]})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE, sigmas: float = 4.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE, sigmas: float = 6.0) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors with a cosine of at least ``cosine`` in double precision are linked, whatever their labels; equal
     vectors are one node with a count. Centroids are fitted on at most ``sample`` vectors, chosen by
-    hash; every vector is assigned. A pair parted by a cell border is found if the border is within
-    the margin of one of them. The full margin is the chord of the angle, but in d dimensions a difference
-    of that length leans sqrt(1/d) of it against any one plane, so the margin is ``sigmas`` of these, never more
-    than the chord; ``sigmas=inf`` gives the exact bound at the cost of more visits.
+    hash; every vector is assigned. A pair parted by a cell border is found if the border is within the margin
+    of either, and one of them is within half of what their difference measures across the border. That is the chord of
+    the angle at most, but in d dimensions a difference of that length leans sqrt(1/d) of it against any one plane, so
+    ``sigmas`` of these are halved, never more than the chord; ``sigmas=inf`` gives the exact bound at the cost of more visits.
 
     Null, zero, non-finite vectors and such with null components are rows without links, each its own component.
     Vectors of other lengths are compared among themselves only. Rows without id take part, but name
@@ -133,7 +133,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE,
         some = nodes.filter((F.size("v") == d) & (F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30)))).select("v").limit(sample).toPandas()["v"]
         x = unit(np.stack(some.to_list())) if len(some) else np.ones((1, d)) / math.sqrt(d)
         models[d] = spherical_kmeans(x, max(1, min(MAX_CELLS, len(x), n // BLOCK * 2)))
-        margin[d] = min(chord, sigmas * chord / math.sqrt(d))
+        margin[d] = min(chord, sigmas * chord / math.sqrt(d)) / 2
     placed = stage(_cells(nodes.select("node", "n", "v"), models, margin), "cells") if sizes else None
     if placed is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
