@@ -46,7 +46,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _cells(nodes: DataFrame, models: dict[int, np.ndarray], margin: dict[int, float]) -> DataFrame:
+def _cells(nodes: DataFrame, models: dict[int, np.ndarray], margin: dict[int, float], chord: float) -> DataFrame:
     """Home cell of every vector and the cells it visits.
 
     A vector visits each cell whose border (the plane half-way between the two centroids) is nearer
@@ -66,7 +66,8 @@ def _cells(nodes: DataFrame, models: dict[int, np.ndarray], margin: dict[int, fl
                 dots = x @ centres.T
                 best = dots.argmax(axis=1)
                 apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-18))
-                visits = (dots[np.arange(len(at)), best][:, None] - dots) <= margin[d] * apart[best]
+                wide = np.where(apart < 3 * chord, chord / 2, margin[d]) * apart
+                visits = (dots[np.arange(len(at)), best][:, None] - dots) <= wide[best]
                 for r, i in enumerate(at.tolist()):
                     home[i], packed[i] = int(best[r]), x[r].tobytes()
                     seen[i] = np.flatnonzero(visits[r]).tolist()
@@ -117,7 +118,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE,
     hash; every vector is assigned. A pair parted by a cell border is found if the border is within the margin
     of either, and one of them is within half of what their difference measures across the border. That is the chord of
     the angle at most, but in d dimensions a difference of that length leans sqrt(1/d) of it against any one plane, so
-    ``sigmas`` of these are halved, never more than the chord; ``sigmas=inf`` gives the exact bound at the cost of more visits.
+    ``sigmas`` of these are halved, never more than the chord. Between centroids nearer than three chords, which may part
+    one group, half the chord itself is the margin. ``sigmas=inf`` gives this exact bound everywhere, at the cost of more visits.
 
     Null, zero, non-finite vectors and such with null components are rows without links, each its own component.
     Vectors of other lengths are compared among themselves only. Rows without id take part, but name
@@ -134,7 +136,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE,
         x = unit(np.stack(some.to_list())) if len(some) else np.ones((1, d)) / math.sqrt(d)
         models[d] = spherical_kmeans(x, max(1, min(MAX_CELLS, len(x), n // BLOCK * 2)))
         margin[d] = min(chord, sigmas * chord / math.sqrt(d)) / 2
-    placed = stage(_cells(nodes.select("node", "n", "v"), models, margin), "cells") if sizes else None
+    placed = stage(_cells(nodes.select("node", "n", "v"), models, margin, chord), "cells") if sizes else None
     if placed is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     visits = placed.withColumn("cell", F.explode("seen"))
