@@ -79,11 +79,10 @@ def hashing_encoder(dim: int = 64) -> Encoder:
     return encode
 
 
-def embed_messages(messages: DataFrame, encoder: Encoder | None = None, batch: int = 32, version: str = "hashing-64") -> DataFrame:
-    """Vectors for texts, NULL for blank ones; the encoder is built once per Python worker."""
-    encode = encoder or hashing_encoder()
-
+def embed_messages(messages: DataFrame, encoder: Callable[[], Encoder] = hashing_encoder, batch: int = 32, version: str = "hashing-64") -> DataFrame:
+    """Vectors for texts, NULL for blank ones. ``encoder`` makes the encoder; each task calls it once, so a model is never pickled."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = encoder()
         for frame in frames:
             texts = frame["text"].fillna("")
             vectors: list = [None] * len(frame)

@@ -61,9 +61,13 @@ def sentiment_label(score: Column) -> Column:
     return F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral")
 
 
-def score_sentiment_with(messages: DataFrame, scorer: Scorer, batch: int = 32) -> DataFrame:
-    """E1 with an injected model: it sees batches of non-blank texts and gives (label, valence)."""
+def score_sentiment_with(messages: DataFrame, make_scorer: Callable[[], Scorer], batch: int = 32) -> DataFrame:
+    """E1 with an injected model: it sees batches of non-blank texts and gives (label, valence).
+
+    ``make_scorer`` loads the model; each task calls it once.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = make_scorer()
         for frame in frames:
             labels, scores = ["neutral"] * len(frame), [0.0] * len(frame)
             filled = [i for i, text in enumerate(frame["text"]) if text and text.strip()]

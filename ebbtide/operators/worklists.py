@@ -95,7 +95,10 @@ def risk_level_actions(labels: DataFrame, column: str = "churn_label") -> DataFr
 
 
 def top_reason(contributions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Per prediction the stored first reason, else the largest absolute contribution with its wording."""
+    """Per prediction the stored first reason, else the largest absolute contribution with its wording.
+
+    A stored explanation counts only if it is one of model contributions (``explanation_type`` is "shap").
+    """
     best = contributions.groupBy("pred_id").agg(
         F.max_by(F.struct("feature", "value"), F.struct(F.abs("contribution"), -F.col("slot"), F.col("value"))).alias("b")
     ).select("pred_id", "b.feature", "b.value")
@@ -105,7 +108,7 @@ def top_reason(contributions: DataFrame, stored: DataFrame | None = None) -> Dat
     out = best.select("pred_id", F.col("feature").alias("top_feature"), F.concat(text, suffix).alias("top_reason"))
     if stored is None:
         return out
-    first = stored.select("pred_id", F.try_element_at("shap_top", F.lit(1)).alias("f")).filter("f IS NOT NULL").select(
+    first = stored.filter(F.col("explanation_type") == "shap").select("pred_id", F.try_element_at("shap_top", F.lit(1)).alias("f")).filter("f IS NOT NULL").select(
         "pred_id", F.col("f.feature").alias("_sf"), F.coalesce("f.description", "f.feature").alias("_sr"))
     joined = out.join(first, "pred_id", "full")
     return joined.select("pred_id", F.coalesce("_sf", "top_feature").alias("top_feature"), F.coalesce("_sr", "top_reason").alias("top_reason"))

@@ -97,11 +97,16 @@ class Tables:
 
     # -- message texts from conversations ---------------------------------------------------------
     def chats(self) -> DataFrame:
-        c = self.read("conversations").filter("role IN ('user', 'assistant')")
-        at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(conv_id AS INT), CAST(turn AS INT), 0)")
+        """Messages with a direction: what users and assistants say."""
+        return self.texts().filter("direction IS NOT NULL")
+
+    def texts(self) -> DataFrame:
+        """All turns; conversations begin in one of the hours of 90 days, so that any window grows with the data."""
+        c = self.read("conversations")
+        at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(conv_id % 2160 AS INT), CAST(turn AS INT), 0)")
         return c.select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), F.col("conv_id").alias("customer_id"),
-            F.when(F.col("role") == "user", "inbound").otherwise("outbound").alias("direction"), "text", at.alias("timestamp"),
+            F.when(F.col("role") == "user", "inbound").when(F.col("role") == "assistant", "outbound").alias("direction"), "text", at.alias("timestamp"),
             F.concat(F.lit("08"), F.lpad((F.col("conv_id") * 20).cast("string"), 12, "0")).alias("phone"),
         )
 
@@ -182,11 +187,12 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT user_id AS customer_id, CAST(ts AS DATE) AS as_of_date,
                CASE WHEN count(*) <= 5 THEN avg(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'error' THEN -1.0 ELSE 0.0 END) END AS avg_sentiment_score
         FROM events GROUP BY 1, 2"""),
-    "chats": ((), """
-        SELECT conv_id * 1000 + turn AS msg_id, conv_id AS customer_id, CASE WHEN role = 'user' THEN 'inbound' ELSE 'outbound' END AS direction,
-               text, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS timestamp,
+    "texts": ((), """
+        SELECT conv_id * 1000 + turn AS msg_id, conv_id AS customer_id, CASE role WHEN 'user' THEN 'inbound' WHEN 'assistant' THEN 'outbound' END AS direction,
+               text, TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id % 2160 AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS timestamp,
                '08' || lpad(CAST(conv_id * 20 AS VARCHAR), 12, '0') AS phone
-        FROM conversations WHERE role IN ('user', 'assistant')"""),
+        FROM conversations"""),
+    "chats": (("texts",), "SELECT * FROM texts WHERE direction IS NOT NULL"),
     "predictions": ((), """
         SELECT event_id AS pred_id, user_id AS customer_id, least(1.0, value / 100) AS churn_score,
                CASE WHEN least(1.0, value / 100) < 0.4 THEN 'low' WHEN least(1.0, value / 100) < 0.9 THEN 'medium' ELSE 'high' END AS churn_label,

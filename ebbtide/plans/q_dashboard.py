@@ -245,7 +245,7 @@ add_cte("queue", "latest customers num_e todo visits reasons", f"""
 
 def _worklist(t: Tables, **kw):
     numeric = D.numeric_features(t.customers(), t.purchases(), [t.anchor("events")], DENSE)
-    out = WL.risk_worklist(t.predictions(), t.customers(), numeric, t.actions(), t.transactions(), WL.top_reason(t.contributions()), **kw)
+    out = WL.risk_worklist(t.predictions(), t.customers(), numeric, t.actions(), t.transactions(), WL.top_reason(t.contributions().join(WL.latest_predictions(t.predictions()).select("pred_id"), "pred_id", "left_semi")), **kw)
     return out.withColumns({"churn_score": r6("churn_score"), "spend_90d": r6("spend_90d")})
 
 
@@ -296,6 +296,17 @@ def _(t):
     return WL.top_reason(t.contributions())
 
 
+@query("top_reason_stored", """
+    SELECT pred_id, CASE WHEN s.pred_id IS NOT NULL THEN 'stored' ELSE top_feature END AS top_feature, CASE WHEN s.pred_id IS NOT NULL THEN 'as stored' ELSE top_reason END AS top_reason
+    FROM reasons FULL JOIN (SELECT pred_id FROM predictions WHERE pred_id % 3 = 0) s USING (pred_id)""", "predictions reasons")
+def _(t):
+    """Stored explanations win where they come from the model; heuristic ones do not."""
+    p = t.predictions()
+    entry = F.array(F.struct(F.lit("stored").alias("feature"), F.lit("as stored").alias("description")))
+    stored = p.filter("pred_id % 3 IN (0, 1)").select("pred_id", entry.alias("shap_top"), F.when(F.col("pred_id") % 3 == 0, "shap").otherwise("heuristic").alias("explanation_type"))
+    return WL.top_reason(t.contributions(), stored)
+
+
 @query("action_queue", """
     SELECT * FROM actions WHERE status = 'pending' ORDER BY CASE priority WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, due_date ASC NULLS LAST, action_id LIMIT 20 OFFSET 20""", "actions")
 def _(t):

@@ -228,7 +228,7 @@ def _(t):
 
 def export_lines(t: Tables):
     """The conversations written as one export file each, split into lines; a turn plays the part of an input split."""
-    at = F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(conv_id AS INT), CAST(turn AS INT), 0)"), "dd/MM/yy, HH:mm:ss")
+    at = F.date_format(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, CAST(conv_id % 2160 AS INT), CAST(turn AS INT), 0)"), "dd/MM/yy, HH:mm:ss")
     text = F.concat(F.lit("["), at, F.lit("] "), "role", F.lit(": "), "text")
     return t.read("conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("block"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
@@ -236,7 +236,7 @@ def export_lines(t: Tables):
 _STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x0B\x1C-\x1F\x85]+|[\s\p{{Z}}\x0B\x1C-\x1F\x85]+$', '', 'g')"
 _PARSED = f"""
     SELECT conv_id AS file, turn AS message_block, role AS sender, CASE WHEN role = 'assistant' THEN 'outbound' ELSE 'inbound' END AS direction,
-           TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS timestamp,
+           TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id % 2160 AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS timestamp,
            array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {_STRIP.format('x')}), lambda x: x <> ''), chr(10)) AS text FROM conversations"""
 
 
@@ -445,9 +445,9 @@ def _(t):
 # ---------------------------------------------------------------------------------------------
 # C: messages
 # ---------------------------------------------------------------------------------------------
-@query("message_stats", "SELECT msg_id, length(coalesce(text, '')) AS msg_length, length(text) - length(replace(text, '!', '')) AS num_exclamations, length(text) - length(replace(text, '?', '')) AS num_questions FROM chats", "chats")
+@query("message_stats", "SELECT msg_id, length(coalesce(text, '')) AS msg_length, length(text) - length(replace(text, '!', '')) AS num_exclamations, length(text) - length(replace(text, '?', '')) AS num_questions FROM texts", "texts")
 def _(t):
-    return t.chats().select("msg_id", *[c.alias(n) for n, c in T.message_stats(F.col("text")).items()])
+    return t.texts().select("msg_id", *[c.alias(n) for n, c in T.message_stats(F.col("text")).items()])
 
 
 def _sql_rule(patterns: tuple[str, ...], column: str = "text") -> str:
@@ -509,9 +509,18 @@ def _(t):
     return C.response_times(t.chats().drop("text", "phone"))
 
 
+@query("embed_messages_checked", "SELECT msg_id, length(trim(text)) > 0 AS has_vector, CASE WHEN length(trim(text)) > 0 THEN 64 END AS dims, CASE WHEN length(trim(text)) > 0 THEN 1.0::DOUBLE END AS norm FROM texts", "texts")
+def _(t):
+    """What must hold for any encoder of unit vectors: a vector exactly for texts that are not blank, of length one."""
+    v = F.col("embedding")
+    out = C.embed_messages(t.texts())
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return out.select("msg_id", v.isNotNull().alias("has_vector"), F.when(v.isNotNull(), F.size(v)).alias("dims"), F.round(length, 4).alias("norm"))
+
+
 @query("embed_messages")
 def _(t):
-    return C.embed_messages(t.chats())
+    return C.embed_messages(t.texts())
 
 
 @query("mean_embedding", """
@@ -551,6 +560,6 @@ def _(t):
     return t.read("documents").select("doc_id", F.sha2(clean, 256).alias("clean_hash"), F.length(clean).alias("clean_length"))
 
 
-@query("trainable_filter", f"SELECT msg_id FROM chats WHERE length({_NORM}) >= 100 AND lower({_NORM}) NOT IN {_FILLER}", "chats")
+@query("trainable_filter", f"SELECT msg_id FROM texts WHERE length({_NORM}) >= 100 AND lower({_NORM}) NOT IN {_FILLER}", "texts")
 def _(t):
-    return t.chats().filter(T.is_trainable(F.col("text"), 100)).select("msg_id")
+    return t.texts().filter(T.is_trainable(F.col("text"), 100)).select("msg_id")

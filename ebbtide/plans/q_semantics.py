@@ -56,12 +56,12 @@ def _(t):
     return E.score_sentiment(t.read("documents"), GOOD, BAD).select("doc_id", (F.col("sentiment_score") + 0.0).alias("sentiment_score"), "sentiment_label")
 
 
-@query("score_sentiment_injected", "SELECT msg_id, CASE WHEN length(text) % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment_label, CASE WHEN length(text) % 2 = 0 THEN 0.5 ELSE -0.5 END::DOUBLE AS sentiment_score FROM chats", "chats")
+@query("score_sentiment_injected", "SELECT msg_id, CASE WHEN length(text) % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment_label, CASE WHEN length(text) % 2 = 0 THEN 0.5 ELSE -0.5 END::DOUBLE AS sentiment_score FROM texts", "texts")
 def _(t):
     def by_length(texts):
         return [("positive", 0.5) if len(x) % 2 == 0 else ("negative", -0.5) for x in texts]
 
-    return E.score_sentiment_with(t.chats().select("msg_id", "text"), by_length).drop("text")
+    return E.score_sentiment_with(t.texts().select("msg_id", "text"), lambda: by_length).drop("text")
 
 
 @query("sentiment_distribution", f"SELECT s.*, round(a.m, 6) + 0.0 AS avg_sentiment_score FROM ({_SENTIMENT}) s JOIN (SELECT customer_id, avg(score) AS m FROM win GROUP BY 1) a USING (customer_id)", "win")
@@ -72,7 +72,7 @@ def _(t):
 
 @query("train_topics")
 def _(t):
-    return E.train_topics(t.read("embeddings"), topics=10, min_size=5)
+    return E.train_topics(t.read("embeddings"), min_size=5)
 
 
 @query("topic_distribution", f"SELECT x.*, round(a.m, 6) AS avg_topic_similarity FROM ({_TOP_TOPICS}) x JOIN (SELECT customer_id, avg(similarity) AS m FROM win GROUP BY 1) a USING (customer_id)", "win")

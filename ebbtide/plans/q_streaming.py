@@ -27,19 +27,19 @@ def talk(t: Tables) -> DataFrame:
     return t.messages().select("msg_id", F.col("phone_number").cast("bigint").alias("customer_id"), "direction", "timestamp")
 
 
-@query("stream_ingest_messages", "SELECT phone AS phone_number, timestamp, sha256(text) AS text_hash FROM chats GROUP BY 1, 2, 3", "chats")
+@query("stream_ingest_messages", "SELECT phone AS phone_number, timestamp, sha256(text) AS text_hash FROM texts GROUP BY 1, 2, 3", "texts")
 def _(t):
-    chats = t.chats().select(F.col("phone").alias("phone_number"), "timestamp", "text")
+    chats = t.texts().select(F.col("phone").alias("phone_number"), "timestamp", "text")
     out = finish(t, jobs.stream_ingest_messages(as_stream(t, chats.unionByName(chats), "chat")), "ingest")
     return out.select("phone_number", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.sha2("text", 256).alias("text_hash"))
 
 
 @query("stream_message_features", f"""
     SELECT msg_id * 10 AS link_id, msg_id, customer_id, length(text) AS msg_length, length(text) - length(replace(text, '!', '')) AS num_exclamations, length(text) - length(replace(text, '?', '')) AS num_questions,
-           {_sql_rule(COMMON_COMPLAINT + COMMON_REFUND)} AS has_complaint, {_sql_rule(COMMON_REFUND)} AS has_refund_request FROM chats WHERE customer_id % 4 <> 0""", "chats")
+           {_sql_rule(COMMON_COMPLAINT + COMMON_REFUND)} AS has_complaint, {_sql_rule(COMMON_REFUND)} AS has_refund_request FROM texts WHERE customer_id % 4 <> 0""", "texts")
 def _(t):
-    links = t.chats().select("msg_id", (F.col("msg_id") * 10).alias("link_id"), "customer_id", F.when(F.col("customer_id") % 4 == 0, 0.6).otherwise(1.0).alias("match_confidence"))
-    out = jobs.stream_message_features(as_stream(t, t.chats().select("msg_id", "text"), "chat"), links, complaint=COMMON_COMPLAINT, refund=COMMON_REFUND)
+    links = t.texts().select("msg_id", (F.col("msg_id") * 10).alias("link_id"), "customer_id", F.when(F.col("customer_id") % 4 == 0, 0.6).otherwise(1.0).alias("match_confidence"))
+    out = jobs.stream_message_features(as_stream(t, t.texts().select("msg_id", "text"), "chat"), links, complaint=COMMON_COMPLAINT, refund=COMMON_REFUND)
     folder, checkpoint = scratch_dir(t.spark, "features-out"), scratch_dir(t.spark, "features-ck")
     sink = jobs.append_new_features(f"{folder}/rows")
     out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

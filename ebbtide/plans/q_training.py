@@ -98,6 +98,15 @@ def _(t):
     return TR.class_weight(TR.churn_labels(t.transactions(), obs_dates(t))).withColumn("scale_pos_weight", r6("scale_pos_weight"))
 
 
+@query("smote_class_counts", """
+    SELECT CAST(recency_days < 5 AS INT) AS churned, greatest(count(*), max(CASE WHEN recency_days < 5 THEN (SELECT count(*) FILTER (recency_days >= 5) FROM vec_e) ELSE 0 END)) AS "rows",
+           count(*) AS real_rows FROM vec_e GROUP BY 1""", "vec_e")
+def _(t):
+    """Both classes are of one size after oversampling, and no real row is lost."""
+    rows = dense_vector(t).withColumn("churned", (F.col("recency_days") < 5).cast("int"))
+    return TR.oversample(rows, FEATURE_NAMES).groupBy("churned").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("synthetic")).alias("real_rows"))
+
+
 @query("smote_oversample")
 def _(t):
     rows = dense_vector(t).withColumn("churned", (F.col("recency_days") < 5).cast("int"))
@@ -361,15 +370,16 @@ TREES = 100
 
 
 @lru_cache(maxsize=4)
-def _fitted(app: str, sf_dir: str, spark):
+def _fitted(app: str, sf_dir: str, files: tuple, spark):
     t = Tables(spark, sf_dir)
     split = cut_lineage(TR.time_split(cut_lineage(training_frame(t))))
     return split, TR.train_risk_model(split.filter("is_train"), trees=TREES)
 
 
 def fitted(t: Tables):
-    """Split training rows and the model fitted on them, once per session and data folder."""
-    return _fitted(t.spark.sparkContext.applicationId, t.sf_dir, t.spark)
+    """Split training rows and the model fitted on them, once per session and state of the files."""
+    meta = [t.read(n).agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size"), F.count(F.lit(1))).first() for n in ("orders", "customer", "events")]
+    return _fitted(t.spark.sparkContext.applicationId, t.sf_dir, tuple(map(tuple, meta)), t.spark)
 
 
 @query("train_risk_model")
@@ -378,6 +388,24 @@ def _(t):
     return V.classification_metrics(TR.model_scores(model, split.filter("NOT is_train")).select(F.col("churned").alias("y"), "score"))
 
 
+@query("feature_importance_total", "SELECT 20 AS features, 1.0::DOUBLE AS total, true AS none_negative FROM (SELECT count(*) FROM orders)")
+def _(t):
+    found = t.spark.createDataFrame(TR.feature_importance(fitted(t)[1]), "feature string, importance double")
+    return found.agg(F.count(F.lit(1)).cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"), (F.min("importance") >= 0).alias("none_negative"))
+
+
+@query("score_customers_checked", "SELECT customer_id, true AS in_range, true AS above_floor, true AS label_fits FROM customers WHERE is_active", "customers")
+def _(t):
+    """One score per active customer, within 0 and 1, not below the floor of silent customers, with the label of its range."""
+    vectors = D.feature_vector(t.customers().filter("is_active"), t.transactions(), t.trusted(), t.semantics(), [t.anchor("orders")], YEARLY)
+    scored = TR.score_customers(vectors, fitted(t)[1], TR.ModelInfo("gbt-1", "local"), AT)
+    score, used = F.col("churn_score"), F.col("features_used")
+    at = lambda name: used[FEATURE_NAMES.index(name)]
+    floor = risk_floor(F.lit(0.0), at("recency_days"), at("tx_count_90d"), at("spend_90d"))
+    label = F.when(score < 0.4, "low").when(score < 0.9, "medium").otherwise("high")
+    return scored.select("customer_id", score.between(0, 1).alias("in_range"), (score >= floor).alias("above_floor"), (F.col("churn_label") == label).alias("label_fits"))
+
+
 @query("feature_importance")
 def _(t):
     return t.spark.createDataFrame(TR.feature_importance(fitted(t)[1]), "feature string, importance double")
