@@ -39,11 +39,11 @@ def _(t):
            {_sql_rule(COMMON_COMPLAINT + COMMON_REFUND)} AS has_complaint, {_sql_rule(COMMON_REFUND)} AS has_refund_request FROM texts WHERE customer_id % 4 <> 0""", "texts")
 def _(t):
     links = t.texts().select("msg_id", (F.col("msg_id") * 10).alias("link_id"), "customer_id", F.when(F.col("customer_id") % 4 == 0, 0.6).otherwise(1.0).alias("match_confidence"))
-    out = jobs.stream_message_features(as_stream(t, t.texts().select("msg_id", "text"), "chat"), links, complaint=COMMON_COMPLAINT, refund=COMMON_REFUND)
+    stream = as_stream(t, t.texts().select("msg_id", "text"), "chat")
     folder, checkpoint = scratch_dir(t.spark, "features-out"), scratch_dir(t.spark, "features-ck")
-    sink = jobs.append_new_features(f"{folder}/rows")
-    out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(out.schema).parquet(f"{folder}/rows")
+    sink = jobs.link_and_append(folder, lambda: links, complaint=COMMON_COMPLAINT, refund=COMMON_REFUND)
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
 @query("stream_message_counts", """

@@ -40,15 +40,25 @@ def stream_message_features(
     )
 
 
-def append_new_features(path: str, key: str = "link_id") -> Callable[[DataFrame, int], None]:
-    """S2 sink for ``foreachBatch``: replayed batches and known links add nothing."""
+def link_and_append(
+    path: str, links: Callable[[], DataFrame], min_confidence: float = 0.7, complaint: tuple[str, ...] = T.COMPLAINT_PATTERNS, refund: tuple[str, ...] = T.REFUND_PATTERNS
+) -> Callable[[DataFrame, int], None]:
+    """S2 sink for ``foreachBatch``: messages whose link is not there yet wait and are tried again with every batch.
+
+    Batch ``n`` writes ``path/rows/batch=n`` and the messages still waiting to ``path/waiting/n``, and reads ``path/waiting/n-1``.
+    So a replayed batch replaces what it wrote before, and no batch reads the rows of earlier ones. ``links`` is
+    called for every batch and gives the links known by then. Repeated messages are S1's to remove.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        known = stored(spark, path)
-        if known is not None:
-            fresh = fresh.join(known.select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        rows = batch.select("msg_id", "text")
+        before = stored(batch.sparkSession, f"{path}/waiting/{batch_id - 1}")
+        if before is not None:
+            rows = rows.unionByName(before)
+        known = links()
+        linked = stream_message_features(rows, known, min_confidence, complaint, refund).dropDuplicates(["link_id"])
+        linked.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        ready = known.filter(F.col("match_confidence") >= min_confidence).select("msg_id")
+        rows.join(ready, "msg_id", "left_anti").write.mode("overwrite").parquet(f"{path}/waiting/{batch_id}")
 
     return write
 

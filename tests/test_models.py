@@ -133,3 +133,25 @@ def test_streamed_counts_equal_batch_for_closed_days(spark, sf_dir, tmp_path):
     assert got and all(want[k] == v for k, v in got.items())
     last = max(d for _, d in want)
     assert set(k for k in want if k[1] < last - dt.timedelta(1)) <= set(got)
+
+
+def test_signals_of_messages_linked_later(spark, tmp_path):
+    schema, texts, links, out = "msg_id long, text string", tmp_path / "texts", str(tmp_path / "links"), str(tmp_path / "out")
+    link_schema = "msg_id long, link_id long, customer_id long, match_confidence double"
+    add = lambda rows, s, path: spark.createDataFrame(rows, s).coalesce(1).write.mode("append").parquet(str(path))
+    said = [(i, f"refund {i}!" if i % 2 else f"hello {i}?") for i in range(12)]
+    known = [(i, 10 * i, i % 3, 1.0 if i != 5 else 0.2) for i in range(10)]
+
+    def trigger():
+        stream = spark.readStream.schema(schema).parquet(str(texts))
+        sink = jobs.link_and_append(out, lambda: spark.read.schema(link_schema).parquet(links))
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+
+    for part, at in ((said[:6], known[:2]), (said[6:9], known[2:8]), (said[9:], known[8:])):
+        add(part, schema, texts)
+        add(at, link_schema, links)
+        trigger()
+    got = spark.read.parquet(f"{out}/rows").drop("batch")
+    want = jobs.stream_message_features(spark.createDataFrame(said, schema), spark.createDataFrame(known, link_schema))
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() == 9
