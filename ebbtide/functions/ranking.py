@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ebbtide.session import cut_lineage
 
-BUCKETS = 200
+#: Order buckets at least, and rows of a bucket above which more are made.
+BUCKETS, BUCKET_ROWS = 200, 1_000_000
+
+
+def _bounds(df: DataFrame, order: str, group: str | None) -> dict:
+    """Approximate split points per group: some hundred numbers for each of a few groups, more where rows are many."""
 
+    def cuts(n: int) -> list:
+        probs = [i / n for i in range(1, n)]
+        aggs = F.percentile_approx(order, probs, max(1000, 5 * n)).alias("b"), F.count(order).alias("n")
+        return (df.groupBy(group) if group else df.groupBy(F.lit(None).alias("_g"))).agg(*aggs).collect()
 
-def _bounds(df: DataFrame, order: str, group: str | None, weight: str | None) -> dict:
-    """Approximate split points per group: at most BUCKETS numbers for each of a few groups."""
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    agg = F.percentile_approx(order, probs, 1000).alias("b")
-    if group is None:
-        return {None: sorted(set(df.agg(agg).first()["b"] or []))}
-    return {r[group]: sorted(set(r["b"] or [])) for r in df.groupBy(group).agg(agg).collect()}
+    found = cuts(BUCKETS)
+    wanted = -(-max((r["n"] for r in found), default=0) // BUCKET_ROWS)
+    if wanted > BUCKETS:
+        found = cuts(wanted)
+    return {r[0]: sorted(set(r["b"] or [])) for r in found}
 
 
 def _bucket(order: str, group: str | None, bounds: dict) -> Column:
-    def position(cuts: list) -> Column:
-        cuts_col = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-        return F.size(F.filter(cuts_col, lambda c: c < F.col(order)))
+    """Number of split points below the value, found in two steps: among every k-th point, then among the next k."""
+    step = max(1, math.isqrt(max((len(c) for c in bounds.values()), default=0)))
+
+    def points(every: int) -> Column:
+        if group is None:
+            return _array(next(iter(bounds.values()), [])[every - 1 :: every])
+        names = [x for name, cuts in bounds.items() for x in (F.lit(name), _array(cuts[every - 1 :: every]))]
+        return F.coalesce(F.try_element_at(F.create_map(*names), F.col(group)), _array([])) if names else _array([])
+
+    below = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col(order)))
+    coarse = below(points(step)) * step
+    return coarse + below(F.slice(points(1), coarse + 1, step))
+
 
-    if group is None:
-        return position(bounds[None])
-    out = F.lit(0)
-    for name, cuts in bounds.items():
-        out = F.when(F.col(group) == F.lit(name), position(cuts)).otherwise(out)
-    return out
+def _array(cuts: list) -> Column:
+    return F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
 
 
 def cumulative(df: DataFrame, order: str, values: list[str], group: str | None = None) -> DataFrame:
@@ -40,7 +55,7 @@ def cumulative(df: DataFrame, order: str, values: list[str], group: str | None =
     totals (a few hundred rows) give the offsets, and the running sum runs inside buckets only.
     ``group`` names a column with few values, such as a feature name.
     """
-    bounds = _bounds(df, order, group, None)
+    bounds = _bounds(df, order, group)
     cut = df.withColumn("_b", _bucket(order, group, bounds))
     keys = [group] if group else []
     totals = cut.groupBy(*keys, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])

@@ -109,9 +109,9 @@ def histogram(long: DataFrame, bins: int = 30) -> DataFrame:
     span = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     place = F.when(F.col("hi") == F.col("lo"), F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
-    # equal values fall into one bin, so they are counted before the join: one row per feature joins few rows
-    counted = long.filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(span), "feature").groupBy("feature", place.cast("int").alias("bin")).agg(F.sum("n").alias("count"))
+    # the bin is known right after the broadcast of one row per feature, so a task sends at most bins x features rows
+    placed = long.filter("value IS NOT NULL").join(F.broadcast(span), "feature")
+    return placed.groupBy("feature", place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
 def group_comparison(long: DataFrame, label: str = "label") -> DataFrame:

@@ -14,6 +14,7 @@ from ebbtide.config import FEATURE_NAMES, NEUTRALIZED_FEATURES, TRUSTED_STATUSES
 from ebbtide.functions import vectors as V
 from ebbtide.functions.skew import salted_join, top_n
 from ebbtide.functions.text import truncate
+from ebbtide.session import cut_lineage
 
 # impact = (value - offset) * factor / divisor for each feature.
 HEURISTIC_IMPACTS = {
@@ -78,8 +79,9 @@ def _packed(names: tuple[str, ...], contribution) -> Column:
 def linear_contributions(vectors: DataFrame, weights: dict[str, float]) -> DataFrame:
     """F19 for a linear model: weight * (value - mean) for each feature, exact and additive.
 
-    The means are one number per feature.
+    The vectors are stored once, for the means and for the rows; the means are one number per feature.
     """
+    vectors = cut_lineage(vectors)
     means = vectors.agg(*[F.avg(n).alias(n) for n in weights]).first()
     return vectors.withColumn("contributions", _packed(tuple(weights), lambda n: F.lit(weights[n]) * (F.col(n) - F.lit(means[n]))))
 

@@ -191,7 +191,7 @@ def _profiled(t: Tables):
 
 
 def _long(t: Tables, *keep: str):
-    return TR.unpivot(_profiled(t), FEATURE_NAMES, *keep)
+    return TR.unpivot(cut_lineage(_profiled(t)), FEATURE_NAMES, *keep)
 
 
 _LONG = _unpivot("vec_6")
@@ -201,7 +201,7 @@ _LONG = _unpivot("vec_6")
     SELECT feature, count(value) AS count, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS std, round(min(value), 6) + 0.0 AS min, round(quantile_cont(value, 0.25), 6) + 0.0 AS p25,
            round(quantile_cont(value, 0.5), 6) + 0.0 AS p50, round(quantile_cont(value, 0.75), 6) + 0.0 AS p75, round(max(value), 6) + 0.0 AS max FROM ({_LONG}) GROUP BY 1""", "vec_6")
 def _(t):
-    out = V.describe_features(cut_lineage(_long(t)))
+    out = V.describe_features(_long(t))
     return out.select("feature", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
