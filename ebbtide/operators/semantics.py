@@ -15,6 +15,7 @@ from ebbtide.config import MIN_LINK_CONFIDENCE
 from ebbtide.functions import vectors as V
 from ebbtide.functions.skew import top_n
 from ebbtide.functions.text import any_contains, words
+from ebbtide.operators.messages import extract_message_features
 
 LABELS = ("positive", "neutral", "negative")
 # Our stand-in scorer counts these words; pass a scorer to use a trained model instead.
@@ -287,6 +288,20 @@ def topic_lift(topics: DataFrame, semantics: DataFrame, predictions: DataFrame,
     )
 
 
+def nlp_job(messages: DataFrame, links: DataFrame, existing: DataFrame, windowed: DataFrame, as_of: dt.date, min_confidence: float = MIN_LINK_CONFIDENCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What one run makes: refreshed signals (C4) of all links, semantics (E11) of every linked customer, counters.
+
+    ``windowed`` are the scored messages of the window. Counters: links trusted enough, those processed, those without a message.
+    """
+    features = extract_message_features(messages, links, existing, refresh=True, min_confidence=min_confidence)
+    semantics = text_semantics(links.select("customer_id").distinct(), windowed, as_of)
+    found = messages.select("msg_id", F.lit(True).alias("_found"))
+    counters = links.filter(F.col("match_confidence") >= min_confidence).join(found, "msg_id", "left").agg(
+        F.count(F.lit(1)).alias("total"), F.count("_found").alias("processed"), F.count_if(F.col("_found").isNull()).alias("failed")
+    )
+    return features, semantics, counters
+
+
 def nlp_job_summary(semantics: DataFrame) -> DataFrame:
     """Global sentiment, keyword and topic totals of a semantics snapshot in one table."""
     parts = [("sentiment", "sentiment_dist"), ("keyword", "top_keywords"), ("topic", "top_topic_counts")]

@@ -11,16 +11,21 @@ from ebbtide.functions.risk import due_state, priority_rank, urgency
 from ebbtide.functions.skew import top_n
 from ebbtide.operators.dashboard import last_visits, latest_predictions
 
-# Follow-up by leading risk feature, as (features, action type, wording).
+# Follow-up by leading risk feature, as (features, action type, wording, notes).
 RECOMMENDATIONS = (
-    (("recency_days", "recency_ratio"), "call", "Hubungi personal untuk ajak booking ulang"),
-    (("frequency_trend_smoothed", "tx_count_90d", "activity_mean", "recent_activity_avg"), "call", "Kirim reminder jadwal perawatan rutin"),
-    (("spend_90d", "avg_tx_value", "spend_trend_smoothed"), "promo", "Tawarkan promo atau bundling ringan"),
-    (("complaint_ratio", "avg_sentiment_score", "sentiment_trend"), "call", "Follow-up keluhan sebelum promosi"),
-    (("response_delay_mean",), "call", "Respon cepat dan follow-up manual"),
+    (("recency_days", "recency_ratio"), "call", "Hubungi personal untuk ajak booking ulang",
+     "Customer sudah melewati pola kunjungan normal. Mulai dengan sapaan personal dan tawarkan jadwal yang tersedia."),
+    (("frequency_trend_smoothed", "tx_count_90d", "activity_mean", "recent_activity_avg"), "call", "Kirim reminder jadwal perawatan rutin",
+     "Aktivitas kunjungan menurun. Ingatkan jadwal treatment lanjutan atau paket rutin."),
+    (("spend_90d", "avg_tx_value", "spend_trend_smoothed"), "promo", "Tawarkan promo atau bundling ringan",
+     "Ada sinyal penurunan nilai transaksi. Tawarkan paket yang relevan dengan histori layanan."),
+    (("complaint_ratio", "avg_sentiment_score", "sentiment_trend"), "call", "Follow-up keluhan sebelum promosi",
+     "Ada sinyal sentimen/komplain. Prioritaskan klarifikasi pengalaman customer."),
+    (("response_delay_mean",), "call", "Respon cepat dan follow-up manual",
+     "Customer terdampak keterlambatan respon. Hubungi dengan respons personal."),
 )
-HIGH_RISK_FALLBACK = ("call", "Hubungi customer high-risk hari ini")
-DEFAULT_FALLBACK = ("email", "Pantau dan kirim check-in ringan")
+HIGH_RISK_FALLBACK = ("call", "Hubungi customer high-risk hari ini", "Customer masuk prioritas risiko tinggi. Lakukan check-in dan tawarkan jadwal ulang.")
+DEFAULT_FALLBACK = ("email", "Pantau dan kirim check-in ringan", "Customer belum masuk prioritas tinggi. Lakukan check-in ringan bila diperlukan.")
 
 # Suggestion category of each feature, with action type and wording.
 SUGGESTIONS = {
@@ -54,15 +59,15 @@ REASON_LABELS = {
 
 
 def recommendation(feature: Column, label: Column) -> Column:
-    """Action type and wording for the leading feature, by risk label where it decides nothing."""
-    def pair(kind: str, text: str) -> Column:
-        return F.struct(F.lit(kind).alias("action_type"), F.lit(text).alias("label"))
+    """Action type, wording and notes for the leading feature, by risk label where it decides nothing."""
+    def advice(kind: str, text: str, notes: str) -> Column:
+        return F.struct(F.lit(kind).alias("action_type"), F.lit(text).alias("label"), F.lit(notes).alias("notes"))
 
     chosen = None
-    for features, kind, text in RECOMMENDATIONS:
+    for features, *words in RECOMMENDATIONS:
         hit = feature.isin(*features)
-        chosen = F.when(hit, pair(kind, text)) if chosen is None else chosen.when(hit, pair(kind, text))
-    return chosen.when(label == "high", pair(*HIGH_RISK_FALLBACK)).otherwise(pair(*DEFAULT_FALLBACK))
+        chosen = F.when(hit, advice(*words)) if chosen is None else chosen.when(hit, advice(*words))
+    return chosen.when(label == "high", advice(*HIGH_RISK_FALLBACK)).otherwise(advice(*DEFAULT_FALLBACK))
 
 
 def suggestions(reasons: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -135,7 +140,7 @@ def risk_worklist(
         "pred_id", "customer_id", F.coalesce("_name", F.col("customer_id").cast("string")).alias("customer_name"), "customer_city",
         "churn_score", "churn_label", "recency_days", "tx_count_90d", "spend_90d", "last_visit", "top_feature", "top_reason",
         urgency(F.col("churn_label"), F.col("recency_days"), F.col("action_status")).alias("urgency"),
-        advice["action_type"].alias("action_type"), advice["label"].alias("recommendation"),
+        advice["action_type"].alias("action_type"), advice["label"].alias("recommendation"), advice["notes"].alias("notes"),
         "action_id", F.coalesce("action_status", F.lit("not_started")).alias("work_status"),
     )
     key = F.col("customer_name") if sort == "name" else F.col("churn_score")

@@ -232,14 +232,15 @@ add_cte("reasons", "contributions", f"""
     SELECT pred_id, feature AS top_feature, {_REASON_CASE} || ' (' || CAST(CAST(value AS DECIMAL(10,1)) AS VARCHAR) || ')' AS top_reason FROM contributions
     QUALIFY row_number() OVER (PARTITION BY pred_id ORDER BY abs(contribution) DESC, slot, value DESC) = 1""")
 _FALLBACK = "CASE WHEN churn_label = 'high' THEN '{}' ELSE '{}' END"
-_TYPE = _case([(fs, k) for fs, k, _ in WL.RECOMMENDATIONS], "top_feature", _FALLBACK.format(WL.HIGH_RISK_FALLBACK[0], WL.DEFAULT_FALLBACK[0]))
-_TEXT = _case([(fs, x) for fs, _, x in WL.RECOMMENDATIONS], "top_feature", _FALLBACK.format(WL.HIGH_RISK_FALLBACK[1], WL.DEFAULT_FALLBACK[1]))
+_TYPE = _case([(fs, k) for fs, k, _, _ in WL.RECOMMENDATIONS], "top_feature", _FALLBACK.format(WL.HIGH_RISK_FALLBACK[0], WL.DEFAULT_FALLBACK[0]))
+_TEXT = _case([(fs, x) for fs, _, x, _ in WL.RECOMMENDATIONS], "top_feature", _FALLBACK.format(WL.HIGH_RISK_FALLBACK[1], WL.DEFAULT_FALLBACK[1]))
+_NOTES = _case([(fs, n) for fs, _, _, n in WL.RECOMMENDATIONS], "top_feature", _FALLBACK.format(WL.HIGH_RISK_FALLBACK[2], WL.DEFAULT_FALLBACK[2]))
 _URGENCY = """CASE WHEN action_status IN ('pending', 'in_progress') THEN 'in_progress' WHEN churn_label = 'high' AND (recency_days IS NULL OR recency_days >= 60) THEN 'critical'
     WHEN churn_label = 'high' THEN 'high' WHEN churn_label = 'medium' THEN 'medium' ELSE 'low' END"""
 add_cte("todo", "actions", "SELECT customer_id, action_id, status AS action_status FROM actions QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, action_id DESC) = 1")
 add_cte("queue", "latest customers num_e todo visits reasons", f"""
     SELECT pred_id, customer_id, coalesce(c.name, CAST(customer_id AS VARCHAR)) AS customer_name, c.city AS customer_city, round(churn_score, 6) AS churn_score, churn_label, recency_days, tx_count_90d,
-           round(spend_90d, 6) AS spend_90d, last_visit, top_feature, top_reason, {_URGENCY} AS urgency, {_TYPE} AS action_type, {_TEXT} AS recommendation, action_id, coalesce(action_status, 'not_started') AS work_status
+           round(spend_90d, 6) AS spend_90d, last_visit, top_feature, top_reason, {_URGENCY} AS urgency, {_TYPE} AS action_type, {_TEXT} AS recommendation, {_NOTES} AS notes, action_id, coalesce(action_status, 'not_started') AS work_status
     FROM latest LEFT JOIN customers c USING (customer_id) LEFT JOIN num_e USING (customer_id) LEFT JOIN todo USING (customer_id) LEFT JOIN visits USING (customer_id) LEFT JOIN reasons USING (pred_id)""")
 
 
@@ -267,11 +268,11 @@ def _(t):
         "pred_id", urgency(F.col("churn_label"), F.col("recency_days"), F.col("status")).alias("urgency"))
 
 
-@query("recommend_action", f"SELECT pred_id, top_feature, {_TYPE} AS action_type, {_TEXT} AS recommendation FROM predictions JOIN reasons USING (pred_id)", "predictions reasons")
+@query("recommend_action", f"SELECT pred_id, top_feature, {_TYPE} AS action_type, {_TEXT} AS recommendation, {_NOTES} AS notes FROM predictions JOIN reasons USING (pred_id)", "predictions reasons")
 def _(t):
     joined = t.predictions().join(WL.top_reason(t.contributions()), "pred_id")
     advice = WL.recommendation(F.col("top_feature"), F.col("churn_label"))
-    return joined.select("pred_id", "top_feature", advice["action_type"].alias("action_type"), advice["label"].alias("recommendation"))
+    return joined.select("pred_id", "top_feature", advice["action_type"].alias("action_type"), advice["label"].alias("recommendation"), advice["notes"].alias("notes"))
 
 
 @query("action_suggestions", f"""

@@ -238,6 +238,15 @@ def _(t):
     return E.name_topics(topics, LABELS_FOR_DATA).select("topic", "name")
 
 
+@query("nlp_job_counters", """
+    SELECT count(*) AS total, count(*) FILTER (customer_id % 7 <> 0) AS processed, count(*) FILTER (customer_id % 7 = 0) AS failed FROM chats WHERE customer_id % 9 <> 0""", "chats")
+def _(t):
+    """Messages of every seventh conversation are missing from the store."""
+    links = t.chats().select("msg_id", (F.col("msg_id") * 10).alias("link_id"), "customer_id", F.when(F.col("customer_id") % 9 == 0, 0.6).otherwise(1.0).alias("match_confidence"))
+    none = t.spark.createDataFrame([], "link_id long")
+    return E.nlp_job(t.chats().filter("customer_id % 7 <> 0"), links, none, chat_window(t), t.anchor("chats"))[2]
+
+
 @query("nlp_job", f"""
     SELECT 'sentiment' AS kind, key, sum(count) AS count FROM ({_SENTIMENT}) GROUP BY 2
     UNION ALL (SELECT 'keyword', key, sum(count) AS c FROM ({_TOP_WORDS}) GROUP BY 2 ORDER BY c DESC, key LIMIT 10)

@@ -372,3 +372,19 @@ def test_config_and_schema():
     for bad in ({"smoothing_method": "x"}, {"smoothing_window": 0}, {"activity_windows": 1}, {"ema_alpha": 0.0}, {"window_size_days": 0}, {"min_activity_threshold": -1}):
         with pytest.raises(ValueError):
             FeatureConfig(**bad)
+
+
+ADVICE = [
+    ("recency_days", "low", "call", "Hubungi personal", "sapaan personal"), ("recency_ratio", "high", "call", "Hubungi personal", "jadwal yang tersedia"),
+    ("tx_count_90d", "low", "call", "Kirim reminder", "paket rutin"), ("activity_mean", "low", "call", "Kirim reminder", "Aktivitas kunjungan menurun"),
+    ("spend_90d", "low", "promo", "Tawarkan promo", "histori layanan"), ("sentiment_trend", "low", "call", "Follow-up keluhan", "klarifikasi"),
+    ("response_delay_mean", "low", "call", "Respon cepat", "respons personal"), ("tenure_days", "high", "call", "hari ini", "risiko tinggi"),
+    ("tenure_days", "medium", "email", "Pantau", "check-in ringan"), ("", "low", "email", "Pantau", "belum masuk prioritas"),
+]
+
+
+def test_advice_for_every_leading_feature(spark):
+    df = spark.createDataFrame([(i, f, label) for i, (f, label, *_) in enumerate(ADVICE)], "i int, f string, l string")
+    got = [r[0] for r in df.orderBy("i").select(worklists.recommendation(F.col("f"), F.col("l"))).collect()]
+    for r, (_, _, kind, text_part, note_part) in zip(got, ADVICE):
+        assert r["action_type"] == kind and text_part in r["label"] and note_part in r["notes"]
