@@ -207,7 +207,9 @@ def write(docs: DataFrame, path: str, definition: str, parts: int | None = None)
     doc_type = dict(docs.dtypes)["doc_id"]
     packed = rows.mapInArrow(pack, f"_rid long, doc_id {doc_type}, n long, payload binary, marks array<long>")
     n_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = packed.withColumn("_seg", _segment(rows.select("_rid", "doc_id"), n_parts)).repartition(n_parts, "_seg").sortWithinPartitions("_seg", F.col("doc_id").asc_nulls_last(), "_rid")
+    # one segment per partition; only parts of an id that repeats very often follow each other around
+    target = (F.floor(F.col("_seg.a") / 2) + F.col("_seg.b")).cast("int")
+    placed = packed.withColumn("_seg", _segment(rows.select("_rid", "doc_id"), n_parts)).repartitionById(n_parts, target).sortWithinPartitions("_seg", F.col("doc_id").asc_nulls_last(), "_rid")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg, number, first, total, held = None, 0, 0, 0, {k: [] for k in ("doc_id", "n", "used", "payload", "marks")}
