@@ -11,7 +11,7 @@ from ebbtide.operators import importing as A
 from ebbtide.operators import messages as C
 from ebbtide.plans.bindings import Tables, add_cte, r6
 from ebbtide.plans.registry import query
-from ebbtide.sources.chat_export import parse_chat_export
+from ebbtide.sources.chat_export import parse_chat_export, read_export_lines
 from ebbtide.sources.imports import read_import_csv, scratch_dir, write_snapshot
 
 # Patterns of common syllables, so that flags are found in the invented texts as well.
@@ -245,6 +245,15 @@ def _(t):
     return parse_chat_export(export_lines(t), "assistant").select("file", "message_block", "sender", "direction", "timestamp", "text")
 
 
+@query("parse_chat_export_files", f"SELECT sender, direction, timestamp, text FROM ({_PARSED})")
+def _(t):
+    """The same export written to files, many conversations in each, and read back by the file reader."""
+    folder = scratch_dir(t.spark, "export")
+    lines = export_lines(t)
+    lines.repartition("file").sortWithinPartitions("file", "block", "line_no").select(F.col("line").alias("value")).write.text(folder)
+    return parse_chat_export(read_export_lines(t.spark, folder), "assistant").select("sender", "direction", "timestamp", "text")
+
+
 @query("ingest_chat_messages", f"""
     WITH p AS ({_PARSED})
     SELECT 2 * count(*) AS total_messages, n.n AS new_messages, 2 * count(*) - n.n AS duplicate_messages, count(DISTINCT sender) AS unique_senders

@@ -12,6 +12,7 @@ from ebbtide.functions import ranking, series, skew
 from ebbtide.operators import evaluation, features, training
 from ebbtide.plans.bindings import DENSE, Tables
 from ebbtide.session import shared_folder
+from ebbtide.sources.chat_export import parse_chat_export, read_export_lines
 from ebbtide.sources.imports import read_import_csv, write_snapshot
 
 
@@ -218,3 +219,20 @@ def test_read_import_csv(spark, tmp_path):
     path.write_text('﻿Message ID, Phone Number ,message_text\nm1,0811,"hello, ""you""\nsecond line"\nm2,,"x"\n', encoding="utf-8")
     got = read_import_csv(spark, str(path), multi_line=True).orderBy("source_row").collect()
     assert [(r["message_id"], r["phone_number"], r["message_text"]) for r in got] == [("m1", "0811", 'hello, "you"\nsecond line'), ("m2", None, "x")]
+
+
+def test_export_split_inside_a_message(spark, tmp_path):
+    """A file cut into several blocks: the header of a long message lies in an earlier block than most of its lines."""
+    lines = ["[01/02/24, 10:00] Ann: first"] + [f"line {i}" for i in range(400)] + ["[01/02/24, 10:05] Admin: second", "tail"]
+    (tmp_path / "chat.txt").write_text("\n".join(lines), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        read = read_export_lines(spark, str(tmp_path))
+        assert read.select("block").distinct().count() > 3
+        got = sorted((r["sender"], r["text"]) for r in parse_chat_export(read).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == [("Admin", "second\ntail"), ("Ann", "\n".join(["first", *lines[1:401]]))]
