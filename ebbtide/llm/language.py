@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from ebbtide.llm.common import release
+
 UNDETERMINED = "und"
 DIMENSIONS = 512
 #: Letters are told apart up to this many code points; beyond, code points share vectors.
@@ -88,10 +89,10 @@ class Space:
             out += table[:, at : at + 8192] @ self.bind(codes[at : at + 8192]).astype(np.float32)
         return out
 
-    def unit(self, texts: list[str | None], group: int = 64) -> Iterator[tuple[list[int], np.ndarray]]:
+    def unit(self, texts: pa.Array, group: int = 64) -> Iterator[tuple[list[int], np.ndarray]]:
         """(places, unit vectors) of the texts that have letters, in groups of a bounded size."""
         for at in range(0, len(texts), group):
-            v = self.vectors([t or "" for t in texts[at : at + group]])
+            v = self.vectors([t or "" for t in texts[at : at + group].to_pylist()])
             size = np.linalg.norm(v, axis=1)
             has = np.flatnonzero(size)
             yield (has + at).tolist(), v[has] / size[has, None]
@@ -113,17 +114,19 @@ def train(labelled: DataFrame, dimensions: int = DIMENSIONS, sample: int | None
             share = F.when(F.col("lang") == name, F.lit(min(1.0, sample / n))).otherwise(share)
         rows = rows.filter(place < share)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(dimensions), {}
         for b in batches:
-            for at, unit in space.unit(b["text"].tolist()):
+            langs = b.column("lang").to_pylist()
+            for at, unit in space.unit(b.column("text")):
                 for k, v in zip(at, unit, strict=True):
-                    sums[b["lang"].iat[k]] = sums.get(b["lang"].iat[k], 0) + v
+                    sums[langs[k]] = sums.get(langs[k], 0) + v
         if sums:
-            yield pd.DataFrame({"lang": list(sums), "v": [s.astype(np.float64).tolist() for s in sums.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.astype(np.float64).tolist() for s in sums.values()])], ["lang", "v"])
+        release()
 
     summed: dict[str, np.ndarray] = {}
-    parts = rows.mapInPandas(partial, "lang string, v array<double>")
+    parts = rows.mapInArrow(partial, "lang string, v array<double>")
     whole = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     for r in whole.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).collect():
         summed[r["lang"]] = np.array([e["x"] for e in r["v"]])
@@ -153,11 +156,12 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
         space = Space(dimensions)
         for b in batches:
             preds, scores = [UNDETERMINED] * b.num_rows, [0.0] * b.num_rows
-            for at, unit in space.unit(b.column("text").to_pylist()) if langs else ():
+            for at, unit in space.unit(b.column("text")) if langs else ():
                 cosines = unit @ protos.T
                 for k, best, c in zip(at, cosines.argmax(axis=1).tolist(), cosines.max(axis=1).tolist(), strict=True):
                     preds[k], scores[k] = langs[best], min(1.0, max(0.0, c))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], schema=pa.schema([*b.schema, ("lang_pred", pa.string()), ("score", pa.float64())]))
+        release()
 
     schema = StructType([*base.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return base.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import fixed, row_id, small_side, stage
+from ebbtide.llm.common import fixed, release, row_id, small_side, stage
 from ebbtide.llm.components import components, fold
 
 BITS = 64
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), k) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("_rid"), b.column("doc_id"), pa.array(fps.view(np.int64))], ["_rid", "doc_id", "fp"])
+        release()
 
     rows = row_id(docs.select("doc_id", "text"))
     return rows.mapInArrow(run, f"_rid long, doc_id {dict(docs.dtypes)['doc_id']}, fp long")

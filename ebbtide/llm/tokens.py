@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ebbtide.llm import huffman
-from ebbtide.llm.common import row_id, stage
+from ebbtide.llm.common import release, row_id, stage
 from ebbtide.session import shared_folder
 
 END_ID = 0
 #: Ids after which a block is closed; a document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 16
 #: Distinct pieces of text whose ids a worker keeps, and as many of an older generation.
-KEEP = 700_000
+KEEP = 400_000
 #: Code points of whole texts whose ids a worker keeps.
-SEEN = 8_000_000
+SEEN = 4_000_000
 #: Ids that a task decodes side by side.
 DECODED = 1 << 20
 
@@ -126,7 +126,9 @@ def encoded(docs: DataFrame, definition: str) -> DataFrame:
                 part = b.slice(at, 500)
                 ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
                 n = pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("_rid"), part.column("doc_id"), pa.array(ids, pa.large_binary()).cast(pa.binary()), n], ["_rid", "doc_id", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("_rid"), part.column("doc_id"), pa.array(ids, pa.binary()), n], ["_rid", "doc_id", "ids", "n"])
+        del enc
+        release()
 
     return row_id(docs.select("doc_id", "text")).mapInArrow(run, f"_rid long, doc_id {dict(docs.dtypes)['doc_id']}, ids binary, n long")
 
