@@ -179,13 +179,13 @@ def predictions(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int | Non
     return identify(mine.select("doc_id", "text", "held_out"), names, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def recognised(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int | None = 5_000, least: float = 0.1) -> DataFrame:
+def recognised(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int | None = 5_000, least: float = 0.1, enough: int = 200) -> DataFrame:
     """Documents with a recognised language, in the columns of ``docs``.
 
-    Rows without letters go, and rows whose cosine with the best prototype is below ``least``: text in none of the
-    languages learned, or no text at all.
+    Rows without letters go, and rows of at least ``enough`` code points whose cosine with the best prototype is
+    below ``least``: text in none of the languages learned. Shorter texts say too little to be rejected.
     """
     names, prototypes = train(docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id"))), dimensions, sample)
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     judged = identify(packed, names, prototypes)
-    return judged.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")
+    return judged.filter((F.col("lang_pred") != UNDETERMINED) & ((F.col("score") >= least) | (F.length("text") < enough))).select("_row.*")
