@@ -110,16 +110,16 @@ def _compare(key: tuple, block: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"node": ids[used], "links": total[used], "root": ids[labels[used]]})
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE, sigmas: float = 6.0) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE, sigmas: float = math.inf) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors with a cosine of at least ``cosine`` in double precision are linked, whatever their labels; equal
     vectors are one node with a count. Centroids are fitted on at most ``sample`` vectors, chosen by
     hash; every vector is assigned. A pair parted by a cell border is found if the border is within the margin
     of either, and one of them is within half of what their difference measures across the border. That is the chord of
-    the angle at most, but in d dimensions a difference of that length leans sqrt(1/d) of it against any one plane, so
-    ``sigmas`` of these are halved, never more than the chord. Between centroids nearer than three chords, which may part
-    one group, half the chord itself is the margin. ``sigmas=inf`` gives this exact bound everywhere, at the cost of more visits.
+    the angle at most, so half the chord is the margin, whatever the directions of the differences. A finite ``sigmas``
+    takes that many times sqrt(1/d) of the chord between centroids further apart than three chords: fewer visits, but it loses
+    pairs of vectors that lie in few of their d dimensions.
 
     Null, zero, non-finite vectors and such with null components are rows without links, each its own component.
     Vectors of other lengths are compared among themselves only. Rows without id take part, but name
@@ -129,7 +129,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, sample: int = SAMPLE,
     good = rows.filter("_ok")
     nodes = stage(good.groupBy("v").agg(F.min("_rid").alias("node"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low")), "nodes")
     sizes = {r["d"]: r["n"] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per length of vector
-    chord, models, margin = math.sqrt(max(0.0, 2 - 2 * cosine)), {}, {}
+    chord, models, margin = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9, {}, {}  # rounding never parts a pair on the bound
     for d, n in sizes.items():
         share = min(1.0, sample / n)
         some = nodes.filter((F.size("v") == d) & (F.pmod(F.xxhash64("v"), F.lit(1 << 30)) <= int(share * (1 << 30)))).select("v").limit(sample).toPandas()["v"]

@@ -69,3 +69,17 @@ def test_recall_with_the_statistical_margin(spark, monkeypatch):
 def test_empty_and_unusable(spark):
     assert result(spark, []) == []
     assert result(spark, [(1, None), (2, [0.0]), (None, None)]) == [(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, True)]
+
+
+def test_pairs_in_few_directions(spark, monkeypatch):
+    """Vectors in 3 of 256 dimensions: differences lean on the borders, so a margin narrower than half the chord loses pairs."""
+    monkeypatch.setattr(vectors, "BLOCK", 200)
+    rng = np.random.default_rng(3)
+    plane = np.linalg.qr(rng.normal(size=(256, 3)))[0]
+    x = rng.normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, 0.955 * x + math.sqrt(1 - 0.955**2) * side]) @ plane.T)]
+    assert result(spark, rows) == brute(rows)
