@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ebbtide.llm import chat, decontaminate, language, licences, mixing, pages, simhash, suffixes, tokens, vectors
+from ebbtide.llm import alignment, bpe, chat, decontaminate, language, licences, mixing, negatives, pages, simhash, suffixes, tokens, vectors
 from ebbtide.llm.common import row_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": corpus_pipeline.run}
@@ -134,3 +134,46 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language")
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH vectors AS (
+        SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    scores AS (
+        SELECT a.r AS ar, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+            CAST(coalesce(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])), 0) AS BIGINT) AS score
+        FROM vectors a JOIN vectors b ON a.r <> b.r AND len(a.q) = len(b.q)
+        WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+        SELECT ar, anchor_id, id AS positive_id, score AS positive_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS place FROM scores WHERE same) WHERE place <= 5
+    ),
+    windows AS (
+        SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+            row_number() OVER (PARTITION BY p.ar, positive_id ORDER BY score DESC, id) AS place
+        FROM positives p JOIN scores s ON p.ar = s.ar AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    )
+    SELECT anchor_id, positive_id, CAST(place AS INT) AS rank, negative_id, positive_score, negative_score FROM windows WHERE place <= 10
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents")).drop("_rid")
