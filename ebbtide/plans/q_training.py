@@ -427,7 +427,7 @@ def _(t):
 @query("shapley_contributions")
 def _(t):
     vectors = D.feature_vector(t.customers().filter("is_active"), t.transactions(), t.trusted(), t.semantics(), [t.anchor("orders")], YEARLY)
-    explained = X.shapley_contributions(cut_lineage(TR.neutralize(vectors)), fitted(t)[1], "customer_id")
+    explained = X.tree_contributions(TR.neutralize(vectors), fitted(t)[1])
     return X.describe_reasons(X.top_reasons(explained).select("customer_id", "reasons"))
 
 
