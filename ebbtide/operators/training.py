@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ebbtide.config import BASELINE_FEATURE_NAMES, FEATURE_NAMES, NEUTRALIZED_FEATURES, FeatureConfig, RiskThresholds, feature_schema_hash
+from ebbtide.functions.neighbours import nearest_join
 from ebbtide.functions.ranking import exact_quantiles, global_position
 from ebbtide.functions.risk import risk_floor, risk_label
 from ebbtide.operators import features as D
@@ -133,46 +134,22 @@ def class_weight(train: DataFrame, label: str = "churned") -> DataFrame:
     )
 
 
-#: Places along a line that one task orders.
-LINE_BLOCK = 100_000
-
-
 def needs_oversampling(positives: int, negatives: int) -> bool:
     return positives >= 10 and positives / (positives + negatives) < 0.2
 
 
-def oversample(train: DataFrame, names: tuple[str, ...], label: str = "churned", k: int = 5, seed: int = 42, lines: int = 8) -> DataFrame:
-    """synthetic positives between a positive row and one of its near neighbours until classes match.
+def oversample(train: DataFrame, names: tuple[str, ...], label: str = "churned", k: int = 5, seed: int = 42) -> DataFrame:
+    """synthetic positives between a positive row and one of its ``k`` nearest positives until classes match.
 
-    Neighbours are searched approximately: rows are ordered along several random lines and the
-    nearest of their neighbours on these lines are taken, so the work grows with the number of
-    positives and no pairs of all positives are formed.
+    Neighbours are exact, by distance over the features as they are, ties by row; see ``functions/neighbours.py``.
     """
     counts = class_weight(train, label).first()
-    k = min(k, counts["positives"] - 1)
+    k = max(min(k, counts["positives"] - 1), 1)
     minority = cut_lineage(train.filter(F.col(label) == 1).select(F.monotonically_increasing_id().alias("_id"), F.array(*[F.col(n).cast("double") for n in names]).alias("x")))
-    spread = minority.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.stddev_pop("v").alias("s"), F.avg("v").alias("m")).collect()  # two numbers per feature
-    scale = {r["i"]: (r["m"], r["s"] or 1.0) for r in spread}
-    centre = F.lit([scale[i][0] for i in range(len(names))])
-    width = F.lit([scale[i][1] if scale[i][1] > 0 else 1.0 for i in range(len(names))])
-    unit = F.zip_with(F.zip_with("x", centre, lambda a, b: a - b), width, lambda a, b: a / b)
-    placed = minority.withColumn("z", unit).withColumn("line", F.explode(F.sequence(F.lit(0), F.lit(lines - 1))))
-    weight = lambda i: F.xxhash64(F.col("line"), i, F.lit(seed)) / F.lit(float(1 << 63))
-    placed = placed.withColumn("at", F.aggregate(F.transform("z", lambda v, i: v * weight(i)), F.lit(0.0), lambda a, v: a + v))
-    # Rows are cut into blocks of a fixed number of places along each line. The rows next to a block's edge are
-    # guests in the neighbouring block, so every row sees the same neighbours wherever blocks begin.
-    ranked = global_position(placed, ["line", "at", "_id"], "_pos")
-    block, off = F.floor(F.col("_pos") / LINE_BLOCK), F.col("_pos") % LINE_BLOCK
-    stay = lambda b, guest: F.struct(b.alias("b"), F.lit(guest).alias("guest"))
-    places = F.array(stay(block, False), F.when(off < k, stay(block - 1, True)), F.when(off >= LINE_BLOCK - k, stay(block + 1, True)))
-    spread_out = ranked.withColumn("p", F.explode(F.filter(places, lambda p: p.isNotNull())))
-    w = Window.partitionBy("line", "p.b").orderBy("at", "_id")
-    packed = F.struct(F.col("_id").alias("id"), F.col("x").alias("x"), F.col("z").alias("z"))
-    near = spread_out.withColumn("cand", F.filter(F.array(*[f(packed, j).over(w) for j in range(1, k + 1) for f in (F.lag, F.lead)]), lambda c: c.isNotNull())).filter("not p.guest")
-    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v)
-    pairs = near.select("_id", "x", "z", F.explode("cand").alias("c")).select("_id", "x", F.col("c.id").alias("other"), F.col("c.x").alias("y"), gap(F.col("z"), F.col("c.z")).alias("d"))
-    best = pairs.dropDuplicates(["_id", "other"]).withColumn("r", F.row_number().over(Window.partitionBy("_id").orderBy("d", "other"))).filter(F.col("r") <= k)
-    neighbours = best.groupBy("_id").agg(F.first("x").alias("x"), F.array_sort(F.collect_list(F.struct("r", "y"))).alias("ys"))
+    near = nearest_join(minority, k, "_id", "x")
+    theirs = minority.select(F.col("_id").alias("other"), F.col("x").alias("y"))
+    listed = near.join(theirs, "other").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "y"))).alias("ys"))
+    neighbours = minority.join(listed.withColumnRenamed("id", "_id"), "_id")
     missing = max(0, counts["negatives"] - counts["positives"])
     whole, rest = divmod(missing, max(counts["positives"], 1))
     # exactly ``rest`` rows, spread by hash, are drawn once more
