@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ebbtide.llm import pieces
 from ebbtide.llm.common import release, row_id, stage
 
+#: Code points of text after which a block is closed; all tokens of both sides of a block are sorted together.
+BLOCK_CHARS = 2 << 20
 #: The mark that the second vocabulary writes for a space.
 SPACE = "▁"
 
@@ -37,10 +39,10 @@ class ByteLevel:
             raise ValueError("the first vocabulary must cut texts by the public byte-level pattern")
         letters = pieces.byte_letters()
         names = json.loads(definition)["model"]["vocab"]
-        self.table = [b""] * (max(names.values()) + 1)
+        table = [b""] * (max(names.values()) + 1)
         for name, number in names.items():
-            self.table[number] = bytes(letters[c] for c in name)
-        self.ids = pieces.WordIds(_checked(pieces.library_words(definition), self.table))
+            table[number] = bytes(letters[c] for c in name)
+        self.ids = pieces.WordIds(pieces.library_words(definition), pa.array(table, pa.large_binary()))
         self.cut = pieces.pretokens
 
 
@@ -54,26 +56,17 @@ class Pieces:
         names = [self.library.id_to_piece(k) for k in range(self.library.vocab_size())]
         if any(SPACE in n.lstrip(SPACE) for n in names):
             raise ValueError("pieces of the second vocabulary must not hold a space after another character")
-        self.table = [bytes([int(n[3:5], 16)]) if self.library.is_byte(k) else b"" if self.library.is_control(k) or self.library.is_unknown(k) else n.replace(SPACE, " ").encode() for k, n in enumerate(names)]
+        table = [bytes([int(n[3:5], 16)]) if self.library.is_byte(k) else b"" if self.library.is_control(k) or self.library.is_unknown(k) else n.replace(SPACE, " ").encode() for k, n in enumerate(names)]
         self.one = self.library.piece_to_id(SPACE)
-        self.ids = pieces.WordIds(_checked(self._learn, self.table))
+        self.ids = pieces.WordIds(self._learn, pa.array(table, pa.large_binary()))
         self.cut = pieces.spaced_words
 
-    def _learn(self, words: list[bytes]) -> list:
+    def _learn(self, words: list[bytes]) -> list[list[int]]:
         # the library puts one space before what it is given, but gives nothing for an empty text
         found = self.library.encode([w[1:].decode() for w in words], num_threads=1)
         return [[self.one] if w == b" " else ids for w, ids in zip(words, found, strict=True)]
 
 
-def _checked(learn, table: list[bytes]):
-    """``learn``, refusing words that the joined bytes of their tokens do not give back."""
-
-    def run(words: list[bytes]) -> list:
-        return [ids if b"".join([table[i] for i in ids]) == w else None for w, ids in zip(words, learn(words), strict=True)]
-
-    return run
-
-
 class Side:
     """One vocabulary over the texts of a block: ids, byte ranges from the start of the block, tokens per text."""
 
@@ -84,9 +77,9 @@ class Side:
         self.bad = pieces.per_text(refused[index], counts) > 0
         self.ids, per_place = pieces.spread(index, flat, sizes)
         self.n = pieces.per_text(per_place, counts)
-        width = np.array([len(x) for x in vocabulary.table], np.int64)
-        self.ends = np.cumsum(width[self.ids])
-        self.starts = self.ends - width[self.ids]
+        width = vocabulary.ids.width[self.ids]
+        self.ends = np.cumsum(width)
+        self.starts = self.ends - width
 
 
 def coalesce(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +175,8 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, texts:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = ByteLevel(told.value[0]), Pieces(told.value[1])
-        writer = Writer(max(len(first.table), len(second.table)))
-        for rids, ids, listed in pieces.blocks(batches):
+        writer = Writer(max(len(first.ids.width), len(second.ids.width)))
+        for rids, ids, listed in pieces.blocks(batches, BLOCK_CHARS):
             got = align_block(first, second, writer, listed)
             bounds = np.concatenate(([0], got["ends"])).tolist()
             said = [got["text"][p:q] for p, q in zip(bounds, bounds[1:])]

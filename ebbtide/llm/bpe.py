@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,77 +46,110 @@ def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
     return pa.array(listed, pa.large_binary())
 
 
-def _places(doc_type: str) -> str:
-    return f"block long, rids array<long>, doc_ids array<{doc_type}>, words array<long>, places binary"
+def _packed(values: list[bytes]) -> bytes:
+    """Byte strings as their lengths and their bytes, compressed."""
+    sizes = np.fromiter(map(len, values), "<u4", len(values))
+    return zstandard.ZstdCompressor(level=3).compress(sizes.tobytes() + b"".join(values))
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    return np.frombuffer(raw[: 4 * n], "<u4").astype(np.int64), raw[4 * n :]
+
+
+def _buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint32, len(words)) % buckets
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], buckets: int | None = None) -> DataFrame:
     """(_rid, doc_id, n_tokens long, ids binary): ids of every whole text as little-endian unsigned 32-bit numbers.
 
-    Texts are cut in blocks of documents. A block gives one row per distinct word (block, slot, word) and
-    one row with the slot at every position. Equal words of all blocks meet in one shuffle by word, sorted, so each
-    is encoded once; its ids return to (block, slot) and the block is put together by position. A word has at
-    most one row per block however often it occurs, so a word with a third of all occurrences is no hot key.
+    Texts are cut in blocks of documents, and the words of a block in distinct words and the word at every position. Distinct words go
+    to their hash bucket, packed as one row per block and bucket; equal words of all blocks meet there and each is encoded once. The
+    ids return in the same packed form and the block is put together by position. A word counts once per block however often it
+    occurs, so a word with a third of all occurrences is no hot key. ``buckets`` (eight per shuffle partition) sets
+    how many distinct words are remembered at once; where there are more than ``pieces.KEEP``, some are encoded again.
 
     Null and empty texts have no ids. Rows of one id, and rows without id, stay apart; an empty table gives no rows. A text
     of any length is encoded whole: it is cut in slices, and only its word numbers and ids are held together. Columns
     other than doc_id and text are not read, whatever their names.
     """
+    spark = docs.sparkSession
     doc_type = dict(docs.dtypes)["doc_id"]
-    rows = row_id(fixed(docs.select("doc_id", "text")))
-    told = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, some MB
+    rows = row_id(fixed(docs.select("doc_id", "text"))).select("_rid", "doc_id", "text")
+    told = spark.sparkContext.broadcast(ranks)  # a vocabulary, some MB
+    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rids, _, texts in pieces.blocks(batches):
-            listed = pieces.distinct(pieces.pretokens(texts)[0])[0]
-            for at in range(0, len(listed), 1 << 16):
-                part = listed.slice(at, 1 << 16).cast(pa.binary())
-                slots = pa.array(np.arange(at, at + len(part), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rids[0])), slots, part], ["block", "slot", "word"])
+            found = pieces.distinct(pieces.pretokens(texts)[0])[0]
+            spot = _buckets(found, buckets)
+            order = np.argsort(spot, kind="stable")
+            ends = np.cumsum(np.bincount(spot, minlength=buckets))
+            listed = found.take(pa.array(order)).to_pylist()
+            used = np.flatnonzero(np.diff(ends, prepend=0))
+            parts = [listed[p:q] for p, q in zip(np.concatenate(([0], ends))[used].tolist(), ends[used].tolist(), strict=True)]
+            cols = [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), rids[0])), pa.array([len(x) for x in parts], pa.int32()), pa.array([_packed(x) for x in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "n", "words"])
+        release()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = _encoder(frozenset(told.value.items()))._encode_single_piece
+        known, at = None, None
+        for b in batches:
+            out = []
+            for bucket, n, packed in zip(*[b.column(c).to_pylist() for c in ("bucket", "n", "words")], strict=True):
+                if bucket != at:  # rows come sorted by bucket; words of another bucket are other words
+                    known, at = pieces.WordIds(lambda ws: [one(w) for w in ws]), bucket
+                sizes, raw = _unpacked(packed, n)
+                offsets = np.concatenate(([0], np.cumsum(sizes)))
+                flat, per_word, _ = known.look(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))
+                # ids of a vocabulary of up to 65,536 tokens take two bytes
+                kind = "<u2" if len(told.value) <= 1 << 16 else "<u4"
+                out.append(zstandard.ZstdCompressor(level=3).compress(per_word.astype("<u4").tobytes() + flat.astype(kind).tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("n"), pa.array(out, pa.binary())], ["home", "bucket", "n", "ids"])
         release()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rids, ids, texts in pieces.blocks(batches):
             found, counts = pieces.pretokens(texts)
-            index = pieces.distinct(found)[1]
-            packed = zstandard.ZstdCompressor(level=1).compress(index.astype("<u4").tobytes())
-            one = [pa.array([rids[0]]), pa.array([rids], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([counts], pa.list_(pa.int64())), pa.array([packed], pa.binary())]
-            yield pa.RecordBatch.from_arrays(one, ["block", "rids", "doc_ids", "words", "places"])
+            listed, index = pieces.distinct(found)
+            small = zstandard.ZstdCompressor(level=1)
+            one = [
+                pa.array([rids[0]]), pa.array([rids], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([counts], pa.list_(pa.int64())),
+                pa.array([small.compress(_buckets(listed, buckets).astype("<u4").tobytes())], pa.binary()), pa.array([small.compress(index.astype("<u4").tobytes())], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(one, ["block", "rids", "doc_ids", "counts", "spots", "places"])
         release()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoder(frozenset(told.value.items()))._encode_single_piece
-        last: dict[bytes, bytes] = {}
-        for b in batches:
-            listed = b.column("word").dictionary_encode()
-            known = {w: last.get(w) or np.array(one(w), "<u4").tobytes() for w in listed.dictionary.to_pylist()}
-            ids = pa.array([known[w] for w in listed.dictionary.to_pylist()], pa.binary()).take(listed.indices)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("slot"), ids], ["block", "slot", "ids"])
-            last = {b.column("word")[-1].as_py(): known[b.column("word")[-1].as_py()]} if b.num_rows else last
-
     def together(block: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("slot").combine_chunks()
-        held = [c for c in found.column("ids").chunks] or [pa.array([], pa.binary())]
-        raw = held[0].to_pylist()
-        sizes = np.array([len(x) >> 2 for x in raw], np.int64)
-        flat = np.frombuffer(b"".join(raw), "<u4")
+        kind = "<u2" if len(told.value) <= 1 << 16 else "<u4"
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for n, packed in sorted(zip(found.column("bucket").to_pylist(), zip(found.column("n").to_pylist(), found.column("ids").to_pylist(), strict=True), strict=True)):
+            per_word, raw = _unpacked(packed[1], packed[0])
+            sizes.append(per_word)
+            flat.append(np.frombuffer(raw, kind).astype(np.uint32))
+        sizes, flat = np.concatenate(sizes), np.concatenate(flat)
         out = []
         for row in block.to_batches():
             for k in range(row.num_rows):
-                index = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("places")[k].as_py()), "<u4")
-                ids, per_place = pieces.spread(index, flat, sizes)
-                n = pieces.per_text(per_place, row.column("words")[k].values.to_numpy())
+                plain = zstandard.ZstdDecompressor()
+                spot = np.frombuffer(plain.decompress(row.column("spots")[k].as_py()), "<u4")
+                at = np.empty(len(spot), np.int64)
+                at[np.argsort(spot, kind="stable")] = np.arange(len(spot))  # words lie by bucket, then by their number
+                index = np.frombuffer(plain.decompress(row.column("places")[k].as_py()), "<u4")
+                ids, per_place = pieces.spread(at[index], flat, sizes)
+                n = pieces.per_text(per_place, row.column("counts")[k].values.to_numpy())
                 offsets = np.concatenate(([0], np.cumsum(n))) * 4
                 stored = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, "<u4").tobytes())])
                 out.append(pa.table([row.column("rids")[k].values, row.column("doc_ids")[k].values, pa.array(n), stored.cast(pa.binary())], ["_rid", "doc_id", "n_tokens", "ids"]))
         release()
         return pa.concat_tables(out)
 
-    source = rows.select("_rid", "doc_id", "text")
-    each = source.mapInArrow(words, "block long, slot int, word binary")
-    ids = each.repartition("word").sortWithinPartitions("word").mapInArrow(merge, "block long, slot int, ids binary")
-    blocks = source.mapInArrow(places, _places(doc_type))
-    joined = blocks.groupBy("block").cogroup(ids.groupBy("block"))
+    each = rows.mapInArrow(words, "bucket int, block long, n int, words binary")
+    ids = each.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(merge, "home long, bucket int, n int, ids binary")
+    blocks = rows.mapInArrow(places, f"block long, rids array<long>, doc_ids array<{doc_type}>, counts array<long>, spots binary, places binary")
+    joined = blocks.groupBy("block").cogroup(ids.groupBy("home"))
     return joined.applyInArrow(together, f"_rid long, doc_id {doc_type}, n_tokens long, ids binary")
 
 

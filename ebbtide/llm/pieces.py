@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 from collections.abc import Callable, Iterator
@@ -160,12 +161,13 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array, list[str]]]:
+def blocks(batches: Iterator[pa.RecordBatch], chars: int | None = None) -> Iterator[tuple[list, pa.Array, list[str]]]:
     """Documents of _rid, doc_id, text in blocks of whole texts: row numbers, ids and texts, null as empty.
 
     Where a block ends depends on the rows alone, not on how they arrive in batches.
     """
     rids, ids, texts, held = [], [], [], 0
+    chars = chars or BLOCK_CHARS
     for b in batches:
         col = b.column("text")
         for k, (rid, text) in enumerate(zip(b.column("_rid").to_pylist(), col.to_pylist(), strict=True)):
@@ -173,7 +175,7 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array,
             texts.append(text or "")
             ids.append(b.column("doc_id").slice(k, 1))
             held += len(texts[-1])
-            if held >= BLOCK_CHARS or len(texts) >= 1 << 17:
+            if held >= chars or len(texts) >= 1 << 17:
                 yield rids, pa.concat_arrays(ids), texts
                 rids, ids, texts, held = [], [], [], 0
     if rids:
@@ -181,34 +183,55 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array,
 
 
 class WordIds:
-    """Ids of words by ``learn``, each word once while it is remembered. ``learn`` gives an id array per word, None to refuse it."""
+    """Ids of words by ``learn``, each word once while it is remembered.
 
-    def __init__(self, learn: Callable[[list[bytes]], list], keep: int = KEEP):
-        self.learn, self.keep = learn, keep
-        self.known: dict[bytes, bytes | None] = {}
-        self.older: dict[bytes, bytes | None] = {}
+    ``learn`` gives the ids of each of some words. With the bytes of every id in ``table``, a word that the joined bytes of its
+    ids do not give back is refused and has no ids. What is remembered is bounded by ``keep`` words; beyond that it starts anew.
+    """
+
+    def __init__(self, learn: Callable[[list[bytes]], list[list[int]]], table: pa.Array | None = None, keep: int = KEEP):
+        self.learn, self.table, self.keep = learn, table, keep
+        self.width = None if table is None else np.array([len(x) for x in table.to_pylist()], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.size, self.refused = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+
+    def _add(self, words: list[bytes]) -> None:
+        ids = self.learn(words)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+        refused = np.zeros(len(words), bool)
+        if self.table is not None:
+            joined = self.table.take(pa.array(flat))
+            raw = joined.buffers()[2].to_pybytes() if len(joined) else b""
+            ends = np.concatenate(([0], np.cumsum(self.width[flat])))[np.concatenate(([0], np.cumsum(size)))].tolist()
+            if ends[-1] != sum(map(len, words)) or raw[: ends[-1]] != b"".join(words):
+                refused = np.array([raw[p:q] != w for p, q, w in zip(ends, ends[1:], words, strict=False)], bool)
+                flat, size = flat[~np.repeat(refused, size)], np.where(refused, 0, size)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        for held, new in ((self.flat, flat), (self.size, size), (self.refused, refused)):
+            held.append(new)
 
     def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words one after the other, ids per word, and which words were refused."""
         listed = words.to_pylist()
-        new = [w for w in listed if w not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.older, self.known, new = self.known, {}, listed
-        fresh = [w for w in new if w not in self.older]
-        found = dict(zip(fresh, self.learn(fresh), strict=True))
-        for w in new:
-            if w in found:
-                ids = found[w]
-                self.known[w] = None if ids is None else np.array(ids, np.uint32).tobytes()
-            else:
-                self.known[w] = self.older[w]
-        got = [self.known[w] for w in listed]
-        refused = np.array([g is None for g in got], bool)
-        sizes = np.array([len(g) >> 2 if g is not None else 0 for g in got], np.int64)
-        return np.frombuffer(b"".join(g for g in got if g), np.uint32), sizes, refused
-
-
-def library_words(definition: str) -> Callable[[list[bytes]], list]:
+        place = np.fromiter(map(self.known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(place < 0)
+        if len(self.known) + len(new) > self.keep and self.known:
+            self._forget()
+            return self.look(words)
+        if len(new):
+            before = len(self.known)
+            self._add([listed[i] for i in new.tolist()])
+            place[new] = np.arange(before, before + len(new))
+            self.flat, self.size, self.refused = [np.concatenate(self.flat)], [np.concatenate(self.size)], [np.concatenate(self.refused)]
+        flat, sizes = spread(place, self.flat[0], self.size[0])
+        return flat, sizes, self.refused[0][place]
+
+
+def library_words(definition: str) -> Callable[[list[bytes]], list[list[int]]]:
     """Encoding of single words with a byte-level vocabulary of the tokenizers library; special strings are plain text."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
@@ -216,7 +239,7 @@ def library_words(definition: str) -> Callable[[list[bytes]], list]:
     library = Tokenizer.from_str(definition)
     library.encode_special_tokens = True
 
-    def learn(words: list[bytes]) -> list:
+    def learn(words: list[bytes]) -> list[list[int]]:
         out = []
         for at in range(0, len(words), 1 << 15):
             out += [e.ids for e in library.encode_batch_fast([w.decode() for w in words[at : at + (1 << 15)]], add_special_tokens=False)]

@@ -59,9 +59,9 @@ def found(df):
     return sorted(map(tuple, df.select(*COLUMNS).collect()), key=str)
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
+@pytest.mark.parametrize("block", [2 << 20, 300])
 def test_equals_a_plain_walk(spark, monkeypatch, block):
-    monkeypatch.setattr(pieces, "BLOCK_CHARS", block)
+    monkeypatch.setattr(alignment, "BLOCK_CHARS", block)
     rnd = random.Random(7)
     texts = ["".join(rnd.choice(LETTERS) for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
     texts += [None, "", None, " ", "  ", "a" * 3000, " " * 3000, "don't " * 3000, "<|endoftext|>", "<s> x </s>"]
