@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -13,17 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ebbtide.llm import huffman
+from ebbtide.llm import huffman, pieces
 from ebbtide.llm.common import release, row_id, stage
 from ebbtide.session import shared_folder
 
 END_ID = 0
 #: Ids after which a block is closed; a document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 16
-#: Distinct pieces of text whose ids a worker keeps, and as many of an older generation.
-KEEP = 400_000
-#: Code points of whole texts whose ids a worker keeps.
-SEEN = 4_000_000
+#: Distinct words whose ids a worker keeps.
+KEEP = pieces.KEEP
 #: Ids that a task decodes side by side.
 DECODED = 1 << 20
 
@@ -35,12 +32,11 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Whole-text encoding with the library, each distinct piece of text once while it is remembered.
+    """Ids of whole texts as the library gives them, each distinct word once while it is remembered.
 
-    The byte-level splitting never joins a word to a single space that follows it: such a space begins the
-    next piece. So a text may be cut before every space that has a non-blank on both sides, and the
-    ids of the parts are the ids of the text. Texts with other white space beside a space are
-    encoded in one go.
+    Where the vocabulary cuts texts by the public byte-level pattern, words are cut for many texts at once and the library
+    sees only words that are new. Texts that hold the string of a special token, which the library cuts out first, and all texts of other
+    kinds of vocabularies are given to the library whole.
     """
 
     def __init__(self, definition: str, keep: int = KEEP):
@@ -48,69 +44,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(definition)
-        self.library.encode_special_tokens = True
-        names = self.library.get_vocab()
-        self.size = max(names.values()) + 1
+        self.size = max(self.library.get_vocab().values()) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.opens = np.zeros(self.size, bool)
-        for name, number in names.items():
-            self.opens[number] = name.startswith("\u0120")  # the byte-level mark of a leading space
-        made = json.loads(definition)
-        self.cuttable = (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and made.get("normalizer") is None
-        self.keep, self.known, self.older = keep, {}, {}
-        self.seen, self.size_seen = {}, 0
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.public = pieces.splits_publicly(definition)
+        self.words = pieces.WordIds(pieces.library_words(definition), keep=keep) if self.public else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _learn(self, parts: set[str]) -> None:
-        new = [w for w in parts if w not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.older, self.known = self.known, {}  # what is still in use comes back from the older half
-            new = list(parts)
-        for w in new:
-            self.known[w] = self.older.get(w)  # None for a part with blanks at its ends: not to be used
-        fit = [w for w in new if self.known[w] is None and w and not w[0].isspace() and not w[-1].isspace()]
-        for at in range(0, len(fit), 1 << 16):
-            some = fit[at : at + (1 << 16)]
-            lines = [" " + " ".join(some[k : k + 1000]) for k in range(0, len(some), 1000)]
-            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(lines, add_special_tokens=False)])
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some):
-                raise ValueError("the vocabulary marks leading spaces in another way")
-            raw, cuts = ids.tobytes(), (np.append(starts, len(ids)) * self.kind.itemsize).tolist()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:])), strict=False))
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text; a text met again while it is remembered is not encoded again."""
-        new = list(dict.fromkeys(t for t in texts if t not in self.seen))
-        found = dict(zip(new, self._encode(new), strict=True))
-        out = [found[t] if t in found else self.seen[t] for t in texts]
-        size = sum(map(len, new))
-        if self.size_seen + size > SEEN:
-            self.seen, self.size_seen = {}, 0
-        if size <= SEEN:
-            self.seen.update(found)
-            self.size_seen += size
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if not self.cuttable:
+        """Ids of every text, as numbers of the kind of the vocabulary."""
+        if not self.public:
             return self.whole(texts)
-        cut = [t.split(" ") for t in texts]
-        self._learn(set().union(*[c[1:] for c in cut]))
-        heads = list({c[0] for c in cut})
-        first = dict(zip(heads, self.whole(heads), strict=True))
-        out, look = [], self.known.__getitem__
-        for text, c in zip(texts, cut, strict=True):
-            try:
-                # a blank at the end of the first part touches the space after it
-                if c[0][-1:].isspace() and len(c) > 1:
-                    raise TypeError
-                out.append(first[c[0]] + b"".join(map(look, c[1:])))
-            except TypeError:
-                out.append(self.whole([text])[0])
+        apart = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        kept = list(texts)
+        for k in apart:
+            kept[k] = ""
+        found, counts = pieces.pretokens(kept)
+        words, index = pieces.distinct(found)
+        flat, sizes, _ = self.words.look(words)
+        ids, per_place = pieces.spread(index, flat, sizes)
+        raw = ids.astype(self.kind).tobytes()
+        ends = (np.concatenate(([0], np.cumsum(pieces.per_text(per_place, counts)))) * self.kind.itemsize).tolist()
+        out = [raw[p:q] for p, q in zip(ends, ends[1:])]
+        for k, x in zip(apart, self.whole([texts[k] for k in apart]), strict=True):
+            out[k] = x
         return out
 
 
@@ -301,7 +261,7 @@ def stored_tokens(docs: DataFrame, tokenizer: str | None = None, keep: int = KEE
 
     One row per row of ``docs``: doc_id, start (ids of all documents before it), n_tokens (with the
     end id), ids_crc32. Null and empty texts have the end id alone. Rows of one id keep their order in the
-    input; rows without id come last. ``keep`` bounds the pieces of text a worker remembers: fewer take less memory and
+    input; rows without id come last. ``keep`` bounds the words a worker remembers: fewer take less memory and
     more time, the ids are the same. An empty table gives no rows; columns other than doc_id and text are not read.
     """
     with open(tokenizer or vocabulary_file(), encoding="utf-8") as f:

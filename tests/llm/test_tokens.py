@@ -24,7 +24,6 @@ def definition():
 
 def test_parts_of_a_text_give_the_ids_of_the_text(definition):
     library = Tokenizer.from_str(definition)
-    library.encode_special_tokens = True
     rng = random.Random(1)
     bits = ["a", "Bc", "é", " ", "  ", "\n", "\t", "'s", "9", "!", " ", "東", "​", "\x1d", "..."]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
@@ -73,7 +72,6 @@ def test_round_trip_of_bits(kinds):
 def test_stored_tokens_equal_the_library(spark, definition, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK_IDS", 64)
     library = Tokenizer.from_str(definition)
-    library.encode_special_tokens = True
     rng = random.Random(2)
     rows = [(i * 3 % 101, t) for i, t in enumerate(TEXTS)] + [(None, "no id"), (None, "none either"), (5, "twice"), (5, "twice")]
     rows += [(rng.randrange(-50, 1000), f"text {i} of many") for i in range(200)]
