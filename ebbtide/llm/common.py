@@ -44,6 +44,14 @@ def row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, name: str = "_rid") -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give back what a task's Arrow batches held, for Python workers live on and serve other tasks."""
     pa.default_memory_pool().release_unused()

@@ -36,6 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u").isNull() | F.col("v").isNull()).alias("_n"))
     now = stage(pairs.filter("not _n and u > v").select("u", "v").distinct(), "links")
+    now = stage(_star(now, False), "links")  # a node tied to many others leaves one row for itself
     state = None
     for _ in range(max_rounds):
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

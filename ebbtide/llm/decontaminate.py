@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import BROADCAST_ROWS, ascii_lower, fixed, row_id, small_side, stage
+from ebbtide.llm.common import BROADCAST_ROWS, ascii_lower, fixed, fresh, row_id, small_side, stage
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -106,4 +106,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, n: int = 10, broadcast_wi
     """
     docs = fixed(docs)
     bad = stage(contamination(docs, items, n, broadcast_windows).filter("contaminated").select("_rid"), "contaminated")
-    return row_id(docs).join(small_side(bad), "_rid", "left_anti").drop("_rid")
+    rid = fresh(docs)
+    return row_id(docs, rid).join(small_side(bad.select(F.col("_rid").alias(rid))), rid, "left_anti").drop(rid)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import fixed, release, row_id, small_side, stage
+from ebbtide.llm.common import fixed, fresh, release, row_id, small_side, stage
 from ebbtide.llm.components import components, fold
 
 BITS = 64
@@ -186,4 +186,5 @@ def deduplicated(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     # rows that carry their group's least id (or none, where no row has one); the first of them stays
     first = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min("_rid").alias("_rid"))
     drop = stage(rows.join(first, "_rid", "left_anti").select("_rid"), "dropped")
-    return row_id(docs).join(small_side(drop), "_rid", "left_anti").drop("_rid")
+    rid = fresh(docs)
+    return row_id(docs, rid).join(small_side(drop.select(F.col("_rid").alias(rid))), rid, "left_anti").drop(rid)

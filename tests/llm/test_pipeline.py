@@ -7,7 +7,8 @@ import duckdb
 import numpy as np
 import pytest
 from test_decontaminate import brute as leaks
-from test_simhash import groups, plain
+from test_shingles import near, sets
+from test_simhash import groups
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -46,8 +47,8 @@ def test_stages_one_after_the_other(spark, sf_dir, tmp_path):
             preds = {r["doc_id"]: r for r in language.predictions(table(spark, sf_dir, "documents")).collect()}
             assert sorted(ids) == sorted(r["doc_id"] for r in before if preds[r["doc_id"]]["score"] >= 0.1 or 0 < preds[r["doc_id"]]["score"] and len(r["text"]) < 200)
         elif name == "near_duplicates":
-            fps = [plain(r["text"]) for r in before]
-            found = groups(len(fps), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3)
+            words = [sets(r["text"]) for r in before]
+            found = groups(len(words), lambda i, j: near(words[i], words[j]))
             least = collections.defaultdict(list)
             for r, g in zip(before, found):
                 least[g].append(r["doc_id"])
@@ -67,6 +68,6 @@ def test_stages_one_after_the_other(spark, sf_dir, tmp_path):
 
 def test_registered(spark):
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(entry.oracle_sql()) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontaminate", "mix", "token_ids"]
