@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, candidates by SimHash fingerprints and min-hash bands, a Jaccard similarity of 0.8 or more."""
     return shingles.deduplicated(docs)
 
 
