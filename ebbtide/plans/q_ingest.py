@@ -91,6 +91,17 @@ def _(t):
     return read_import_csv(t.spark, folder).drop("source_file", "source_row")
 
 
+@query("read_import_csv_quoted", """
+    SELECT CAST(row AS VARCHAR) AS row, nullif(message_id, '') AS message_id, sender_type, 'first "line",' || chr(10) || coalesce(message_text, '') || chr(10) || ', last' AS message_text FROM message_file""", "message_file")
+def _(t):
+    """Messages with quotes, commas and line breaks in their cells, from one file that several tasks read."""
+    folder = scratch_dir(t.spark, "quoted-csv")
+    text = F.concat(F.lit('first "line",\n'), F.coalesce("message_text", F.lit("")), F.lit("\n, last"))
+    rows = message_file(t).select("row", "message_id", "sender_type", text.alias("message_text"))
+    rows.coalesce(1).write.option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return read_import_csv(t.spark, folder, multi_line=True).drop("source_file", "source_row")
+
+
 @query("validate_required_columns", "SELECT 0 AS row, c AS \"column\", 'Required column ''' || c || ''' not found in CSV' AS message FROM (SELECT unnest(['customer_name', 'join_date', 'phone_number']) AS c)")
 def _(t):
     return A.validate_required_columns(t.customers(), ("customer_id", "customer_name", "phone_number", "join_date"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.session import shared_folder
+from ebbtide.sources.csv_records import read_quoted_csv
 
 
 def _plain_name(header: str) -> str:
@@ -18,10 +19,15 @@ def _plain_name(header: str) -> str:
 def read_import_csv(spark: SparkSession, path: str, multi_line: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """A1: every column as text, blank cells NULL, headers trimmed, lower case, blanks to underscores.
 
-    Spark splits large files over tasks. ``multi_line`` allows line breaks inside quoted cells, as in message
-    files, and reads one file per task, so such imports should come as many files. Files of one path must have one header: a file
-    with its columns in another order is refused, never read by position. Files in another encoding than UTF-8 need ``encoding``.
+    Spark splits large files over tasks. ``multi_line`` allows line breaks inside quoted cells, as in message files; such
+    files are split as well (``csv_records``). Files of one path must have one header: a file
+    with its columns in another order is refused, never read by position. Files in another encoding than UTF-8 need
+    ``encoding``; with line breaks in cells they are read one file per task, for bytes in the middle of such a file cannot be told apart.
     """
+    if multi_line and encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        heads, rows = read_quoted_csv(spark, path)
+        cells = [F.nullif(F.col("cells")[k], F.lit("")).alias(f"c{k}") for k in range(len(heads))]
+        return rows.select(*cells, "source_file", "source_row").toDF(*[_plain_name(h) for h in heads], "source_file", "source_row")
     raw = (
         spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .option("encoding", encoding).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
