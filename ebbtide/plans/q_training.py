@@ -12,12 +12,14 @@ from ebbtide.functions.risk import risk_floor, risk_label
 from ebbtide.operators import evaluation as V
 from ebbtide.operators import explain as X
 from ebbtide.operators import features as D
+from ebbtide.operators import search as S
 from ebbtide.operators import training as TR
 from ebbtide.plans.bindings import YEARLY, Tables, add_cte, r6
 from ebbtide.plans.q_features import VECTOR_SQL, dense_vector, feature_ctes, rounded
 from ebbtide.plans.q_ingest import vector_tables
 from ebbtide.plans.registry import query
 from ebbtide.session import cut_lineage
+from ebbtide.sources.imports import scratch_dir
 
 AT = dt.datetime(2024, 1, 31)
 
@@ -350,6 +352,29 @@ def _(t):
     return evidence(t).select("customer_id", "rank", "msg_id", "link_status", "text_snippet", "similarity_score")
 
 
+def _asked(t: Tables) -> list[float]:
+    """The vector of the first trusted message."""
+    links, feats, _ = vector_tables(t)
+    trusted = feats.filter("embedding IS NOT NULL").join(links.filter("link_status IN ('verified', 'probable')").select("link_id"), "link_id", "left_semi")
+    return trusted.orderBy("link_id").first()["embedding"]
+
+
+@query("global_nearest_messages", """
+    SELECT row_number() OVER (ORDER BY s DESC, link_id) AS rank, customer_id, link_id AS msg_id, link_status, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text_snippet, round(s, 4) AS similarity_score
+    FROM (SELECT v.*, greatest(0, (1 + list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / 2) AS s FROM vectors v,
+              (SELECT embedding FROM vectors WHERE embedding IS NOT NULL AND link_status IN ('verified', 'probable') ORDER BY link_id LIMIT 1) q
+          WHERE v.embedding IS NOT NULL AND v.link_status IN ('verified', 'probable')) JOIN documents ON doc_id = link_id QUALIFY rank <= 20""", "vectors")
+def _(t):
+    links, feats, _ = vector_tables(t)
+    feats = feats.select(F.col("link_id").alias("feature_id"), "link_id", F.col("link_id").alias("msg_id"), "embedding", "processed_at")
+    docs = t.read("documents").select(F.col("doc_id").alias("msg_id"), "text", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0)").alias("timestamp"))
+    path = scratch_dir(t.spark, "vector-index")
+    S.build_vector_index(S.message_vectors(feats, links, docs), path)
+    newest = feats.agg(F.max("processed_at")).first()[0]
+    found, _ = S.global_nearest_messages(t.spark, path, docs, _asked(t), newest, 20)
+    return found.select("rank", "customer_id", "msg_id", "link_status", "text_snippet", "similarity_score")
+
+
 @query("explanations_table", """
     WITH r AS (SELECT pred_id, feature, row_number() OVER (PARTITION BY pred_id ORDER BY slot, feature, value, contribution) AS rank FROM contributions)
     SELECT p.pred_id, p.customer_id, r.feature AS first_feature, coalesce(c.n, 0) AS reasons, coalesce(e.n, 0) AS messages, round(e.best, 4) AS best_similarity, 'v1' AS explainer_version
