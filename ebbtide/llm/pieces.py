@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Code points of text after which a block of documents is closed; a document is never cut over two blocks.
 BLOCK_CHARS = 8 << 20
 #: Code points that are cut at once; longer texts are cut in slices between a non-blank and a space.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 1 << 20
 #: Distinct words whose ids a worker keeps, and as many of an older generation.
 KEEP = 400_000
 
