@@ -58,4 +58,6 @@ def _(t):
     FROM (SELECT *, CAST(phone_number AS BIGINT) AS customer_id FROM messages) a JOIN (SELECT *, CAST(phone_number AS BIGINT) AS customer_id FROM messages WHERE direction = 'outbound') b
       ON b.customer_id = a.customer_id AND (b.timestamp > a.timestamp OR (b.timestamp = a.timestamp AND b.msg_id > a.msg_id)) WHERE a.direction = 'inbound' GROUP BY a.customer_id, a.msg_id, a.timestamp""", "messages")
 def _(t):
-    return finish(t, jobs.stream_response_times(as_stream(t, talk(t), "talk")), "replies")
+    # a message of nobody far ahead ends the stream: it moves the watermark past all hours
+    end = talk(t).agg(F.max("timestamp").alias("timestamp")).selectExpr("-1L AS msg_id", "-1L AS customer_id", "'inbound' AS direction", "timestamp + INTERVAL 3 DAYS AS timestamp")
+    return finish(t, jobs.stream_response_times(as_stream(t, talk(t).unionByName(end), "talk")), "replies")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from ebbtide.functions import text as T
 from ebbtide.operators.messages import signal_columns
@@ -25,9 +26,14 @@ def with_event_time(messages: DataFrame, delay: str, column: str = "timestamp")
     return messages.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def stream_ingest_messages(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Each (phone, time, text) once. State is dropped behind the watermark; later repeats arrive as late rows."""
-    return with_event_time(messages, delay).dropDuplicates(["phone_number", "timestamp", "text"])
+def stream_ingest_messages(messages: DataFrame, delay: str = "1 day", retried: tuple[str, ...] | None = None) -> DataFrame:
+    """Each (phone, time, text) once. State is dropped behind the watermark; later repeats arrive as late rows.
+
+    A sender that tries again may stamp the message anew. ``retried`` names what stays the same then, such as the message id: of
+    rows that agree in it and come within ``delay`` of each other the first is kept, whatever their times.
+    """
+    timed = with_event_time(messages, delay)
+    return timed.dropDuplicatesWithinWatermark(list(retried)) if retried else timed.dropDuplicates(["phone_number", "timestamp", "text"])
 
 
 def stream_message_features(
@@ -69,38 +75,153 @@ def stream_message_counts(messages: DataFrame, delay: str = "1 day", window: str
     return counts.select("customer_id", F.to_date("w.start").alias("day"), "messages")
 
 
-def _answer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Match waiting inbound messages of one customer with the first outbound one after them."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    waiting = list(zip(*state.get)) if state.exists else []
-    arrived = pd.concat(list(frames)).sort_values(["timestamp", "msg_id"])
-    done: list[tuple] = []
-    newest = 0
-    for msg_id, direction, ts in zip(arrived["msg_id"], arrived["direction"], arrived["timestamp"]):
-        micros = ts.value // 1000
-        newest = max(newest, micros)
-        if direction == "outbound":
-            earlier = [w for w in waiting if (w[1], w[0]) < (micros, msg_id)]
-            done += [(key[0], w[0], (micros - w[1]) // 1_000_000) for w in earlier]
-            waiting = [w for w in waiting if (w[1], w[0]) >= (micros, msg_id)]
+class LateRows(StreamingQueryListener):
+    """Stores how many rows each trigger left out because they were behind the watermark, a row per trigger and stateful operator.
+
+    An aggregation combines rows of a task before it looks at the watermark, so for S3 the number is that of
+    late (customer, day) groups per task; behind S1, whose operator sees every message, it is that of messages.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        told = event.progress
+        rows = [(str(told.runId), told.batchId, place, op.operatorName, op.numRowsDroppedByWatermark) for place, op in enumerate(told.stateOperators) if op.numRowsDroppedByWatermark]
+        if rows:
+            self.spark.createDataFrame(rows, LATE).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+LATE = "run_id string, batch_id long, place int, operator string, late_rows long"
+
+
+def late_rows(spark: SparkSession, path: str) -> DataFrame:
+    """What :class:`LateRows` stored; a trigger that ran again after a failure counts once."""
+    found = stored(spark, path)
+    return (found if found is not None else spark.createDataFrame([], LATE)).dropDuplicates(["run_id", "batch_id", "place"])
+
+
+#: Parts into which the waiting messages of one customer are dealt.
+PARTS = 16
+HOUR_MS, HOUR_US = 3_600_000, 3_600_000_000
+
+
+class _Hour(StatefulProcessor):
+    """Messages of one customer and hour, kept until the watermark has passed the hour; then whatever order they came in is gone.
+
+    Gives out replies found inside the hour, messages still waiting, and the hour's first outbound message for
+    the waiting ones of earlier hours, once for every part.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.said = handle.getListState("said", "at long, msg_id long, outbound boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        if not self.said.exists():
+            self.handle.registerTimer(int(key[1].timestamp() * 1000) + HOUR_MS)
+        for frame in rows:
+            self.said.appendList(list(zip(frame["at"].tolist(), frame["msg_id"].tolist(), (frame["direction"] == "outbound").tolist(), strict=True)))
+        yield _frame([], [], [], [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        said = np.array([(r[0], r[1], r[2]) for r in self.said.get()], np.int64).reshape(-1, 3)
+        said = said[np.lexsort((said[:, 1], said[:, 0]))]
+        self.said.clear()
+        out = np.flatnonzero(said[:, 2])
+        after = np.searchsorted(out, np.arange(len(said)))  # the first outbound message at or after each
+        inbound = said[:, 2] == 0
+        near, open_ = np.flatnonzero(inbound & (after < len(out))), np.flatnonzero(inbound & (after >= len(out)))
+        seconds = (said[out[after[near]], 0] - said[near, 0]) // 1_000_000
+        first = [said[out[0], 0]] * PARTS if len(out) else []
+        yield _frame(
+            [key[0]] * (len(near) + len(open_) + len(first)), [*(said[near, 1] % PARTS), *(said[open_, 1] % PARTS), *(range(PARTS) if first else [])],
+            [*said[near, 1], *said[open_, 1], *[None] * len(first)], [*said[near, 0], *said[open_, 0], *first], [*seconds, *[None] * (len(open_) + len(first))], expiredTimerInfo.getExpiryTimeInMs(),
+        )
+
+    def close(self) -> None:
+        pass
+
+
+class _Waiting(StatefulProcessor):
+    """Waiting messages of one customer and part; hours come in order, for they are given out as the watermark passes them."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, msg_id long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        told = pd.concat(list(rows))
+        done = told[told["response_time_secs"].notna()]
+        yield pd.DataFrame({"customer_id": key[0], "msg_id": done["msg_id"].astype("int64"), "response_time_secs": done["response_time_secs"].astype("int64")})
+        rest = told[told["response_time_secs"].isna()]
+        if not len(rest):
+            return
+        waiting, answered = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else [], []
+        for _, hour in rest.groupby("closed_at", sort=True):
+            reply = hour[hour["msg_id"].isna()]["at"]
+            if len(reply):
+                answered += [(m, (int(reply.iloc[0]) - at) // 1_000_000) for at, m in waiting]
+                waiting = []
+            opened = hour[hour["msg_id"].notna()]
+            waiting += list(zip(opened["at"].astype("int64").tolist(), opened["msg_id"].astype("int64").tolist(), strict=True))
+        self._keep(waiting)
+        yield pd.DataFrame({"customer_id": key[0], "msg_id": [a[0] for a in answered], "response_time_secs": [a[1] for a in answered]})
+
+    def _keep(self, waiting: list) -> None:
+        if waiting:
+            self.waiting.put(waiting)
+            self.handle.registerTimer(max(at for at, _ in waiting) // 1000 + self.keep_ms)
         else:
-            waiting.append((int(msg_id), int(micros)))
-    if waiting:
-        state.update(([w[0] for w in waiting], [w[1] for w in waiting]))
-        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs() + 1) + 7 * 86_400_000)
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(done, columns=["customer_id", "msg_id", "response_time_secs"])
+            self.waiting.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        limit = (expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms) * 1000
+        if self.waiting.exists():
+            left = [(r[0], r[1]) for r in self.waiting.get() if r[0] > limit + 999]
+            self.waiting.put(left) if left else self.waiting.clear()
+        yield pd.DataFrame({"customer_id": [], "msg_id": [], "response_time_secs": []}).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(customer: list, part: list, msg_id: list, at: list, seconds: list, closed_ms: int = 0) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "customer_id": pd.array(customer, "Int64"), "part": pd.array(part, "Int64"), "msg_id": pd.array(msg_id, "Int64"), "at": pd.array(at, "Int64"), "response_time_secs": pd.array(seconds, "Int64"),
+            "closed_at": pd.Series([pd.Timestamp(closed_ms, unit="ms")] * len(customer), dtype="datetime64[ns]"),
+        }
+    )
 
 
-def stream_response_times(messages: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Reply delay of answered inbound messages; waiting ones are state and leave it a week after the watermark.
+def stream_response_times(messages: DataFrame, delay: str = "1 day", keep_days: int = 30) -> DataFrame:
+    """Reply delay of answered inbound messages, equal to C5 in whatever order the messages come within ``delay``.
 
-    Rows of one trigger are put in order; triggers are expected in order of time.
+    State is kept per (customer, hour) until the watermark passes the hour, so a late reply or an earlier message that comes after
+    a later one finds its place; what lies behind the watermark is late. What an hour leaves open waits in PARTS
+    parts per customer for the first outbound message of a later hour, of which every part gets a row. So no
+    customer's messages are in one group, and what waits is dealt over tasks. Messages still waiting ``keep_days``
+    after the watermark are given up. Replies are given out when the watermark passes their hour.
+    The states need the RocksDB store, which this sets for the session.
     """
-    rows = with_event_time(messages.select("customer_id", "msg_id", "direction", "timestamp"), delay)
-    return rows.groupBy("customer_id").applyInPandasWithState(
-        _answer, "customer_id long, msg_id long, response_time_secs long", "ids array<long>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    spark = messages.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = with_event_time(messages.select("customer_id", "msg_id", "direction", "timestamp"), delay)
+    rows = timed.withColumns({"hour": F.date_trunc("hour", "timestamp"), "at": F.unix_micros("timestamp")})
+    hours = rows.groupBy("customer_id", "hour").transformWithStateInPandas(
+        _Hour(), "customer_id long, part long, msg_id long, at long, response_time_secs long, closed_at timestamp", "Append", "EventTime", eventTimeColumnName="closed_at"
     )
+    return hours.groupBy("customer_id", "part").transformWithStateInPandas(_Waiting(keep_days * 86_400_000), "customer_id long, msg_id long, response_time_secs long", "Append", "EventTime")
