@@ -61,10 +61,10 @@ class Pieces:
         self.ids = pieces.WordIds(self._learn, pa.array(table, pa.large_binary()))
         self.cut = pieces.spaced_words
 
-    def _learn(self, words: list[bytes]) -> list[list[int]]:
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         # the library puts one space before what it is given, but gives nothing for an empty text
         found = self.library.encode([w[1:].decode() for w in words], num_threads=1)
-        return [[self.one] if w == b" " else ids for w, ids in zip(words, found, strict=True)]
+        return pieces.packed([[self.one] if w == b" " else ids for w, ids in zip(words, found, strict=True)])
 
 
 class Side:

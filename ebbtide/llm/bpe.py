@@ -100,7 +100,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], buckets: int | None = None)
             out = []
             for bucket, n, packed in zip(*[b.column(c).to_pylist() for c in ("bucket", "n", "words")], strict=True):
                 if bucket != at:  # rows come sorted by bucket; words of another bucket are other words
-                    known, at = pieces.WordIds(lambda ws: [one(w) for w in ws]), bucket
+                    known, at = pieces.WordIds(lambda ws: pieces.packed([one(w) for w in ws])), bucket
                 sizes, raw = _unpacked(packed, n)
                 offsets = np.concatenate(([0], np.cumsum(sizes)))
                 flat, per_word, _ = known.look(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]))

@@ -182,26 +182,44 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int | None = None) -> Itera
         yield rids, pa.concat_arrays(ids), texts
 
 
+def packed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one array, and how many each has."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
+
+#: Some words -> their ids one after the other, and ids per word.
+Learn = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+
+
 class WordIds:
     """Ids of words by ``learn``, each word once while it is remembered.
 
     ``learn`` gives the ids of each of some words. With the bytes of every id in ``table``, a word that the joined bytes of its
-    ids do not give back is refused and has no ids. What is remembered is bounded by ``keep`` words; beyond that it starts anew.
+    ids do not give back is refused and has no ids. What is remembered is about ``keep`` words; beyond that, words met once are forgotten.
     """
 
-    def __init__(self, learn: Callable[[list[bytes]], list[list[int]]], table: pa.Array | None = None, keep: int = KEEP):
+    def __init__(self, learn: Learn, table: pa.Array | None = None, keep: int = KEEP):
         self.learn, self.table, self.keep = learn, table, keep
         self.width = None if table is None else np.array([len(x) for x in table.to_pylist()], np.int64)
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.size, self.refused = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        self.flat, self.size, self.refused, self.met = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], np.zeros(0, np.int32)
+
+    def _thin(self) -> None:
+        """Keep the words met most often, half of what may be remembered at most."""
+        often = np.flatnonzero(self.met > 1)
+        if len(often) > self.keep // 2:
+            often = often[self.met[often] > np.partition(self.met[often], len(often) - self.keep // 2)[len(often) - self.keep // 2]]
+        words = list(self.known)
+        self.known = {words[i]: k for k, i in enumerate(often.tolist())}
+        flat, size = spread(often, self.flat[0], self.size[0])
+        self.flat, self.size, self.refused, self.met = [flat], [size], [self.refused[0][often]], np.ones(len(often), np.int32)
 
     def _add(self, words: list[bytes]) -> None:
-        ids = self.learn(words)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+        flat, size = self.learn(words)
         refused = np.zeros(len(words), bool)
         if self.table is not None:
             joined = self.table.take(pa.array(flat))
@@ -219,31 +237,56 @@ class WordIds:
         listed = words.to_pylist()
         place = np.fromiter(map(self.known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
         new = np.flatnonzero(place < 0)
-        if len(self.known) + len(new) > self.keep and self.known:
-            self._forget()
-            return self.look(words)
+        if len(self.known) + len(new) > self.keep and (self.met > 0).any():
+            self._thin()
+            place = np.fromiter(map(self.known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+            new = np.flatnonzero(place < 0)
         if len(new):
             before = len(self.known)
             self._add([listed[i] for i in new.tolist()])
             place[new] = np.arange(before, before + len(new))
             self.flat, self.size, self.refused = [np.concatenate(self.flat)], [np.concatenate(self.size)], [np.concatenate(self.refused)]
+            self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
+        self.met[place] += 1
         flat, sizes = spread(place, self.flat[0], self.size[0])
         return flat, sizes, self.refused[0][place]
 
 
-def library_words(definition: str) -> Callable[[list[bytes]], list[list[int]]]:
-    """Encoding of single words with a byte-level vocabulary of the tokenizers library; special strings are plain text."""
+def library_words(definition: str) -> Learn:
+    """Encoding of words with a byte-level vocabulary of the tokenizers library; special strings are plain text.
+
+    Words of a space and something else are given to the library as one line per 1,000 words, which it cuts at the spaces again; the
+    first id of each is one whose token begins with a space. Other words are texts of their own.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(definition)
     library.encode_special_tokens = True
-
-    def learn(words: list[bytes]) -> list[list[int]]:
-        out = []
-        for at in range(0, len(words), 1 << 15):
-            out += [e.ids for e in library.encode_batch_fast([w.decode() for w in words[at : at + (1 << 15)]], add_special_tokens=False)]
-        return out
+    names = library.get_vocab()
+    opens = np.zeros(max(names.values()) + 1, bool)
+    space = next(c for c, b in byte_letters().items() if b == 32)
+    for name, number in names.items():
+        opens[number] = name.startswith(space)
+
+    def learn(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode() for w in words]
+        line = np.fromiter((t[0] == " " and not t[-1].isspace() for t in texts), bool, len(texts))
+        flat, size = packed([e.ids for e in library.encode_batch_fast([texts[k] for k in np.flatnonzero(~line).tolist()], add_special_tokens=False)])
+        flats, sizes = [flat], [size]
+        spaced = [texts[k] for k in np.flatnonzero(line).tolist()]
+        for at in range(0, len(spaced), 1000):
+            part = spaced[at : at + 1000]
+            ids = np.array(library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            starts = np.flatnonzero(opens[ids])
+            if len(starts) != len(part) or starts[0]:
+                raise ValueError("the vocabulary marks leading spaces in another way")
+            flats.append(ids)
+            sizes.append(np.diff(starts, append=len(ids)))
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate((np.flatnonzero(~line), np.flatnonzero(line)))] = np.arange(len(texts))
+        size = np.concatenate(sizes)
+        return spread(place, np.concatenate(flats), size)
 
     return learn
 

@@ -21,6 +21,8 @@ END_ID = 0
 BLOCK_IDS = 1 << 16
 #: Distinct words whose ids a worker keeps.
 KEEP = pieces.KEEP
+#: Code points of texts that a task encodes together.
+BLOCK_CHARS = 4 << 20
 #: Ids that a task decodes side by side.
 DECODED = 1 << 20
 
@@ -81,16 +83,14 @@ def encoded(docs: DataFrame, definition: str, keep: int = KEEP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(told.value, keep)
         end = np.array([END_ID], enc.kind).tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
-                n = pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("_rid"), part.column("doc_id"), pa.array(ids, pa.binary()), n], ["_rid", "doc_id", "ids", "n"])
+        for rids, docs_, texts in pieces.blocks(batches, BLOCK_CHARS):
+            ids = [x + end for x in enc.encode(texts)]
+            n = pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), docs_, pa.array(ids, pa.binary()), n], ["_rid", "doc_id", "ids", "n"])
         del enc
         release()
 
-    return row_id(docs.select("doc_id", "text")).mapInArrow(run, f"_rid long, doc_id {dict(docs.dtypes)['doc_id']}, ids binary, n long")
+    return row_id(docs.select("doc_id", "text")).select("_rid", "doc_id", "text").mapInArrow(run, f"_rid long, doc_id {dict(docs.dtypes)['doc_id']}, ids binary, n long")
 
 
 def global_counts(rows: DataFrame, size: int, kind: np.dtype) -> np.ndarray:
