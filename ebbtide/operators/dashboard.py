@@ -185,10 +185,56 @@ def latest_snapshot(snapshots: DataFrame, as_of: dt.date | None = None) -> DataF
     return best.select("customer_id", "s.*")
 
 
+def _listed(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """A few ranked rows per customer as one list."""
+    packed = F.array_sort(F.collect_list(F.struct("rn", *columns)))
+    return rows.groupBy("customer_id").agg(F.transform(packed, lambda x: F.struct(*[x[c].alias(c) for c in columns])).alias(name))
+
+
+def last_messages(semantics: DataFrame, messages: DataFrame, features: DataFrame, n: int = 5, snippet: int = 100) -> DataFrame:
+    """The first ``n`` messages that a semantics row refers to, where they have features: (customer_id, rn, msg_id, text_snippet, ...).
+
+    Messages have no mood of their own there; they carry the dominant one of their customer.
+    """
+    mine = semantics.select("customer_id", "dominant_sentiment", F.posexplode(F.slice("last_n_msg_ids", 1, n)).alias("rn", "m")).select("customer_id", "dominant_sentiment", "rn", F.col("m.msg_id").alias("msg_id"))
+    known = features.select("msg_id", "has_complaint").join(messages.select("msg_id", "text"), "msg_id")
+    return mine.join(known, "msg_id").select(
+        "customer_id", "rn", "msg_id", truncate(F.coalesce("text", F.lit("")), snippet).alias("text_snippet"), "dominant_sentiment", F.col("dominant_sentiment").alias("sentiment_label"), "has_complaint"
+    )
+
+
+def explained_prediction(predictions: DataFrame, explanations: DataFrame) -> DataFrame:
+    """The newest prediction per customer with what is stored to explain it. Reasons count only if they come from the model."""
+    kept = explanations.select("pred_id", "shap_top", "nearest_messages", "explanation_type")
+    joined = newest_prediction(predictions).join(kept.withColumn("_c", F.lit(True)), "pred_id", "left")
+    available = F.coalesce((F.col("explanation_type") == "shap") & (F.size("shap_top") > 0), F.lit(False))
+    return joined.withColumns({
+        "top_reasons": F.when(available, F.col("shap_top")), "explanation_available": available,
+        "explanation_status": F.when(available, "available").otherwise("SHAP explanation belum tersedia"), "shap_cached": F.coalesce("_c", F.lit(False)),
+    }).drop("shap_top", "_c")
+
+
+def quick_stats(view: DataFrame) -> Column:
+    """The headline numbers of a customer from the parts of the view, 0 where there are none."""
+    bought, signals, told = F.col("transaction_summary"), F.col("text_signals"), F.col("text_semantics")
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    mood = zero(told["avg_sentiment_score"]) if "avg_sentiment_score" in view.schema["text_semantics"].dataType.names else F.lit(0.0)
+    return F.struct(
+        F.coalesce(bought["total_transactions"], F.lit(0)).alias("total_transactions"), zero(bought["total_spent"]).alias("total_spent"), bought["last_transaction_date"].alias("last_visit"),
+        F.coalesce(signals["msg_count_30d"], F.lit(0)).alias("message_count"), zero(signals["complaint_rate_30d"]).alias("complaint_rate"), mood.alias("avg_sentiment_30"),
+    )
+
+
 def customer_360(
     customers: DataFrame, numeric: DataFrame, signals: DataFrame, semantics: DataFrame, transactions: DataFrame, predictions: DataFrame, as_of: dt.date,
+    messages: DataFrame | None = None, features: DataFrame | None = None, explanations: DataFrame | None = None,
 ) -> DataFrame:
-    """Profile, features, signals, semantics, purchases and risk, one nested row per customer."""
+    """Profile, features, signals, semantics, purchases, risk and quick stats, one nested row per customer.
+
+    With ``messages`` and ``features`` also the newest messages of all times (G15) and, where semantics refer to messages, the last ones of
+    their window; with ``explanations`` (F24) the prediction says why. Lists are of a few messages per customer,
+    trimmed before the shuffle; a customer without any has no list.
+    """
     def nested(df: DataFrame, name: str) -> DataFrame:
         return df.select("customer_id", F.struct(*[c for c in df.columns if c != "customer_id"]).alias(name))
 
@@ -196,11 +242,17 @@ def customer_360(
     columns = [c for c in semantics.columns if c != "customer_id"]
     best = told.groupBy("customer_id").agg(F.max_by(F.struct(*columns), F.struct("_has", "as_of_date")).alias("s")).select("customer_id", "s.*")
     best = best.withColumns({"dominant_topic": dominant(F.col("top_topic_counts")), "dominant_sentiment": dominant(F.col("sentiment_dist"))})
+    risk = newest_prediction(predictions) if explanations is None else explained_prediction(predictions, explanations)
     parts = [
         nested(latest_snapshot(numeric, as_of), "numeric_features"), nested(latest_snapshot(signals, as_of), "text_signals"), nested(best, "text_semantics"),
-        nested(transaction_summary(transactions), "transaction_summary"), nested(newest_prediction(predictions), "latest_prediction"),
+        nested(transaction_summary(transactions), "transaction_summary"), nested(risk, "latest_prediction"),
     ]
-    return reduce(lambda a, b: a.join(b, "customer_id", "left"), parts, customers)
+    if messages is not None and features is not None:
+        if "last_n_msg_ids" in semantics.columns:
+            parts.append(_listed(last_messages(best, messages, features), "last_messages", ["msg_id", "text_snippet", "dominant_sentiment", "sentiment_label", "has_complaint"]))
+        parts.append(_listed(recent_messages(messages, features), "historical_messages", ["msg_id", "timestamp", "direction", "text_snippet", "has_complaint", "has_refund_request"]))
+    view = reduce(lambda a, b: a.join(b, "customer_id", "left"), parts, customers)
+    return view.withColumn("quick_stats", quick_stats(view))
 
 
 def recent_messages(messages: DataFrame, features: DataFrame, n: int = 5, snippet: int = 140) -> DataFrame:

@@ -231,13 +231,18 @@ def nearest_messages(
     )
 
 
-def explanations_table(predictions: DataFrame, reasons: DataFrame, evidence: DataFrame, version: str, as_of: dt.datetime) -> DataFrame:
-    """one row per prediction with reasons and evidence; the newest wins where one was explained twice."""
+def explanations_table(predictions: DataFrame, reasons: DataFrame, evidence: DataFrame, version: str, as_of: dt.datetime, kind: str = "shap") -> DataFrame:
+    """one row per prediction with reasons and evidence; the newest wins where one was explained twice.
+
+    ``kind`` says how the reasons were made ("shap", or "heuristic" for F21); a column ``explanation_type`` of the reasons says it per
+    prediction. Predictions without reasons have neither reasons nor a kind.
+    """
     keep = [c for c in ("feature", "value", "contribution", "description") if c in reasons.columns]
-    shap = reasons.groupBy("pred_id").agg(F.array_sort(F.collect_list(F.struct("rank", *keep))).alias("shap_top"))
+    made = F.max("explanation_type") if "explanation_type" in reasons.columns else F.max(F.lit(kind))
+    shap = reasons.groupBy("pred_id").agg(F.array_sort(F.collect_list(F.struct("rank", *keep))).alias("shap_top"), made.alias("explanation_type"))
     near = evidence.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("rank", "msg_id", "text_snippet", "similarity_score"))).alias("nearest_messages"))
     one = predictions.groupBy("pred_id").agg(F.max_by(F.struct("customer_id", "model_version"), "created_at").alias("p")).select("pred_id", "p.*")
     return one.join(shap, "pred_id", "left").join(near, "customer_id", "left").select(
         "pred_id", "customer_id", "shap_top", "nearest_messages", F.lit(version).alias("explainer_version"), F.lit(feature_schema_hash()).alias("feature_schema_hash"),
-        "model_version", F.lit("shap").alias("explanation_type"), F.lit(as_of).cast("timestamp_ntz").alias("as_of"),
+        "model_version", "explanation_type", F.lit(as_of).cast("timestamp_ntz").alias("as_of"),
     )

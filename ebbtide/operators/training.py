@@ -179,7 +179,10 @@ def train_risk_model(
         VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep"),
         GBTClassifier(labelCol=label, featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(cut_lineage(weighted.select(*names, label, "weight")))
+    # a fit reads its rows some hundred times: in as many parts as there are cores, however few the stage before left
+    spark = train.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return Pipeline(stages=stages).fit(cut_lineage(weighted.select(*names, label, "weight").repartition(parts)))
 
 
 def model_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -226,8 +229,8 @@ def score_distribution(scores: DataFrame) -> DataFrame:
     return scores.groupBy("churn_label").agg(F.count(F.lit(1)).alias("customers"), F.avg("churn_score").alias("mean_score"))
 
 
-def retrain(dataset: DataFrame, trees: int = 100, version: str = "retrained") -> DataFrame:
-    """split, impute, fit the transaction-only and the full model, and report metrics side by side."""
+def retrained(dataset: DataFrame, trees: int = 100) -> dict:
+    """split, impute, balance, and fit the transaction-only and the full model: (model, metrics) of each, and the sizes."""
     rows = cut_lineage(dataset)
     least, found = 10, rows.limit(10).count()
     if found < least:
@@ -236,13 +239,20 @@ def retrain(dataset: DataFrame, trees: int = 100, version: str = "retrained") ->
     filled = cut_lineage(median_impute(split, split.filter("is_train"), FEATURE_NAMES))
     train, test = filled.filter("is_train"), filled.filter("NOT is_train")
     classes = class_weight(train).first()
-    if needs_oversampling(classes["positives"], classes["negatives"]):  # the weight is taken anew from the balanced rows
+    balanced = needs_oversampling(classes["positives"], classes["negatives"])
+    if balanced:  # the weight is taken anew from the balanced rows
         train = cut_lineage(oversample(train, FEATURE_NAMES))
-    metrics = []
+    fits = []
     for names in (BASELINE_FEATURE_NAMES, FEATURE_NAMES):
         model = train_risk_model(train, names, trees=trees)
-        metrics.append(classification_metrics(model_scores(model, test).select(F.col("churned").alias("y"), "score")))
-    return compare_models(metrics[0], metrics[1]).withColumn("model_version", F.lit(version))
+        fits.append((model, classification_metrics(model_scores(model, test).select(F.col("churned").alias("y"), "score"))))
+    return {"models": fits, "train_size": train.count(), "test_size": test.count(), "oversampled": balanced}
+
+
+def retrain(dataset: DataFrame, trees: int = 100, version: str = "retrained") -> DataFrame:
+    """metrics of the transaction-only and the full model side by side; ``stored.retrain_and_store`` keeps them."""
+    (_, plain), (_, full) = retrained(dataset, trees)["models"]
+    return compare_models(plain, full).withColumn("model_version", F.lit(version))
 
 
 def ablation_auc(train: DataFrame, test: DataFrame, dropped: tuple[str, ...] = ("recency_ratio", "recency_days"), trees: int = 100) -> DataFrame:

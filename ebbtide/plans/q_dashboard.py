@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ebbtide.functions.risk import urgency
+from ebbtide.functions.skew import top_n
 from ebbtide.operators import dashboard as G
+from ebbtide.operators import explain as X
 from ebbtide.operators import features as D
 from ebbtide.operators import worklists as WL
 from ebbtide.plans.bindings import DENSE, Tables, add_cte, r6
@@ -157,6 +159,54 @@ def _(t):
                       r6("latest_prediction.churn_score").alias("churn_score"), "latest_prediction.churn_label")
 
 
+def _full_view(t: Tables):
+    """The view with messages and explanations; a week's semantics refer to the newest messages of the week before it ends."""
+    dates = snapshot_dates(t)
+    weekly = weekly_semantics(t)
+    said = t.messages().join(t.message_features().select("msg_id", "customer_id"), "msg_id").withColumn("as_of_date", F.to_date(F.date_trunc("week", "timestamp")))
+    newest = top_n(said, ["customer_id", "as_of_date"], [F.desc("timestamp"), F.desc("msg_id")], 7)
+    packed = F.array_sort(F.collect_list(F.struct("rn", "msg_id")))
+    refs = newest.groupBy("customer_id", "as_of_date").agg(F.transform(packed, lambda x: F.struct(x["msg_id"].alias("msg_id"))).alias("last_n_msg_ids"))
+    preds = t.predictions().withColumn("model_version", F.lit("m1"))
+    reasons = t.contributions().withColumnRenamed("slot", "rank").withColumn("explanation_type", F.when(F.col("pred_id") % 5 == 0, "heuristic").otherwise("shap"))
+    none = t.spark.createDataFrame([], "customer_id long, rank int, msg_id long, text_snippet string, similarity_score double")
+    return G.customer_360(
+        t.customers(), D.numeric_features(t.customers(), t.purchases(), dates, DENSE), D.text_signals(t.customers(), t.trusted(), dates), weekly.join(refs, ["customer_id", "as_of_date"], "left"),
+        t.transactions(), t.predictions(), dates[0], t.messages(), t.message_features(), X.explanations_table(preds, reasons, none, "v1", NOW),
+    )
+
+
+_LAST = """(SELECT customer_id, as_of_date, mood FROM (SELECT customer_id, as_of_date, mood, count(*) AS n FROM wk GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY as_of_date DESC, n DESC, mood) = 1)"""
+
+
+@query("customer_360_messages", f"""
+    SELECT customer_id, list, pos, msg_id, text_snippet, mood, has_complaint FROM (
+        SELECT f.customer_id, 'last' AS list, row_number() OVER (PARTITION BY f.customer_id ORDER BY m.timestamp DESC, m.msg_id DESC) AS pos, m.msg_id, m.text AS text_snippet, w.mood, f.has_complaint
+        FROM message_features f JOIN messages m USING (msg_id) JOIN {_LAST} w ON w.customer_id = f.customer_id AND w.as_of_date = CAST(date_trunc('week', m.timestamp) AS DATE)
+        UNION ALL SELECT f.customer_id, 'all', row_number() OVER (PARTITION BY f.customer_id ORDER BY m.timestamp DESC, m.msg_id DESC), m.msg_id, m.text, m.direction, f.has_complaint FROM message_features f JOIN messages m USING (msg_id)) x
+    JOIN customers USING (customer_id) WHERE pos <= 5""", "customers messages message_features wk")
+def _(t):
+    view = _full_view(t)
+    last = view.select("customer_id", F.lit("last").alias("list"), F.posexplode("last_messages").alias("p", "m")).select("customer_id", "list", (F.col("p") + 1).alias("pos"), "m.msg_id", "m.text_snippet", F.col("m.dominant_sentiment").alias("mood"), "m.has_complaint")
+    every = view.select("customer_id", F.lit("all").alias("list"), F.posexplode("historical_messages").alias("p", "m")).select("customer_id", "list", (F.col("p") + 1).alias("pos"), "m.msg_id", "m.text_snippet", F.col("m.direction").alias("mood"), "m.has_complaint")
+    return last.unionByName(every)
+
+
+@query("customer_360_stats", """
+    SELECT c.customer_id, coalesce(s.total_transactions, 0) AS total_transactions, coalesce(s.total_spent, 0.0) AS total_spent, s.last_transaction_date AS last_visit, coalesce(x.msg_count_30d, 0) AS message_count,
+           round(coalesce(x.complaint_rate_30d, 0.0), 6) AS complaint_rate, 0.0::DOUBLE AS avg_sentiment_30, p.pred_id, coalesce(r.n > 0 AND p.pred_id % 5 <> 0, false) AS explanation_available,
+           CASE WHEN r.n > 0 THEN CASE WHEN p.pred_id % 5 = 0 THEN 'heuristic' ELSE 'shap' END END AS explanation_type, CASE WHEN r.n > 0 AND p.pred_id % 5 <> 0 THEN r.n ELSE 0 END AS top_reasons, p.pred_id IS NOT NULL AS shap_cached
+    FROM customers c LEFT JOIN txt_w x ON x.customer_id = c.customer_id AND x.as_of_date = (SELECT as_of FROM anchor_events) LEFT JOIN summary s ON s.customer_id = c.customer_id LEFT JOIN newest p ON p.customer_id = c.customer_id
+    LEFT JOIN (SELECT pred_id, count(*) AS n FROM contributions GROUP BY 1) r ON r.pred_id = p.pred_id""", "customers txt_w anchor_events summary newest contributions")
+def _(t):
+    p = F.col("latest_prediction")
+    return _full_view(t).select(
+        "customer_id", "quick_stats.total_transactions", r6("quick_stats.total_spent").alias("total_spent"), "quick_stats.last_visit", "quick_stats.message_count", r6("quick_stats.complaint_rate").alias("complaint_rate"),
+        "quick_stats.avg_sentiment_30", p["pred_id"].alias("pred_id"), F.coalesce(p["explanation_available"], F.lit(False)).alias("explanation_available"), p["explanation_type"].alias("explanation_type"),
+        F.coalesce(F.size(p["top_reasons"]), F.lit(0)).alias("top_reasons"), F.coalesce(p["shap_cached"], F.lit(False)).alias("shap_cached"),
+    )
+
+
 @query("recent_messages", """
     SELECT f.customer_id, rn, msg_id, timestamp, direction, CASE WHEN length(text) > 6 THEN substr(text, 1, 6) || '...' ELSE text END AS text_snippet, has_complaint, has_refund_request
     FROM (SELECT f.*, m.text, m.timestamp, m.direction, row_number() OVER (PARTITION BY f.customer_id ORDER BY m.timestamp DESC, m.msg_id DESC) AS rn FROM message_features f JOIN messages m USING (msg_id)) f WHERE rn <= 5""", "messages message_features")

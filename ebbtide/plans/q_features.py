@@ -11,8 +11,10 @@ from ebbtide.functions import series as S
 from ebbtide.functions.risk import risk_floor, risk_label
 from ebbtide.functions.text import coerce_numeric
 from ebbtide.operators import features as D
+from ebbtide.operators import stored as ST
 from ebbtide.plans.bindings import DENSE, YEARLY, Tables, add_cte, r6
 from ebbtide.plans.registry import query
+from ebbtide.sources.imports import scratch_dir
 
 
 # ---------------------------------------------------------------------------------------------
@@ -345,15 +347,25 @@ def _(t):
     return D.trust_gate(t.customers(), t.links(), dt.datetime(2024, 1, 2, 12))
 
 
-@query("feature_snapshot_job", f"SELECT v.customer_id, v.as_of_date, {', '.join(f'round(v.{n}, 6) + 0.0 AS {n}' for n in FEATURE_NAMES)}, true AS complete FROM vec_e v JOIN customers c USING (customer_id) WHERE c.is_active", "vec_e customers")
+def _stored_snapshot(t: Tables):
+    """The snapshot job run twice for one folder: first for some of the customers, then for all."""
+    folder = scratch_dir(t.spark, "feature-snapshots")
+    inputs = (t.purchases(), t.trusted(), t.semantics(), t.anchor("events"), DENSE, 10)
+    ST.run_feature_snapshot(folder, t.customers().filter("customer_id % 2 = 0"), *inputs)
+    return ST.run_feature_snapshot(folder, t.customers(), *inputs)
+
+
+_ALL_THERE = " AND ".join(f"v.{n} IS NOT NULL" for n in FEATURE_NAMES)
+
+
+@query("feature_snapshot_job", f"SELECT v.customer_id, v.as_of_date, {', '.join(f'round(v.{n}, 6) + 0.0 AS {n}' for n in FEATURE_NAMES)}, {_ALL_THERE} AS complete FROM vec_e v JOIN customers c USING (customer_id) WHERE c.is_active", "vec_e customers")
 def _(t):
-    out = D.feature_snapshot(t.customers(), t.purchases(), t.trusted(), t.semantics(), t.anchor("events"), DENSE, prior_days=10)
-    return rounded(out, ("complete",))
+    return rounded(_stored_snapshot(t)[0], ("complete",))
 
 
-@query("snapshot_counters", "SELECT count(*) AS total, count(*) AS processed, 0 AS missing FROM customers WHERE is_active", "customers")
+@query("snapshot_counters", f"SELECT count(*) AS total, count(*) FILTER ({_ALL_THERE}) AS processed, count(*) FILTER (NOT ({_ALL_THERE})) AS missing FROM vec_e v JOIN customers c USING (customer_id) WHERE c.is_active", "vec_e customers")
 def _(t):
-    return D.snapshot_counters(D.feature_snapshot(t.customers(), t.purchases(), t.trusted(), t.semantics(), t.anchor("events"), DENSE, prior_days=10))
+    return _stored_snapshot(t)[1]
 
 
 @query("feature_vector_trusted_only", f"""

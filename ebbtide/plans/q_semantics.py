@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ebbtide.operators import messages as C
 from ebbtide.operators import semantics as E
+from ebbtide.operators import stored as ST
 from ebbtide.plans.bindings import Tables, add_cte, r6
 from ebbtide.plans.registry import query
+from ebbtide.sources.imports import scratch_dir
 
 # Frequent words of the given texts stand in for the mood words and label keywords.
 GOOD, BAD = ("the", "la", "die", "and"), ("of", "de", "der", "was")
@@ -238,6 +242,21 @@ def _(t):
     return E.name_topics(topics, LABELS_FOR_DATA).select("topic", "name")
 
 
+@query("store_topics", """
+    WITH k AS (SELECT n_nationkey % 13 AS topic_idx, 'm' || (n_nationkey // 13) AS version, lower(n_name) AS word, n_nationkey AS n FROM nation)
+    SELECT topic_idx, version AS model_version, word AS keyword, upper(word[1]) || word[2:] AS name, TIMESTAMP '2024-02-01' + to_days(CASE WHEN version = 'm0' AND topic_idx % 2 = 0 THEN 0 ELSE 1 END) AS created_at,
+           TIMESTAMP '2024-02-02' AS updated_at FROM k WHERE NOT contains(word, ' ')""")
+def _(t):
+    """Topic names of two model versions; half of the first version was stored the day before under other names."""
+    n, folder = t.read("nation").filter("NOT contains(n_name, ' ')"), scratch_dir(t.spark, "topics")
+    rows = n.select((F.col("n_nationkey") % 13).alias("topic_idx"), F.floor(F.col("n_nationkey") / 13).alias("v"), F.array(F.lower("n_name"), F.lit(" ")).alias("top_keywords"))
+    first = rows.filter("v = 0 AND topic_idx % 2 = 0").withColumn("top_keywords", F.array(F.lit("old")))
+    ST.store_topics(first, folder, "m0", dt.datetime(2024, 2, 1))
+    parts = [ST.store_topics(rows.filter(F.col("v") == v), folder, f"m{v}", dt.datetime(2024, 2, 2)) for v in (0, 1)]
+    out = parts[0].unionByName(parts[1])
+    return out.select("topic_idx", "model_version", F.col("top_keywords")[0].alias("keyword"), "name", "created_at", "updated_at")
+
+
 @query("nlp_job_counters", """
     SELECT count(*) AS total, count(*) FILTER (customer_id % 7 <> 0) AS processed, count(*) FILTER (customer_id % 7 = 0) AS failed FROM chats WHERE customer_id % 9 <> 0""", "chats")
 def _(t):

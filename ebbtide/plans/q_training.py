@@ -13,6 +13,7 @@ from ebbtide.operators import evaluation as V
 from ebbtide.operators import explain as X
 from ebbtide.operators import features as D
 from ebbtide.operators import search as S
+from ebbtide.operators import stored as ST
 from ebbtide.operators import training as TR
 from ebbtide.plans.bindings import YEARLY, Tables, add_cte, r6
 from ebbtide.plans.q_features import VECTOR_SQL, dense_vector, feature_ctes, rounded
@@ -388,6 +389,23 @@ def _(t):
                       F.coalesce(F.size("nearest_messages"), F.lit(0)).alias("messages"), F.array_max(F.transform("nearest_messages", lambda m: m["similarity_score"])).alias("best_similarity"), "explainer_version")
 
 
+@query("store_explanations", """
+    WITH r AS (SELECT pred_id, count(*) AS n, min(feature) AS low, max(feature) AS high, sum(CAST(round(contribution * 10000) AS BIGINT)) AS total FROM contributions GROUP BY 1)
+    SELECT p.pred_id, p.customer_id, coalesce(r.n, 0) AS reasons, r.low AS first_feature, r.high AS last_feature, r.total, coalesce(e.n, 0) AS messages, CASE WHEN p.pred_id % 3 = 0 THEN 'v2' ELSE 'v1' END AS explainer_version,
+           CASE WHEN r.n IS NULL THEN NULL WHEN p.pred_id % 3 = 0 THEN 'heuristic' ELSE 'shap' END AS explanation_type, 'm1' AS model_version, TIMESTAMP '2024-01-31' AS as_of
+    FROM predictions p LEFT JOIN r USING (pred_id) LEFT JOIN (SELECT customer_id, count(*) AS n FROM near GROUP BY 1) e ON e.customer_id = p.customer_id""", "predictions contributions near")
+def _(t):
+    """Explanations stored for all predictions, then a third of them explained anew by the other kind."""
+    preds, folder, near = t.predictions().withColumn("model_version", F.lit("m1")), scratch_dir(t.spark, "explanations"), evidence(t)
+    reasons = t.contributions().withColumnRenamed("slot", "rank")
+    ST.store_explanations(X.explanations_table(preds, reasons, near, "v1", AT), folder)
+    out = ST.store_explanations(X.explanations_table(preds.filter("pred_id % 3 = 0"), reasons, near, "v2", AT, "heuristic"), folder)
+    features = F.transform("shap_top", lambda r: r["feature"])
+    total = F.aggregate("shap_top", F.lit(0).cast("long"), lambda a, r: a + F.round(r["contribution"] * 10000).cast("long"))
+    return out.select("pred_id", "customer_id", F.coalesce(F.size("shap_top"), F.lit(0)).alias("reasons"), F.array_min(features).alias("first_feature"), F.array_max(features).alias("last_feature"), total.alias("total"),
+                      F.coalesce(F.size("nearest_messages"), F.lit(0)).alias("messages"), "explainer_version", "explanation_type", "model_version", "as_of")
+
+
 # ---------------------------------------------------------------------------------------------
 # Models (no SQL form)
 # ---------------------------------------------------------------------------------------------

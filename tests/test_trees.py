@@ -93,3 +93,12 @@ def test_reasons_from_trees(frame, model):
     rows = explain.tree_contributions(frame, model, NAMES).withColumns({"recency_days": F.lit(1.0), "tx_count_90d": F.lit(1.0)})
     top = explain.top_reasons(rows, 3).first()["reasons"]
     assert len(top) == 3 and [abs(c["contribution"]) for c in top] == sorted((abs(c["contribution"]) for c in top), reverse=True)
+
+
+def test_scores_equal_a_walk_over_the_exported_nodes(spark, frame, model):
+    nodes = {(r["tree"], r["node"]): r for r in tree_nodes(model.stages[-1], spark).collect()}
+    trees = {t for t, _ in nodes}
+    for r in training.model_scores(model, frame.limit(60)).collect():
+        x = [r[n] for n in NAMES]
+        margin = sum(walk(nodes, t, x, frozenset(range(5))) for t in trees)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-9)
