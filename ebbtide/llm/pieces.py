@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points of text after which a block of documents is closed; a document is never cut over two blocks.
 BLOCK_CHARS = 8 << 20
@@ -195,61 +196,59 @@ Learn = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 class WordIds:
     """Ids of words by ``learn``, each word once while it is remembered.
 
-    ``learn`` gives the ids of each of some words. With the bytes of every id in ``table``, a word that the joined bytes of its
-    ids do not give back is refused and has no ids. What is remembered is about ``keep`` words; beyond that, words met once are forgotten.
+    With the bytes of every id in ``table``, a word that the joined bytes of its ids do not give back is refused and has no
+    ids. What is remembered is about ``keep`` words; beyond that, words met once are forgotten.
     """
 
     def __init__(self, learn: Learn, table: pa.Array | None = None, keep: int = KEEP):
         self.learn, self.table, self.keep = learn, table, keep
         self.width = None if table is None else np.array([len(x) for x in table.to_pylist()], np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.size, self.refused, self.met = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], np.zeros(0, np.int32)
+        self.known = pa.array([], pa.large_binary())
+        self.flat, self.size, self.refused, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
 
     def _thin(self) -> None:
         """Keep the words met most often, half of what may be remembered at most."""
         often = np.flatnonzero(self.met > 1)
         if len(often) > self.keep // 2:
-            often = often[self.met[often] > np.partition(self.met[often], len(often) - self.keep // 2)[len(often) - self.keep // 2]]
-        words = list(self.known)
-        self.known = {words[i]: k for k, i in enumerate(often.tolist())}
-        flat, size = spread(often, self.flat[0], self.size[0])
-        self.flat, self.size, self.refused, self.met = [flat], [size], [self.refused[0][often]], np.ones(len(often), np.int32)
-
-    def _add(self, words: list[bytes]) -> None:
-        flat, size = self.learn(words)
-        refused = np.zeros(len(words), bool)
+            often = often[np.argsort(-self.met[often], kind="stable")[: self.keep // 2]]
+        self.known = self.known.take(pa.array(often))
+        self.flat, self.size = spread(often, self.flat, self.size)
+        self.refused, self.met = self.refused[often], np.ones(len(often), np.int32)
+
+    def _add(self, words: pa.Array) -> None:
+        listed = words.to_pylist()
+        flat, size = self.learn(listed)
+        refused = np.zeros(len(listed), bool)
         if self.table is not None:
             joined = self.table.take(pa.array(flat))
             raw = joined.buffers()[2].to_pybytes() if len(joined) else b""
             ends = np.concatenate(([0], np.cumsum(self.width[flat])))[np.concatenate(([0], np.cumsum(size)))].tolist()
-            if ends[-1] != sum(map(len, words)) or raw[: ends[-1]] != b"".join(words):
-                refused = np.array([raw[p:q] != w for p, q, w in zip(ends, ends[1:], words, strict=False)], bool)
+            if ends[-1] != sum(map(len, listed)) or raw[: ends[-1]] != b"".join(listed):
+                refused = np.array([raw[p:q] != w for p, q, w in zip(ends, ends[1:], listed, strict=False)], bool)
                 flat, size = flat[~np.repeat(refused, size)], np.where(refused, 0, size)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        for held, new in ((self.flat, flat), (self.size, size), (self.refused, refused)):
-            held.append(new)
+        self.known = pa.concat_arrays([self.known, words])
+        self.flat, self.size, self.refused = np.concatenate((self.flat, flat)), np.concatenate((self.size, size)), np.concatenate((self.refused, refused))
+        self.met = np.concatenate((self.met, np.zeros(len(listed), np.int32)))
 
     def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words one after the other, ids per word, and which words were refused."""
-        listed = words.to_pylist()
-        place = np.fromiter(map(self.known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+        """Ids of distinct words one after the other, ids per word, and which words were refused."""
+        words = words.cast(pa.large_binary())
+        place = self._places(words)
         new = np.flatnonzero(place < 0)
         if len(self.known) + len(new) > self.keep and (self.met > 0).any():
             self._thin()
-            place = np.fromiter(map(self.known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+            place = self._places(words)
             new = np.flatnonzero(place < 0)
         if len(new):
             before = len(self.known)
-            self._add([listed[i] for i in new.tolist()])
+            self._add(words.take(pa.array(new)))
             place[new] = np.arange(before, before + len(new))
-            self.flat, self.size, self.refused = [np.concatenate(self.flat)], [np.concatenate(self.size)], [np.concatenate(self.refused)]
-            self.met = np.concatenate((self.met, np.zeros(len(new), np.int32)))
         self.met[place] += 1
-        flat, sizes = spread(place, self.flat[0], self.size[0])
-        return flat, sizes, self.refused[0][place]
+        flat, sizes = spread(place, self.flat, self.size)
+        return flat, sizes, self.refused[place]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        return pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def library_words(definition: str) -> Learn:

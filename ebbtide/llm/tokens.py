@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -20,9 +22,9 @@ END_ID = 0
 #: Ids after which a block is closed; a document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 16
 #: Distinct words whose ids a worker keeps.
-KEEP = pieces.KEEP
+KEEP = 1_000_000
 #: Code points of texts that a task encodes together.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 8 << 20
 #: Ids that a task decodes side by side.
 DECODED = 1 << 20
 
@@ -42,17 +44,23 @@ class Encoder:
     """
 
     def __init__(self, definition: str, keep: int = KEEP):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(definition)
-        self.size = max(self.library.get_vocab().values()) + 1
+        made = json.loads(definition)
+        added = made.get("added_tokens") or []
+        self.definition, self.library = definition, None
+        self.size = max([*made["model"]["vocab"].values(), *(t["id"] for t in added)]) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t["content"] for t in added]
         self.public = pieces.splits_publicly(definition)
         self.words = pieces.WordIds(pieces.library_words(definition), keep=keep) if self.public else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        if self.library is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.definition)
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
@@ -76,18 +84,23 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(definition: str, keep: int) -> Encoder:
+    """The encoder of a worker; its next tasks find the words that earlier ones met."""
+    return Encoder(definition, keep)
+
+
 def encoded(docs: DataFrame, definition: str, keep: int = KEEP) -> DataFrame:
     """(_rid, doc_id, ids, n): ids of every whole text with the end id, as little-endian numbers; null is empty."""
     told = docs.sparkSession.sparkContext.broadcast(definition)  # a vocabulary, some MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(told.value, keep)
+        enc = _encoder(told.value, keep)
         end = np.array([END_ID], enc.kind).tobytes()
         for rids, docs_, texts in pieces.blocks(batches, BLOCK_CHARS):
             ids = [x + end for x in enc.encode(texts)]
             n = pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), docs_, pa.array(ids, pa.binary()), n], ["_rid", "doc_id", "ids", "n"])
-        del enc
         release()
 
     return row_id(docs.select("doc_id", "text")).select("_rid", "doc_id", "text").mapInArrow(run, f"_rid long, doc_id {dict(docs.dtypes)['doc_id']}, ids binary, n long")
