@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import functools
+import pathlib
 import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,21 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors, and return the archive that holds it.
+
+    Arrow operators run library code in Python workers, which must be able to import it. Call this once per session where the package is
+    not installed on the executors (an installed one, or ``spark-submit --py-files`` with this archive, does as well).
+    """
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="ebbtide-ship-")) / "ebbtide.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    return str(archive)
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the folder that driver and executors share.
 
