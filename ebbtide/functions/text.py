@@ -54,11 +54,14 @@ def phrase_regex(patterns: tuple[str, ...]) -> str:
 
 
 _TIME = r"(?:[T\s]+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d{1,6})?)\d*)?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?$"
-_YEAR_FIRST = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})" + _TIME
-_YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})" + _TIME
-_DOTTED = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})" + _TIME
-_DAY_NAME = r"^(?i)(\d{1,2})[\s-]+([a-z]{3,9})[\s,-]+(\d{4})" + _TIME
-_NAME_DAY = r"^(?i)([a-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})" + _TIME
+_YEAR_FIRST = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
+_YEAR_LAST = r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})"
+_DOTTED = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
+_DAY_NAME = r"(\d{1,2})[\s-]+([a-z]{3,9})[\s,-]+(\d{4})"
+_NAME_DAY = r"([a-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})"
+#: All layouts in one pattern: groups 0-2, 3-5 and 6-8 are the numeric ones, 9-11 their time, 12-14 and 15-17 those with a name, 18-20 their time.
+_LAYOUTS = f"^(?:(?:{_YEAR_FIRST}|{_YEAR_LAST}|{_DOTTED}){_TIME}|(?i:(?:{_DAY_NAME}|{_NAME_DAY}){_TIME}))"
+_GROUPS = 21
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
@@ -69,37 +72,37 @@ def parse_datetime(value: Column) -> Column:
     Taken in turn: year first; day, month, year; month, day, year; and as a last resort dotted dates, month
     first where both readings exist, and texts with the month's English name. Times may have seconds, fractions (to microseconds) and a T before them; a zone
     mark is left out, the wall time counts. The parts go into the timestamp directly, so no
-    session zone can move them, and one match per layout is all a cell costs.
+    session zone can move them. A cell is matched once: one pattern has all layouts, and its groups are split apart.
     """
     text = F.trim(value)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    def number(pattern: str, group: int) -> Column:
-        return part(pattern, group).try_cast("int")
-
-    def made(pattern: str, year: Column, month: Column, day: Column) -> Column:
-        seconds = F.coalesce(part(pattern, 6).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
-        clock = [F.coalesce(number(pattern, g), F.lit(0)) for g in (4, 5)]
-        return F.when(F.regexp_like(text, F.lit(pattern)) & (seconds < 60), F.try_make_timestamp_ntz(year, month, day, *clock, seconds))
-
-    def named(pattern: str, group: int) -> Column:
-        name = F.lower(part(pattern, group))
-        short = F.substring(name, 1, 3)
-        months = F.array(*map(F.lit, _MONTHS))
-        whole = F.array(*map(F.lit, (*_MONTHS, *_MONTH_NAMES, "sept")))
-        return F.when(F.array_contains(whole, name), F.array_position(months, short).cast("int"))
-
-    return F.coalesce(
-        made(_YEAR_FIRST, number(_YEAR_FIRST, 1), number(_YEAR_FIRST, 2), number(_YEAR_FIRST, 3)),
-        made(_YEAR_LAST, number(_YEAR_LAST, 3), number(_YEAR_LAST, 2), number(_YEAR_LAST, 1)),
-        made(_YEAR_LAST, number(_YEAR_LAST, 3), number(_YEAR_LAST, 1), number(_YEAR_LAST, 2)),
-        made(_DOTTED, number(_DOTTED, 3), number(_DOTTED, 1), number(_DOTTED, 2)),
-        made(_DOTTED, number(_DOTTED, 3), number(_DOTTED, 2), number(_DOTTED, 1)),
-        made(_DAY_NAME, number(_DAY_NAME, 3), named(_DAY_NAME, 2), number(_DAY_NAME, 1)),
-        made(_NAME_DAY, number(_NAME_DAY, 3), named(_NAME_DAY, 1), number(_NAME_DAY, 2)),
-    )
+    cut = "\u0001"
+    matched = F.regexp_replace(text, _LAYOUTS, cut.join(f"${g}" for g in range(1, _GROUPS + 1)))
+    parts = F.split(F.nullif(matched, text), cut, -1)  # what does not match is unchanged
+
+    def read(p: Column) -> Column:
+        def number(group: int) -> Column:
+            return p[group].try_cast("int")
+
+        def made(first: int, time: int, year: Column, month: Column, day: Column) -> Column:
+            seconds = F.coalesce(p[time + 2].try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))
+            clock = [F.coalesce(number(time + g), F.lit(0)) for g in (0, 1)]
+            return F.when((p[first] != "") & (seconds < 60), F.try_make_timestamp_ntz(year, month, day, *clock, seconds))
+
+        def named(group: int) -> Column:
+            name = F.lower(p[group])
+            whole = F.lit([*_MONTHS, *_MONTH_NAMES, "sept"])
+            return F.when(F.array_contains(whole, name), F.array_position(F.lit(list(_MONTHS)), F.substring(name, 1, 3)).cast("int"))
+
+        return F.when(p[0] != "", made(0, 9, number(0), number(1), number(2))).otherwise(
+            F.when(p[3] != "", F.coalesce(made(3, 9, number(5), number(4), number(3)), made(3, 9, number(5), number(3), number(4)))).otherwise(
+                F.when(p[6] != "", F.coalesce(made(6, 9, number(8), number(6), number(7)), made(6, 9, number(8), number(7), number(6)))).otherwise(
+                    F.coalesce(made(12, 18, number(14), named(13), number(12)), made(15, 18, number(17), named(15), number(16)))
+                )
+            )
+        )
+
+    # the groups are bound once and read by all layouts
+    return F.when(parts.isNotNull(), F.transform(F.array(parts), read)[0])
 
 
 def normalize_phone(phone: Column) -> Column:
