@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ebbtide.session import cut_lineage
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """First ``n`` rows per key. Spark trims every map task to ``n`` rows before the shuffle."""
@@ -37,9 +39,12 @@ def mark_first(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFra
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: float = 0.001) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: fewer than ``1 / share`` of them, whatever the data."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t")).scalar()
+    """Keys holding more than ``share`` of the rows: fewer than ``1 / share`` of them, whatever the data.
+
+    The rows are read once: their counts per key are stored, and the total and the hot keys come from there.
+    """
+    counts = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n").alias("t")).first()["t"] or 0
     return counts.filter(F.col("_n") > total * share).select(*keys)
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,17 +137,34 @@ def proxy_label(df: DataFrame, column: str = "recency_days") -> DataFrame:
 def correlations(df: DataFrame, names: tuple[str, ...], above: float = 0.95) -> DataFrame:
     """feature pairs whose absolute Pearson correlation exceeds ``above``.
 
-    Every pair uses the rows where both features are present, whatever the others lack. Values are taken relative
-    to the feature's mean, so that large offsets do not eat the digits. All pairs are one aggregate; what reaches
-    the driver is one number per feature and per pair.
+    Every pair uses the rows where both features are present, whatever the others lack; NaN is missing. Values are taken relative
+    to the feature's mean, so that large offsets do not eat the digits. A task multiplies its batches with themselves
+    and sends one row of sums per pair; those are added up and compared in Spark.
     """
-    listed = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    means = df.agg(*[F.avg(n).alias(n) for n in names]).first()
-    near = df.select(*[(F.col(n) - F.lit(float(means[n] or 0.0))).alias(n) for n in names])
-    both = lambda a, b: (F.col(a).isNotNull() & F.col(b).isNotNull())
-    found = near.agg(*[F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))).alias(f"c{k}") for k, (a, b) in enumerate(listed)]).first()
-    pairs = [(a, b, float(found[f"c{k}"])) for k, (a, b) in enumerate(listed) if found[f"c{k}"] is not None and abs(found[f"c{k}"]) > above]
-    return df.sparkSession.createDataFrame(pairs, "feature_1 string, feature_2 string, correlation double")
+    means = df.agg(*[F.avg(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double"))).alias(n) for n in names]).first()  # a number per feature
+    centre = np.array([float(means[n] or 0.0) for n in names])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - centre if batch.num_rows else np.zeros((0, len(names)))
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            s, q = x.T @ m, (x * x).T @ m
+            total += np.stack([m.T @ m, s, s.T, q, q.T, x.T @ x])
+        i, j = np.triu_indices(len(names), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(total[k, i, j]) for k in range(6)]], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = df.select(*[F.col(n).cast("double") for n in names]).mapInArrow(sums, "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    one = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    c = {x: F.col(x) for x in ("n", "sx", "sy", "sxx", "syy", "sxy")}
+    vx, vy = c["n"] * c["sxx"] - c["sx"] * c["sx"], c["n"] * c["syy"] - c["sy"] * c["sy"]
+    # what a constant feature leaves is rounding, not variance
+    real = (vx > 1e-12 * c["n"] * c["sxx"]) & (vy > 1e-12 * c["n"] * c["syy"])
+    r = F.when(real, (c["n"] * c["sxy"] - c["sx"] * c["sy"]) / (F.sqrt(vx) * F.sqrt(vy)))
+    listed = F.lit(list(names))
+    named = one.select(F.element_at(listed, (F.col("i") + 1).cast("int")).alias("feature_1"), F.element_at(listed, (F.col("j") + 1).cast("int")).alias("feature_2"), r.alias("correlation"))
+    return named.filter(F.abs("correlation") > above)
 
 
 def edge_cases(long: DataFrame, capped: tuple[str, ...] = ("activity_cv", "spend_volatility_cv"), cap: float = 9.99) -> DataFrame:

@@ -7,13 +7,17 @@ the file does not pile up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import csv
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.functions.skew import mark_first
 from ebbtide.functions.text import hash_phone, is_trainable, normalize_phone, normalize_text, parse_datetime
 from ebbtide.operators.identity import link_messages
 from ebbtide.session import cut_lineage
+from ebbtide.sources.imports import plain_name
 
 # Required columns and accepted codes of the three import files.
 CUSTOMER_COLUMNS = ("customer_id", "customer_name", "phone_number", "join_date")
@@ -44,6 +48,24 @@ def validate_required_columns(df: DataFrame, required: tuple[str, ...]) -> DataF
     return df.sparkSession.createDataFrame(missing, "row int, column string, message string")
 
 
+def missing_columns(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
+    """A2 for files: (source_file, column, message) for every required column that the header of a CSV file below ``path`` lacks.
+
+    The header is the first line of a file that is not blank, read from the file's first input split; names are compared as the import
+    reads them (lower case, blanks as underscores). A file without any line lacks all columns only if it has a blank one, for a
+    file without bytes is not scanned.
+    """
+    @F.arrow_udf("array<string>")
+    def names(lines: pa.Array) -> pa.Array:
+        return pa.array([[plain_name(c) for c in next(csv.reader([line or ""]), [])] for line in lines.to_pylist()], pa.list_(pa.string()))
+
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("place"))
+    first = text.filter("block = 0").groupBy("source_file").agg(F.min_by("line", F.struct(F.length(F.trim("line")) == 0, "place")).alias("line"))
+    asked = F.array(*[F.lit(c) for c in required])
+    lacking = first.select("source_file", F.explode(F.array_except(asked, names("line"))).alias("column"))
+    return lacking.select("source_file", "column", F.concat(F.lit("Required column '"), "column", F.lit("' not found in CSV")).alias("message"))
+
+
 def validate_customers(df: DataFrame, row: str = "row") -> DataFrame:
     """A4: every error of a customer file; nothing is cut off after the first errors."""
     rows = df.select(row, cell("customer_id").alias("id"), cell("phone_number").alias("raw_phone"), cell("join_date").alias("date"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -197,16 +200,36 @@ def train_topics(vectors: DataFrame, topics: int = 30, min_size: int = 50, seed:
 def assign_topics(vectors: DataFrame, centroids: DataFrame, min_similarity: float = 0.0) -> DataFrame:
     """Nearest centroid by cosine and the similarity; -1 below the threshold, NULL without a vector.
 
-    Centroids are one short array per topic, so they travel inside the expression, not by a join.
+    Centroids are one short array per topic; their unit vectors travel to the tasks as one matrix, by which a batch of unit
+    vectors is multiplied. Of equally near topics the one with the least number is taken; a vector of zeros or of another
+    length than the centroids has no topic.
     """
-    scored = [
-        F.struct(V.cosine(F.col("embedding"), F.lit(r["centroid"])).alias("similarity"), F.lit(-r["topic_idx"]).alias("order"))
-        for r in centroids.select("topic_idx", "centroid").collect()
-    ]
-    best = F.array_max(F.array(*scored))
+    found = sorted((r["topic_idx"], r["centroid"]) for r in centroids.select("topic_idx", "centroid").collect())
+    found = [(k, c) for k, c in found if np.linalg.norm(c) > 0]
+    told = vectors.sparkSession.sparkContext.broadcast((np.array([k for k, _ in found], np.int64), np.array([np.array(c) / np.linalg.norm(c) for _, c in found])))
+
+    @F.arrow_udf("struct<topic:bigint,similarity:double>")
+    def nearest(col: pa.Array) -> pa.Array:
+        numbers, units = told.value
+        size = units.shape[1] if len(numbers) else -1
+        fits = pc.fill_null(pc.equal(pc.list_value_length(col), size), False)
+        topic, best = np.zeros(len(col), np.int64), np.full(len(col), np.nan)
+        if pc.any(fits).as_py():
+            x = col.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            long = np.linalg.norm(x, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = (x @ units.T) / long[:, None]
+            near[~(long > 0)] = np.nan
+            at = np.where(np.isnan(near).any(1), 0, near.argmax(1))
+            here = fits.to_numpy(zero_copy_only=False)
+            topic[here], best[here] = numbers[at], near[np.arange(len(near)), at]
+        none = np.isnan(best)
+        return pa.StructArray.from_arrays([pa.array(topic, mask=none), pa.array(best, mask=none)], ["topic", "similarity"])
+
     similarity = F.col("_best")["similarity"]
-    topic = F.when(similarity < min_similarity, F.lit(-1)).when(similarity.isNotNull(), -F.col("_best")["order"])
-    return vectors.withColumn("_best", best).withColumn("topic_idx", topic).withColumn("similarity", F.round(similarity, 4)).drop("_best")
+    topic = F.when(similarity < min_similarity, F.lit(-1)).when(similarity.isNotNull(), F.col("_best")["topic"].cast(centroids.schema["topic_idx"].dataType))
+    scored = vectors.withColumn("_best", nearest(F.col("embedding").cast("array<double>")))
+    return scored.withColumn("topic_idx", topic).withColumn("similarity", F.round(similarity, 4)).drop("_best")
 
 
 def topic_keywords(texts: DataFrame, topic: str = "topic_idx", n: int = 10) -> DataFrame:

@@ -255,12 +255,15 @@ def retrain(dataset: DataFrame, trees: int = 100, version: str = "retrained") ->
     return compare_models(plain, full).withColumn("model_version", F.lit(version))
 
 
-def ablation_auc(train: DataFrame, test: DataFrame, dropped: tuple[str, ...] = ("recency_ratio", "recency_days"), trees: int = 100) -> DataFrame:
-    """ROC-AUC with and without some features, and the loss in percent."""
+def ablation_auc(
+    train: DataFrame, test: DataFrame, dropped: tuple[str, ...] = ("recency_ratio", "recency_days"), trees: int = 100, full: PipelineModel | None = None
+) -> DataFrame:
+    """ROC-AUC with and without some features, and the loss in percent. ``full`` is the model on all features where it is fitted already."""
     kept = tuple(n for n in FEATURE_NAMES if n not in dropped)
-    parts = []
-    for names, label in ((FEATURE_NAMES, "full"), (kept, "reduced")):
-        scored = model_scores(train_risk_model(train, names, trees=trees), test).select(F.col("churned").alias("y"), "score")
-        parts.append(classification_metrics(scored).select(F.lit(label).alias("features"), "roc_auc"))
+    models = {"full": full or train_risk_model(train, FEATURE_NAMES, trees=trees), "reduced": train_risk_model(train, kept, trees=trees)}
+    parts = [
+        classification_metrics(model_scores(model, test).select(F.col("churned").alias("y"), "score")).select(F.lit(label).alias("features"), "roc_auc")
+        for label, model in models.items()
+    ]
     both = parts[0].unionByName(parts[1])
     return both.agg(*[F.max(F.when(F.col("features") == x, F.col("roc_auc"))).alias(x) for x in ("full", "reduced")]).withColumn("drop_percent", F.try_divide((F.col("full") - F.col("reduced")) * 100, F.col("full")))

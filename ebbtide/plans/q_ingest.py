@@ -102,9 +102,20 @@ def _(t):
     return read_import_csv(t.spark, folder, multi_line=True).drop("source_file", "source_row")
 
 
-@query("validate_required_columns", "SELECT 0 AS row, c AS \"column\", 'Required column ''' || c || ''' not found in CSV' AS message FROM (SELECT unnest(['customer_name', 'join_date', 'phone_number']) AS c)")
-def _(t):
-    return A.validate_required_columns(t.customers(), ("customer_id", "customer_name", "phone_number", "join_date"))
+@query("validate_required_columns", """
+    SELECT c_mktsegment AS file, c AS "column", 'Required column ''' || c || ''' not found in CSV' AS message
+    FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), (SELECT unnest(['customer_id', 'customer_name', 'phone_number', 'join_date']) AS c)
+    WHERE c = 'customer_id' AND n % 5 = 0 OR c = 'phone_number' AND n % 2 = 0 OR c = 'join_date' AND n % 3 = 0""")
+def _(t):
+    """One import file per market segment; its number of customers decides which columns its header lacks."""
+    folder = scratch_dir(t.spark, "segment-files")
+    rows = t.read("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("Customer Name"), F.col("c_nationkey").alias(" Phone_Number "), F.lit("2024-01-01").alias("join_date"), "c_mktsegment")
+    for r in rows.groupBy("c_mktsegment").count().collect():  # a row per segment
+        n, drop = r["count"], ["c_mktsegment"]
+        drop += [c for c, k in (("customer_id", 5), (" Phone_Number ", 2), ("join_date", 3)) if n % k == 0]
+        rows.filter(F.col("c_mktsegment") == r["c_mktsegment"]).drop(*drop).coalesce(1).write.option("header", True).option("quoteAll", True).csv(f"{folder}/{r['c_mktsegment']}")
+    found = A.missing_columns(t.spark, f"{folder}/*", A.CUSTOMER_COLUMNS)
+    return found.select(F.regexp_extract("source_file", "/([^/]+)/[^/]+$", 1).alias("file"), "column", "message")
 
 
 @query("parse_datetime_iso", """

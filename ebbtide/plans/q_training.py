@@ -476,8 +476,8 @@ def _(t):
 
 @query("ablation_auc")
 def _(t):
-    split, _model = fitted(t)
-    return TR.ablation_auc(split.filter("is_train"), split.filter("NOT is_train"), trees=TREES)
+    split, model = fitted(t)
+    return TR.ablation_auc(split.filter("is_train"), split.filter("NOT is_train"), trees=TREES, full=model)
 
 
 @query("retrain_job")

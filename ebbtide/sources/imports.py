@@ -11,7 +11,7 @@ from ebbtide.session import shared_folder
 from ebbtide.sources.csv_records import read_quoted_csv
 
 
-def _plain_name(header: str) -> str:
+def plain_name(header: str) -> str:
     """A header cell as a column name: no byte-order mark, lower case, runs of blanks as one underscore."""
     return re.sub(r"[\s_]+", "_", re.sub(r"^[\ufeff\s]+|\s+$", "", header).lower())
 
@@ -27,12 +27,12 @@ def read_import_csv(spark: SparkSession, path: str, multi_line: bool = False, en
     if multi_line and encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
         heads, rows = read_quoted_csv(spark, path)
         cells = [F.nullif(F.col("cells")[k], F.lit("")).alias(f"c{k}") for k in range(len(heads))]
-        return rows.select(*cells, "source_file", "source_row").toDF(*[_plain_name(h) for h in heads], "source_file", "source_row")
+        return rows.select(*cells, "source_file", "source_row").toDF(*[plain_name(h) for h in heads], "source_file", "source_row")
     raw = (
         spark.read.option("header", True).option("enforceSchema", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         .option("encoding", encoding).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
     )
-    names = [_plain_name(c) for c in raw.columns]
+    names = [plain_name(c) for c in raw.columns]
     cells = [F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns]  # quoted blanks are blank cells too
     meta = raw.select(*cells, F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("source_row"))
     return meta.toDF(*names, "source_file", "source_row")
