@@ -170,15 +170,16 @@ def blocks(batches: Iterator[pa.RecordBatch], chars: int | None = None) -> Itera
     rids, ids, texts, held = [], [], [], 0
     chars = chars or BLOCK_CHARS
     for b in batches:
-        col = b.column("text")
-        for k, (rid, text) in enumerate(zip(b.column("_rid").to_pylist(), col.to_pylist(), strict=True)):
-            rids.append(rid)
-            texts.append(text or "")
-            ids.append(b.column("doc_id").slice(k, 1))
-            held += len(texts[-1])
-            if held >= chars or len(texts) >= 1 << 17:
-                yield rids, pa.concat_arrays(ids), texts
-                rids, ids, texts, held = [], [], [], 0
+        for at in range(0, b.num_rows, 256):  # a few texts at a time become Python objects
+            part = b.slice(at, 256)
+            for k, (rid, text) in enumerate(zip(part.column("_rid").to_pylist(), part.column("text").to_pylist(), strict=True)):
+                rids.append(rid)
+                texts.append(text or "")
+                ids.append(part.column("doc_id").slice(k, 1))
+                held += len(texts[-1])
+                if held >= chars or len(texts) >= 1 << 17:
+                    yield rids, pa.concat_arrays(ids), texts
+                    rids, ids, texts, held = [], [], [], 0
     if rids:
         yield rids, pa.concat_arrays(ids), texts
 

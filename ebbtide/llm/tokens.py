@@ -90,14 +90,14 @@ def _encoder(definition: str, keep: int) -> Encoder:
     return Encoder(definition, keep)
 
 
-def encoded(docs: DataFrame, definition: str, keep: int = KEEP) -> DataFrame:
+def encoded(docs: DataFrame, definition: str, keep: int = KEEP, chars: int = BLOCK_CHARS) -> DataFrame:
     """(_rid, doc_id, ids, n): ids of every whole text with the end id, as little-endian numbers; null is empty."""
     told = docs.sparkSession.sparkContext.broadcast(definition)  # a vocabulary, some MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(told.value, keep)
         end = np.array([END_ID], enc.kind).tobytes()
-        for rids, docs_, texts in pieces.blocks(batches, BLOCK_CHARS):
+        for rids, docs_, texts in pieces.blocks(batches, chars):
             ids = [x + end for x in enc.encode(texts)]
             n = pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), docs_, pa.array(ids, pa.binary()), n], ["_rid", "doc_id", "ids", "n"])
@@ -142,7 +142,7 @@ def _segment(rows: DataFrame, parts: int) -> Column:
     return F.struct(place.alias("a"), F.when(many, F.shiftright("_rid", 33)).otherwise(0).alias("b"))
 
 
-def write(docs: DataFrame, path: str, definition: str, parts: int | None = None, keep: int = KEEP) -> None:
+def write(docs: DataFrame, path: str, definition: str, parts: int | None = None, keep: int = KEEP, chars: int = BLOCK_CHARS) -> None:
     """Encode ``docs`` and write them below ``path`` in ascending order of doc_id.
 
     ``path/lengths``: the code length of every id that occurs, which defines the canonical code.
@@ -152,7 +152,7 @@ def write(docs: DataFrame, path: str, definition: str, parts: int | None = None,
     """
     enc = Encoder(definition)
     size, kind = enc.size, enc.kind
-    rows = stage(encoded(docs, definition, keep), "token-ids")
+    rows = stage(encoded(docs, definition, keep, chars), "token-ids")
     lengths = huffman.code_lengths(global_counts(rows, size, kind))
     codes = huffman.canonical(lengths)
     spark = docs.sparkSession
@@ -269,16 +269,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(run, f"doc_id {doc_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def stored_tokens(docs: DataFrame, tokenizer: str | None = None, keep: int = KEEP) -> DataFrame:
+def stored_tokens(docs: DataFrame, tokenizer: str | None = None, keep: int = KEEP, chars: int = BLOCK_CHARS) -> DataFrame:
     """Write the ids of ``docs`` to a fresh file set in the shared folder and read them back.
 
     One row per row of ``docs``: doc_id, start (ids of all documents before it), n_tokens (with the
     end id), ids_crc32. Null and empty texts have the end id alone. Rows of one id keep their order in the
-    input; rows without id come last. ``keep`` bounds the words a worker remembers: fewer take less memory and
+    input; rows without id come last. ``keep`` bounds the words a worker remembers and ``chars`` the texts it encodes together: fewer take less memory and
     more time, the ids are the same. An empty table gives no rows; columns other than doc_id and text are not read.
     """
     with open(tokenizer or vocabulary_file(), encoding="utf-8") as f:
         definition = f.read()
     path = shared_folder(docs.sparkSession, "tokens")
-    write(docs, path, definition, keep=keep)
+    write(docs, path, definition, keep=keep, chars=chars)
     return read(docs.sparkSession, path)
