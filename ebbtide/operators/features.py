@@ -405,17 +405,36 @@ def feature_vector(
     is joined to one aggregate of purchases, one of messages and two of sentiment snapshots, all
     on the same keys.
     """
-    verified = mode == "verified"
-    wide_days = config.lookback_days if verified else 90
-    text_days = config.window_size_days if verified else 30
     spine = customer_spine(customers, dates).select(CID, AS_OF, "created_at", *keep)
+    joined = spine
+    for part in vector_inputs(transactions, trusted, semantics, dates, config, mode, prior_days).values():
+        joined = joined.join(part, [CID, AS_OF], "left")
+    return assembled_vector(joined, config, mode, keep)
+
+
+def _look_back(config: FeatureConfig, mode: str) -> tuple[int, int]:
+    """Days of purchases and of messages that the fixed look-back features see."""
+    return (config.lookback_days, config.window_size_days) if mode == "verified" else (90, 30)
+
+
+def vector_inputs(
+    transactions: DataFrame, trusted: DataFrame, semantics: DataFrame, dates: Dates, config: FeatureConfig = FeatureConfig(), mode: str = "persisted", prior_days: int = 30,
+) -> dict[str, DataFrame]:
+    """What a feature vector is made of besides its spine, a row per customer and as-of date each."""
+    wide_days, text_days = _look_back(config, mode)
     current, prior = _sentiment_parts(semantics, dates, prior_days, False)
-    joined = (
-        spine.join(purchase_windows(daily_transactions(transactions, max(dates)), dates, config, wide_days=wide_days), [CID, AS_OF], "left")
-        .join(message_windows(daily_messages(recent(trusted, dates, max(text_days, config.lookback_days))), dates, text_days, config), [CID, AS_OF], "left")
-        .join(current, [CID, AS_OF], "left")
-        .join(prior, [CID, AS_OF], "left")
-    )
+    return {
+        "purchases": purchase_windows(daily_transactions(transactions, max(dates)), dates, config, wide_days=wide_days),
+        "messages": message_windows(daily_messages(recent(trusted, dates, max(text_days, config.lookback_days))), dates, text_days, config),
+        "mood_now": current,
+        "mood_before": prior,
+    }
+
+
+def assembled_vector(joined: DataFrame, config: FeatureConfig, mode: str = "persisted", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 20 features from a spine joined with its inputs."""
+    verified = mode == "verified"
+    wide_days, text_days = _look_back(config, mode)
     columns = _numeric_columns(config, wide_days) | _signal_columns(text_days, "active" if verified else "calendar") | _sentiment_columns()
     messages = [F.coalesce(f"_m_{i}", F.lit(0.0)) for i in range(config.activity_windows)]
     columns["msg_trend_smoothed"] = S.slope_of(S.smooth_of(messages, config))

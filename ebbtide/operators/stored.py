@@ -14,6 +14,7 @@ from ebbtide.operators import features as D
 from ebbtide.operators import training as TR
 from ebbtide.operators.evaluation import compare_models
 from ebbtide.operators.semantics import name_topics
+from ebbtide.sources.bucketed import joined, write_bucketed
 from ebbtide.sources.imports import stored, write_snapshot
 
 MODEL_NAME = "multimodal_behavioral_risk"
@@ -34,6 +35,25 @@ def run_feature_snapshot(
     return kept, D.snapshot_counters(kept)
 
 
+def store_vector_inputs(
+    root: str, customers: DataFrame, transactions: DataFrame, trusted: DataFrame, semantics: DataFrame, as_of: dt.date, config: FeatureConfig = FeatureConfig(), mode: str = "persisted",
+    prior_days: int = 30, buckets: int = 64,
+) -> None:
+    """What the feature vectors of a date are made of, stored in buckets of the customer: the customers themselves and their inputs.
+
+    Parts are computed once and read by every job that needs vectors of the date; rows of customers not given are kept.
+    """
+    parts = {"spine": customers.select("customer_id", "created_at")}
+    parts |= {n: p.drop("as_of_date") for n, p in D.vector_inputs(transactions, trusted, semantics, [as_of], config, mode, prior_days).items()}
+    write_bucketed(customers.sparkSession, root, parts, as_of.isoformat(), buckets=buckets)
+
+
+def stored_feature_vector(spark: SparkSession, root: str, as_of: dt.date, config: FeatureConfig = FeatureConfig(), mode: str = "persisted") -> DataFrame:
+    """D15 from the stored parts of a date: buckets of one customer range meet where they lie, without a shuffle."""
+    rows = joined(spark, root, ["spine", "purchases", "messages", "mood_now", "mood_before"], as_of.isoformat())
+    return D.assembled_vector(rows.withColumn("as_of_date", F.lit(as_of)), config, mode)
+
+
 def store_topics(topics: DataFrame, path: str, version: str, now: dt.datetime, replace: bool = False) -> DataFrame:
     """Names and keywords of the topics of a model version, upserted by (version, topic); returns the version's rows.
 

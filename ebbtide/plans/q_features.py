@@ -355,6 +355,15 @@ def _stored_snapshot(t: Tables):
     return ST.run_feature_snapshot(folder, t.customers(), *inputs)
 
 
+@query("stored_feature_vector", f"SELECT customer_id, as_of_date, {VECTOR_SQL} FROM vec_e", "vec_e")
+def _(t):
+    """Vectors from bucketed parts, which were stored for half of the customers first."""
+    root, at = scratch_dir(t.spark, "vector-inputs"), t.anchor("events")
+    for customers in (t.customers().filter("customer_id % 2 = 0"), t.customers()):
+        ST.store_vector_inputs(root, customers, t.purchases(), t.trusted(), t.semantics(), at, DENSE, prior_days=10, buckets=16)
+    return rounded(ST.stored_feature_vector(t.spark, root, at, DENSE))
+
+
 _ALL_THERE = " AND ".join(f"v.{n} IS NOT NULL" for n in FEATURE_NAMES)
 
 
