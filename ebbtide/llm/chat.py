@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +74,9 @@ def render(turns: DataFrame) -> DataFrame:
 
     A turn is ``<s>[INST]role[/INST]text</s>``, role and text escaped, so any role in any order can be
     rendered and read back. ``mask`` lists (from, to) in code points of the part: the escaped texts of
-    assistant turns. Turns are sorted by (turn, place, role, text) within their conversation and streamed: a part ends
-    at a turn border, and the parts of a long conversation follow each other. Null roles are empty; null turns come first.
+    assistant turns. Turns are dealt by ranges of (conversation, turn, place, role, text), so a conversation with very many turns is
+    rendered by many tasks, each of which sorts and streams its own: a part ends at a turn border, and parts are numbered by
+    task and place in it, in the order of the conversation, not without gaps. Null roles are empty; null turns come first.
     """
 
     kind = dict(turns.dtypes)["conv_id"]
@@ -83,8 +85,9 @@ def render(turns: DataFrame) -> DataFrame:
         rows = ((c, r, t) for b in batches for c, r, t in zip(*[b.column(k).to_pylist() for k in ("conv_id", "role", "text")], strict=True))
         out, held = {"conv_id": [], "part": [], "text": [], "mask": []}, 0
         _parts = _packer(kind)
+        task = TaskContext.get().partitionId() << 32  # ranges are numbered in order
         for conv, turns_ in groupby(rows, key=lambda x: x[0]):
-            text, mask, size, part = [], [], 0, 0
+            text, mask, size, part = [], [], 0, task
             for _, role, said in turns_:
                 head, body = f"{OPEN}{INST}{escape(role or '')}{END_INST}", escape(said or "")
                 if role == "assistant":
@@ -104,13 +107,15 @@ def render(turns: DataFrame) -> DataFrame:
         if out["conv_id"]:
             yield _parts(out)
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "place", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, part int, text string, mask array<struct<from:bigint,to:bigint>>")
+    # the beginning of the text is enough to cut ranges by, and it keeps what is sampled for them small
+    keys = ["conv_id", "turn", "place", "role"]
+    ranged = turns.withColumn("_head", F.substring("text", 1, 64)).repartitionByRange(*keys, "_head")
+    return ranged.sortWithinPartitions(*keys, "text").select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, part long, text string, mask array<struct<from:bigint,to:bigint>>")
 
 
 def _packer(kind: str):
     mask = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    return lambda out: pa.RecordBatch.from_arrays([_ids(out["conv_id"], kind), pa.array(out["part"], pa.int32()), pa.array(out["text"], pa.string()), pa.array(out["mask"], mask)], list(out))
+    return lambda out: pa.RecordBatch.from_arrays([_ids(out["conv_id"], kind), pa.array(out["part"], pa.int64()), pa.array(out["text"], pa.string()), pa.array(out["mask"], mask)], list(out))
 
 
 def _ids(values: list, kind: str) -> pa.Array:

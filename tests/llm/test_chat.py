@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.llm import chat
 from ebbtide.llm.common import table
@@ -87,3 +88,15 @@ def test_query_over_given_conversations(spark, sf_dir):
 def test_empty_table(spark):
     empty = events(spark, [])
     assert chat.digests(chat.render(chat.messages(empty))).collect() == []
+
+
+def test_a_long_conversation_is_rendered_by_many_tasks(spark):
+    rows = [(1, t, 0, "assistant" if t % 2 else "user", f"turn {t} <s> " + "x" * (t % 50)) for t in range(4000)] + [(c, 0, 0, "user", "hi") for c in range(2, 60)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, place long, role string, text string")
+    parts = chat.render(turns).withColumn("task", F.shiftright("part", 32))
+    assert parts.filter("conv_id = 1").select("task").distinct().count() > 1
+    said = [p for r in parts.filter("conv_id = 1").orderBy("part").collect() for p in chat.parse(r["text"])]
+    assert said == [(r[3], r[4]) for r in rows[:4000]]
+    got = {r["conv_id"]: r for r in chat.digests(parts.drop("task")).collect()}
+    want = hashlib.sha256("".join(f"{r[3]}\n{r[4]}\n" for r in rows[:4000]).encode()).hexdigest()
+    assert got[1]["turns_sha256"] == want and got[1]["n_turns"] == 4000 and len(got) == 59
