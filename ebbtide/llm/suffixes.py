@@ -20,6 +20,8 @@ DIGIT = 64
 PIECE = 1 << 23
 #: Distinct runs of one first digit up to which a single task sorts their windows.
 GROUP = 4096
+#: Parts over which the runs of a very frequent digit are dealt.
+SALTS = 32
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,15 +126,43 @@ def _spans(rid: np.ndarray, start: np.ndarray) -> pa.Table:
     return pa.table({"_rid": rid[first], "start": start[first], "end": start[last] + WINDOW})
 
 
+def equal_windows(data: np.ndarray, pos: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Which windows, ``WINDOW`` bytes from ``pos`` in ``data``, are equal to another of the same ``cell``: radix passes by bytes.
+
+    Windows are ordered by eight bytes, the most significant first; a pass looks only at windows that are still equal to
+    another, and orders them only where they differ. What is left after the last byte is equal in all.
+    """
+    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
+    at = np.argsort(cell, kind="stable")
+    group = np.cumsum(np.concatenate(([0], cell[at][1:] != cell[at][:-1]))) if len(at) else at
+    for depth in range(0, WINDOW, 8):
+        many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
+        at, group = at[many], group[many]
+        if not len(at):
+            break
+        key = words[pos[at] + min(depth, WINDOW - 8)]
+        split = (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        if split.any():
+            order = np.lexsort((key, group))
+            at, group, key = at[order], group[order], key[order]
+            split = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+            group = np.cumsum(np.concatenate(([0], split)))
+    hit = np.zeros(len(pos), bool)
+    if len(at):
+        hit[at[np.bincount(group)[group] > 1]] = True
+    return hit
+
+
 def _sorted_group(group: pa.Table) -> pa.Table:
-    """Repeated windows of the runs of one first digit: equal distance, equal hash, two places at least."""
-    rid, start, dist, h = _windows(*[group.column(c).to_numpy() for c in ("_rid", "a", "far")], group.column("bytes").to_pylist())
-    order = np.lexsort((h, dist))
-    same = (dist[order][1:] == dist[order][:-1]) & (h[order][1:] == h[order][:-1])
-    hit = np.zeros(len(h), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    rid, start = rid[hit], start[hit]
+    """Repeated windows of the runs of one first digit: equal distance, equal bytes, two places at least."""
+    rid, a, far = (group.column(c).to_numpy() for c in ("_rid", "a", "far"))
+    cut = group.column("bytes").to_pylist()
+    size = np.array([len(c) for c in cut], np.int64)
+    n = size - WINDOW + 1
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    dist = np.repeat(far, n) - step
+    hit = equal_windows(np.frombuffer(b"".join(cut), np.uint8), np.repeat(np.cumsum(size) - size, n) + step, dist)
+    rid, start = np.repeat(rid, n)[hit], (np.repeat(a, n) - dist)[hit]
     order = np.lexsort((start, rid))
     return _spans(rid[order], start[order])
 
@@ -146,6 +176,16 @@ def _listed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(start), pa.array(_mix(h + dist.astype(np.uint64) * _ODD).view(np.int64)), pa.array(digit)], ["_rid", "start", "h", "digit"])
 
 
+def _met(listed: DataFrame, often: DataFrame) -> DataFrame:
+    """Runs whose digit occurs again, with whether other runs share it. Digits with very many runs are dealt over several tasks."""
+    total = often.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(often.filter(F.col("_n") > total / 1000).select("digit", F.lit(True).alias("_hot")))  # fewer than 1,000 by their definition
+    left = listed.join(hot, "digit", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_rid", "a"), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = often.join(hot, "digit", "left").withColumn("_salt", F.explode(copies)).select("digit", "mixed", "_salt")
+    return left.join(right, ["digit", "_salt"]).drop("_salt")
+
+
 def repeated_spans(base: DataFrame) -> DataFrame:
     """(_rid, text bytes) -> (_rid, start, end): byte spans made of windows that start anywhere else too.
 
@@ -155,16 +195,17 @@ def repeated_spans(base: DataFrame) -> DataFrame:
        share it are counted by digit; a digit that occurs once ends there.
     2. Runs equal in all bytes are repeats as a whole; only one of them stays open, and only if
        its digit has other runs too.
-    3. The windows of the open runs are sorted through all 400 bytes; equal groups are the repeats.
+    3. The windows of the open runs are sorted by their bytes, eight at a time through all 400, each pass only where windows are
+       still equal; equal groups are the repeats.
        Digits with more than ``GROUP`` open runs are not gathered: their windows are counted as rows.
 
-    Steps 1 and 2 are counts that combine before the shuffle. Joins have one stored row per
-    digit on one side, so adaptive skew handling can split a digit with very many runs on the other.
+    Steps 1 and 2 are counts that combine before the shuffle. A digit with more than a thousandth of all runs, of
+    which there are fewer than a thousand, is dealt over ``SALTS`` parts before it is joined.
     """
     listed = stage(base.mapInArrow(_index, "_rid long, a long, near long, far long, digit long, run long"), "runs")
     often = listed.groupBy("digit").agg(F.count(F.lit(1)).alias("_n"), F.min("run").alias("_lo"), F.max("run").alias("_hi")).filter("_n > 1")
-    often = stage(often.select("digit", (F.col("_lo") != F.col("_hi")).alias("mixed")), "digits")
-    met = stage(listed.join(often, "digit"), "met")
+    often = stage(often.select("digit", (F.col("_lo") != F.col("_hi")).alias("mixed"), "_n"), "digits")
+    met = stage(_met(listed, often), "met")
     whole = met.filter("not mixed")
     mixed = met.filter("mixed")
     same = stage(mixed.groupBy("digit", "run").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_rid", "a", "near", "far")).alias("r")), "same")

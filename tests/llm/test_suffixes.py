@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 
+import numpy as np
+
 import pytest
 
 from ebbtide.llm import suffixes
@@ -55,3 +57,18 @@ def test_pieces_of_long_texts_meet(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert suffixes.without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_radix_passes_by_bytes_equal_a_plain_comparison():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 3, 1200).astype(np.uint8)
+    data = np.concatenate([base, base[100:700], rng.integers(0, 3, 500).astype(np.uint8), base[300:900], [base[899] + 1]]).astype(np.uint8)
+    data[1500] ^= 1
+    pos = rng.choice(len(data) - suffixes.WINDOW, 900, replace=False)
+    pos = np.concatenate([pos, pos[:100] + 0])
+    cell = rng.integers(0, 2, len(pos))
+    got = suffixes.equal_windows(data, pos, cell)
+    texts = [(int(c), data[p : p + suffixes.WINDOW].tobytes()) for p, c in zip(pos, cell, strict=True)]
+    want = [texts.count(t) > 1 for t in texts]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    assert suffixes.equal_windows(data, np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
