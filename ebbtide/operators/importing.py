@@ -142,19 +142,55 @@ def import_summary(df: DataFrame, columns: tuple[str, ...], id_col: str, ts_col:
     return one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def _first_two(rows: DataFrame, key: str, row: str, one: str, two: str) -> DataFrame:
+    """Rows with the least and second least ``row`` of their key as columns; partial minima, so no key's rows meet in one task."""
+    known = rows.filter(F.col(key).isNotNull())
+    first = known.groupBy(key).agg(F.min(row).alias(one))
+    second = known.join(first, key).filter(F.col(row) > F.col(one)).groupBy(key).agg(F.min(row).alias(two))
+    return rows.join(first.join(second, key, "left"), key, "left")
+
+
+def _chained(undecided: DataFrame, row: str) -> DataFrame:
+    """Rows of ``undecided`` that a reader keeps, as far as chains of single conflicts tell.
+
+    A row without an earlier rival for its id or phone is kept. A row with one such rival is kept if the rival is not, and that
+    rival's fate may hang on one rival again: such rows point at their rival, and pointers are doubled until they reach a row
+    that is kept or has several rivals. A chain of n conflicts is so decided by log2(n) joins. Rows behind one
+    with several rivals wait.
+    """
+    both = _first_two(_first_two(undecided, "_id", row, "_i1", "_i2"), "_hash", row, "_h1", "_h2")
+    r = F.col(row)
+    by_id, by_phone = (F.when(F.col(one).isNull() | (r == F.col(one)), F.lit(0)).when(r == F.col(two), F.lit(1)).otherwise(2) for one, two in (("_i1", "_i2"), ("_h1", "_h2")))
+    same = (by_id == 1) & (by_phone == 1) & (F.col("_i1") == F.col("_h1"))
+    rivals = F.when(same, F.lit(1)).otherwise(by_id + by_phone)
+    ahead = F.when(rivals == 1, F.when(by_id == 1, F.col("_i1")).otherwise(F.col("_h1")))
+    state = cut_lineage(both.select(row, "_id", "_hash", F.when(rivals == 0, F.lit(True)).alias("_kept"), ahead.alias("_ahead"), F.lit(1).alias("_steps")))
+    while not state.filter(F.col("_kept").isNull() & F.col("_ahead").isNotNull()).isEmpty():
+        told = state.select(F.col(row).alias("_ahead"), F.col("_kept").alias("_k"), F.col("_ahead").alias("_far"), F.col("_steps").alias("_s"))
+        near = state.join(told, "_ahead", "left")
+        settled = F.when(F.col("_kept").isNull() & F.col("_k").isNotNull(), F.when(F.col("_steps") % 2 == 0, F.col("_k")).otherwise(~F.col("_k"))).otherwise(F.col("_kept"))
+        # a pointer that is settled, or has come to a row with several rivals, ends
+        on = F.when(F.col("_kept").isNull() & F.col("_k").isNull(), F.col("_far"))
+        state = cut_lineage(near.select(row, "_id", "_hash", settled.alias("_kept"), on.alias("_ahead"), (F.col("_steps") + F.coalesce("_s", F.lit(0))).alias("_steps")))
+    return state.filter("_kept").select(row, "_id", "_hash")
+
+
 def _greedy_first(rows: DataFrame, row: str) -> DataFrame:
     """Rows a reader going top to bottom would keep when id and phone must both be new.
 
     A dropped row must not block a later one, so first rows of both their groups are accepted,
-    what conflicts with them is dropped, and the rest is looked at again until nothing is left.
-    The lowest undecided row is always accepted, so every pass makes progress; after the first
-    pass only chains of conflicts remain.
+    what conflicts with them is dropped, and the rest is looked at again until nothing is left. After the first pass only
+    chains of conflicts remain, which :func:`_chained` decides at once where each row has one rival; passes are as many as
+    rows with several undecided rivals follow each other.
     """
     undecided = cut_lineage(rows.select(row, "_id", "_hash"))
     accepted = None
     while True:
-        marked = mark_first(mark_first(undecided, ["_id"], row, "_f1"), ["_hash"], row, "_f2")
-        winners = cut_lineage(marked.filter(F.col("_f1") & (F.col("_hash").isNull() | F.col("_f2"))).select(row, "_id", "_hash"))
+        if accepted is None:
+            marked = mark_first(mark_first(undecided, ["_id"], row, "_f1"), ["_hash"], row, "_f2")
+            winners = cut_lineage(marked.filter(F.col("_f1") & (F.col("_hash").isNull() | F.col("_f2"))).select(row, "_id", "_hash"))
+        else:
+            winners = _chained(undecided, row)
         accepted = winners if accepted is None else accepted.unionByName(winners)
         undecided = cut_lineage(
             undecided.join(winners.select("_id"), "_id", "left_anti")

@@ -1,6 +1,7 @@
 """Behaviours that are easy to get wrong, on literal rows. Marks such as Q2 name them."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -388,3 +389,32 @@ def test_advice_for_every_leading_feature(spark):
     got = [r[0] for r in df.orderBy("i").select(worklists.recommendation(F.col("f"), F.col("l"))).collect()]
     for r, (_, _, kind, text_part, note_part) in zip(got, ADVICE):
         assert r["action_type"] == kind and text_part in r["label"] and note_part in r["notes"]
+
+
+def _reader(rows):
+    """Rows kept by reading top to bottom."""
+    ids, phones, kept = set(), set(), []
+    for r, i, h in sorted(rows):
+        if i not in ids and (h is None or h not in phones):
+            ids.add(i)
+            if h is not None:
+                phones.add(h)
+            kept.append(r)
+    return kept
+
+
+def test_chains_of_conflicts_take_few_passes(spark, monkeypatch):
+    from ebbtide.operators import importing
+
+    schema = "row long, _id string, _hash string"
+    chain = [(k, f"i{(k + 1) // 2}", f"h{k // 2}") for k in range(300)]  # each row conflicts with the one before and the one after
+    passes = []
+    plain = importing._chained
+    monkeypatch.setattr(importing, "_chained", lambda u, row: passes.append(1) or plain(u, row))
+    got = importing._greedy_first(spark.createDataFrame(chain, schema), "row")
+    assert sorted(r["row"] for r in got.collect()) == _reader(chain) and len(passes) <= 2
+    rng = random.Random(4)
+    for n, ids, phones in ((200, 60, 60), (150, 8, 100), (120, 40, 5)):
+        rows = [(k, f"i{rng.randrange(ids)}", rng.choice([None, f"h{rng.randrange(phones)}"])) for k in range(n)]
+        got = importing._greedy_first(spark.createDataFrame(rows, schema), "row")
+        assert sorted(r["row"] for r in got.collect()) == _reader(rows)
