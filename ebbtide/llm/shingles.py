@@ -122,14 +122,48 @@ def _by_fingerprint(rows: DataFrame) -> DataFrame:
     return rows.filter("n > 0").join(named, "fp").filter("_rid <> v").select(F.col("_rid").alias("u"), "v")
 
 
+def _rare_first(open_: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(u, v): pairs of the given rows (node, n, root) of different groups that may be similar, by the shingles they share.
+
+    The shingles of a set are ordered by how many of these rows have them. Two similar sets share one of the first: among the first
+    n - 2s / (1 + s) n of the smaller and the first n - s n of the larger set, and then enough may follow it. Shingles of one row
+    only come first and pair with nothing, so what many rows have in common, such as a passage, is reached only by sets that
+    hold little else.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column("_rid"), pa.array([shingles(t.as_py(), k).view(np.int64) for t in part.column("text")], pa.list_(pa.int64()))], ["node", "s"])
+        release()
+
+    used = stage(open_.select(F.col("node").alias("_rid")), "open-rows")
+    whole = stage(docs.join(small_side(used), "_rid", "left_semi").select("_rid", "text").mapInArrow(sets, "node long, s array<long>"), "open-sets")
+    each = whole.select("node", F.explode("s").alias("g"))
+    shared = stage(each.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared-shingles")
+    listed = each.join(shared, "g").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("a"))  # shingles of one text
+    placed = listed.join(open_, "node").select("node", "n", "root", (F.col("n") - F.size("a")).alias("_own"), F.posexplode("a").alias("p", "x"))
+    placed = placed.select("node", "n", "root", F.col("x.g").alias("g"), (F.col("_own") + F.col("p")).alias("pos"))
+    placed = stage(placed.filter(F.col("pos") <= F.col("n") * (1 - similarity) + 1e-6), "first-shingles")
+    both = 2 * similarity / (1 + similarity)
+    x, y = (placed.select("g", *[F.col(c).alias(f"{c}{s}") for c in ("node", "n", "root", "pos")]) for s in "12")
+    need = both / 2 * (F.col("n1") + F.col("n2")) - 1e-6
+    may = (
+        (F.col("n1") <= F.col("n2")) & (F.col("root1") != F.col("root2")) & (F.col("n1") >= similarity * F.col("n2") - 1e-6)
+        & (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
+    )
+    return x.filter(F.col("pos1") <= F.col("n1") * (1 - both) + 1e-6).join(y, "g").filter(may).select(F.col("node1").alias("u"), F.col("node2").alias("v"))
+
+
 def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: _rid, doc_id, component_id (least doc_id reachable), _root (names the group).
 
     Rows are linked if the Jaccard similarity of their sets of k-word shingles is at least ``similarity``; groups are chains of links.
     Candidates are rows whose SimHash fingerprints the trie self-join links, and rows that share a band of their sketches,
     which sets of similarity 0.8 do but for 3 in 1,000: three bits alone would find few of them. The rows of a band's
-    bucket are first compared with its least one, a row per member; only in buckets that then still hold several
-    groups are members of different groups compared. Every link is confirmed by the whole sets. Equal sets, so repeated rows too,
+    bucket are first compared with its least one, a row per member; rows of buckets that then still hold several
+    groups are compared by their rarest shingles (:func:`_rare_first`), which loses no pair of them. Every link is confirmed by the whole sets. Equal sets, so repeated rows too,
     are one node; texts without words are equal. Rows without id never name a group unless all its rows lack an id.
     """
     docs = row_id(fixed(docs).select("doc_id", "text"))
@@ -160,10 +194,8 @@ def near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     groups = stage(components(links), "groups")
     told_root = met.select("h", "node", "n").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     apart = told_root.groupBy("h").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("h")
-    open_ = stage(told_root.join(apart, "h", "left_semi"), "open")
-    a, b = (open_.select("h", *[F.col(c).alias(f"{c}{s}") for c in ("node", "n", "root")]) for s in "12")
-    other = (F.col("node1") < F.col("node2")) & (F.col("root1") != F.col("root2")) & may(F.col("n1"), F.col("n2"))
-    rest = _confirmed(a.join(b, "h").filter(other).select(F.col("node1").alias("u"), F.col("node2").alias("v")), marks, docs, k, similarity)
+    open_ = stage(told_root.join(apart, "h", "left_semi").select("node", "n", "root").distinct(), "open")
+    rest = _confirmed(_rare_first(open_, docs, k, similarity), marks, docs, k, similarity)
     groups = stage(components(links.union(rest)), "groups")
     named = nodes.join(groups, "node", "left").select("key", "low", F.coalesce("root", "node").alias("_root"))
     lows = named.groupBy("_root").agg(F.min("low").alias("component_id"))
