@@ -158,3 +158,37 @@ def test_signals_of_messages_linked_later(spark, tmp_path):
     want = jobs.stream_message_features(spark.createDataFrame(said, schema), spark.createDataFrame(known, link_schema))
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 9
+
+
+def test_ablation_measures_the_loss_of_the_driver(frame, model):
+    """The full model is taken as it is; without the feature that the label follows the area falls."""
+    out = training.ablation_auc(frame, frame, ("recency_days", "recency_ratio"), trees=5, full=model).first()
+    y = {r["customer_id"]: (r["churned"], r["score"]) for r in training.model_scores(model, frame).collect()}
+    ones, zeros = [s for c, s in y.values() if c == 1], [s for c, s in y.values() if c == 0]
+    area = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert out["full"] == pytest.approx(area, abs=1e-4) and out["reduced"] < out["full"]
+    assert out["drop_percent"] == pytest.approx((out["full"] - out["reduced"]) * 100 / out["full"])
+
+
+def test_the_encoder_counts_signed_words(spark):
+    rows = spark.createDataFrame([(1, "late again late"), (2, "LATE late  again"), (3, "other"), (4, "  "), (5, None)], "msg_id long, text string")
+    got = {r["msg_id"]: r["embedding"] for r in messages.embed_messages(rows).collect()}
+    assert got[1] == got[2] and got[4] is None and got[5] is None
+    late, again = (messages.hashing_encoder()([w])[0] for w in ("late", "again"))
+    both = 2 * late + again
+    assert np.allclose(got[1], both / np.linalg.norm(both), atol=1e-6) and np.isclose(np.linalg.norm(got[3]), 1.0)
+
+
+def test_topic_centroids_are_the_means_of_their_members(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in np.eye(4)[i % 4] * 3 + rng.normal(scale=0.2, size=4)]) for i in range(120)] + [(500, [-1.0, -1.0, -1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    centroids = {r["topic_idx"]: r for r in semantics.train_topics(df, topics=5, min_size=5).collect()}
+    near = {}
+    for r in semantics.assign_topics(df.filter("vec_id < 500"), spark.createDataFrame(list(centroids.values())), -1.0).collect():
+        near.setdefault(r["topic_idx"], []).append(r["embedding"])
+    assert sorted(r["size"] for r in centroids.values()) == [30, 30, 30, 30]
+    for k, members in near.items():
+        unit = np.array([m / np.linalg.norm(m) for m in np.array(members)])
+        mean, centre = unit.mean(0) / np.linalg.norm(unit.mean(0)), np.array(centroids[k]["centroid"])
+        assert np.allclose(mean, centre / np.linalg.norm(centre), atol=1e-3)
