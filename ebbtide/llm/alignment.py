@@ -35,10 +35,10 @@ class ByteLevel:
     """First vocabulary: words by the public pattern, ids by the library, token bytes by the byte letters."""
 
     def __init__(self, definition: str):
-        if not pieces.splits_publicly(definition):
+        made = json.loads(definition)
+        if not pieces.splits_publicly(made):
             raise ValueError("the first vocabulary must cut texts by the public byte-level pattern")
-        letters = pieces.byte_letters()
-        names = json.loads(definition)["model"]["vocab"]
+        letters, names = pieces.byte_letters(), made["model"]["vocab"]
         table = [b""] * (max(names.values()) + 1)
         for name, number in names.items():
             table[number] = bytes(letters[c] for c in name)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -31,13 +30,13 @@ def _classes() -> np.ndarray:
     """
     import tiktoken
 
-    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     out = np.full(0x110000, _OTHER, np.uint8)
     for kind, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_BLANK, r"\s")):
         single = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        for at in range(0, len(codes), 1 << 14):
-            found = bytes(single.encode_ordinary("".join(map(chr, codes[at : at + (1 << 14)])))).decode()
-            out[[ord(c) for c in found]] = kind
+        for at in range(0, 0x110000, 1 << 11):
+            if not 0xD800 <= at < 0xE000:  # surrogates are no characters
+                found = bytes(single.encode_ordinary("".join(map(chr, range(at, at + (1 << 11)))))).decode()
+                out[[ord(c) for c in found]] = kind
     return out
 
 
@@ -291,9 +290,8 @@ def library_words(definition: str) -> Learn:
     return learn
 
 
-def splits_publicly(definition: str) -> bool:
-    """True if the vocabulary cuts texts by the public pattern and changes nothing before it."""
-    made = json.loads(definition)
+def splits_publicly(made: dict) -> bool:
+    """True if a vocabulary's definition cuts texts by the public pattern and changes nothing before it."""
     how = made.get("pre_tokenizer") or {}
     return how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space") and made.get("normalizer") is None
 

@@ -50,7 +50,8 @@ class Encoder:
         self.size = max([*made["model"]["vocab"].values(), *(t["id"] for t in added)]) + 1
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.special = [t["content"] for t in added]
-        self.public = pieces.splits_publicly(definition)
+        self.public = pieces.splits_publicly(made)
+        del made
         self.words = pieces.WordIds(pieces.library_words(definition), keep=keep) if self.public else None
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -101,6 +102,9 @@ def encoded(docs: DataFrame, definition: str, keep: int = KEEP, chars: int = BLO
             ids = [x + end for x in enc.encode(texts)]
             n = pa.array([len(x) // enc.kind.itemsize for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), docs_, pa.array(ids, pa.binary()), n], ["_rid", "doc_id", "ids", "n"])
+        if keep < KEEP:  # little is to be remembered: nothing between tasks
+            del enc
+            _encoder.cache_clear()
         release()
 
     return row_id(docs.select("doc_id", "text")).select("_rid", "doc_id", "text").mapInArrow(run, f"_rid long, doc_id {dict(docs.dtypes)['doc_id']}, ids binary, n long")
