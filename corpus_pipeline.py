@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the binary format, read back: one row per document with its place, length and checksum."""
-    return tokens.stored_tokens(docs, keep=150_000, chars=1 << 21)  # executors are full of earlier stages by now
+    return tokens.stored_tokens(docs, keep=100_000, chars=1 << 20)  # executors are full of earlier stages by now
 
 
 STAGES = [
