@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -81,25 +84,48 @@ def cumulative(df: DataFrame, order: str, values: list[str], group: str | None =
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
     """Linear-interpolated quantiles per group as rows (group, prob, quantile).
 
-    Equal values are counted first (partial aggregation); the two order statistics next to each
-    quantile position are then read off the running counts.
+    Equal values are counted first (partial aggregation). The counted values are range-partitioned by (group, value) once and stored; the
+    counts per partition and group, a few numbers each, say in which partition the order statistics next to each quantile lie, and
+    one pass over the stored partitions reads them off. ``group`` has few values, such as feature names.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = cumulative(counts, value, ["n"], group)
-    positions = ranked.withColumn("prob", F.explode(F.array(*[F.lit(p) for p in probs]))).withColumn(
-        "pos", (F.col("all_n") - 1) * F.col("prob")
-    )
-    # zero-based order statistic k lies in this row when cum - n <= k < cum
-    def covers(k: Column) -> Column:
-        return (F.col("cum_n") - F.col("n") <= k) & (k < F.col("cum_n"))
-
-    low, high = F.floor("pos"), F.ceil("pos")
-    picked = positions.groupBy(group, "prob").agg(
-        F.max(F.when(covers(low), F.col(value))).alias("lo"),
-        F.max(F.when(covers(high), F.col(value))).alias("hi"),
-        F.max(F.col("pos") - low).alias("frac"),
-    )
-    return picked.select(group, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("quantile"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = cut_lineage(counts.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"), "_n").repartitionByRange("_g", "_v").sortWithinPartitions("_g", "_v")).withColumn("_pid", F.spark_partition_id())
+    sizes = placed.groupBy("_g", "_pid").agg(F.sum("_n").alias("n")).collect()  # one number per partition and group at most
+    before, totals = {}, {}
+    for r in sorted(sizes, key=lambda r: r["_pid"]):
+        before[r["_g"], r["_pid"]] = totals.get(r["_g"], 0)
+        totals[r["_g"]] = totals.get(r["_g"], 0) + r["n"]
+    wanted = {g: sorted({k for p in probs for k in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}) for g, n in totals.items()}
+    told = df.sparkSession.sparkContext.broadcast((before, wanted))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, wanted = told.value
+        group, passed = None, 0
+        for b in batches:
+            listed = b.column("_g").to_pylist()
+            cuts = [0, *[k for k in range(1, len(listed)) if listed[k] != listed[k - 1]], len(listed)]
+            out = []
+            for p, q in zip(cuts, cuts[1:]):
+                if p == q:
+                    continue
+                if listed[p] != group:
+                    group, passed = listed[p], before[listed[p], b.column("_pid")[p].as_py()]
+                upto = passed + np.cumsum(b.column("_n").to_numpy()[p:q])
+                for k in wanted[group]:
+                    if passed <= k < upto[-1]:
+                        out.append((group, k, b.column("_v")[p + int(np.searchsorted(upto, k, "right"))].as_py()))
+                passed = int(upto[-1])
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("_g").type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["g", "k", "v"])
+
+    kind = df.schema[group].dataType.simpleString()
+    at = {(r["g"], r["k"]): r["v"] for r in placed.mapInArrow(found, f"g {kind}, k long, v double").collect()}  # two numbers per group and quantile
+    rows = []
+    for g, n in totals.items():
+        for p in probs:
+            low, high = at[g, math.floor((n - 1) * p)], at[g, math.ceil((n - 1) * p)]
+            rows.append((g, float(p), low + (high - low) * ((n - 1) * p - math.floor((n - 1) * p))))
+    return df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, prob double, quantile double")
 
 
 def global_position(df: DataFrame, order: list[str], out: str = "position") -> DataFrame:
