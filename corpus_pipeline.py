@@ -15,28 +15,42 @@ from ebbtide.session import shared_folder
 ORACLE_SQL = None
 
 
+#: Rows that are handed to Python at a time: texts may be long, and what a batch takes is held by Spark and by the worker.
+BATCH_ROWS = "1000"
+
+
+def _lean(spark: SparkSession) -> None:
+    """Small batches for the Python steps of all stages, so that executors have room for every stage."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; those without letters or unlike all languages go."""
+    _lean(spark)
     return language.recognised(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, candidates by SimHash fingerprints and min-hash bands, a Jaccard similarity of 0.8 or more."""
+    _lean(spark)
     return shingles.deduplicated(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with a benchmark item."""
+    _lean(spark)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    _lean(spark)
     return mixing.mixed_documents(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in the binary format, read back: one row per document with its place, length and checksum."""
+    _lean(spark)
     return tokens.stored_tokens(docs, keep=100_000, chars=1 << 20)  # executors are full of earlier stages by now
 
 
