@@ -34,6 +34,20 @@ def test_model_finds_the_driver(model):
     assert training.feature_importance(model)[0][0] == "recency_days"
 
 
+def test_a_fit_has_a_part_for_each_core(spark, frame, monkeypatch):
+    """Whatever the number of shuffle partitions: a fit runs hundreds of stages, with a task for each part."""
+    assert [training.fit_parts(n, 12) for n in (0, 600_000, 6_000_000, 6_000_001, 36_000_000)] == [12, 12, 12, 24, 72]
+    seen, cut = [], training.cut_lineage
+    monkeypatch.setattr(training, "cut_lineage", lambda df: seen.append(cut(df)) or seen[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        training.train_risk_model(frame, trees=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[-1].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_shapley_values_add_up(frame, model):
     some = training.neutralize(frame).limit(20).cache()
     explained = explain.shapley_contributions(some, model, "customer_id")
