@@ -236,3 +236,18 @@ def test_export_split_inside_a_message(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
     assert got == [("Admin", "second\ntail"), ("Ann", "\n".join(["first", *lines[1:401]]))]
+
+
+def test_training_rows_are_dealt_by_their_number(spark, sf_dir, monkeypatch):
+    """Copies of day rows for many dates, and their labels, are not left in the few parts of the day rows."""
+    t = Tables(spark, sf_dir)
+    dates = training.date_list(training.observation_dates(t.transactions(), training.training_cutoff(t.transactions())))
+    made = lambda: training.training_dataset(t.customers(), t.transactions(), t.trusted(), t.semantics(), dates)
+    want, first = made(), t.customers().filter("is_active AND NOT is_provisional").count() * len(dates)
+    monkeypatch.setattr(features, "PART_ROWS", first // 40)
+    parts = made()
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert sum("REPARTITION_BY_NUM" in line for line in plan.split("\n")) >= 4
+    sizes = [r["count"] for r in parts.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < sum(sizes) / 8
+    assert parts.exceptAll(want).count() == want.exceptAll(parts).count() == 0
