@@ -110,118 +110,136 @@ def late_rows(spark: SparkSession, path: str) -> DataFrame:
     return (found if found is not None else spark.createDataFrame([], LATE)).dropDuplicates(["run_id", "batch_id", "place"])
 
 
-#: Parts into which the waiting messages of one customer are dealt.
-PARTS = 16
-HOUR_MS, HOUR_US = 3_600_000, 3_600_000_000
+#: Groups of customers that share a state, and parts into which the waiting messages of a group are dealt.
+GROUPS, PARTS = 16, 16
+HOUR_MS, DAY_US = 3_600_000, 86_400_000_000
+_WHO = ["nobody", "customer"]
 
 
 class _Hour(StatefulProcessor):
-    """Messages of one customer and hour, kept until the watermark has passed the hour; then whatever order they came in is gone.
+    """Messages of a group of customers and an hour, kept until the watermark has passed the hour; then whatever order they came in is gone.
 
-    Gives out replies found inside the hour, messages still waiting, and the hour's first outbound message for
+    Gives out replies found inside the hour, messages still waiting, and each customer's first outbound message of the hour for
     the waiting ones of earlier hours, once for every part.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.said = handle.getListState("said", "at long, msg_id long, outbound boolean")
+        self.said = handle.getListState("said", "nobody boolean, customer long, at long, msg_id long, outbound boolean")
 
     def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows))
         if not self.said.exists():
             self.handle.registerTimer(int(key[1].timestamp() * 1000) + HOUR_MS)
-        for frame in rows:
-            self.said.appendList(list(zip(frame["at"].tolist(), frame["msg_id"].tolist(), (frame["direction"] == "outbound").tolist(), strict=True)))
-        yield _frame([], [], [], [], [])
+        outbound = (frame["direction"] == "outbound").tolist()
+        self.said.appendList(list(zip(*[frame[c].tolist() for c in (*_WHO, "at", "msg_id")], outbound, strict=True)))
+        yield _told(np.zeros((0, 4), np.int64), [], [], key[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        said = np.array([(r[0], r[1], r[2]) for r in self.said.get()], np.int64).reshape(-1, 3)
-        said = said[np.lexsort((said[:, 1], said[:, 0]))]
+        said = np.array([tuple(r) for r in self.said.get()], np.int64).reshape(-1, 5)
+        said = said[np.lexsort((said[:, 3], said[:, 2], said[:, 1], said[:, 0]))]
         self.said.clear()
-        out = np.flatnonzero(said[:, 2])
-        after = np.searchsorted(out, np.arange(len(said)))  # the first outbound message at or after each
-        inbound = said[:, 2] == 0
-        near, open_ = np.flatnonzero(inbound & (after < len(out))), np.flatnonzero(inbound & (after >= len(out)))
-        seconds = (said[out[after[near]], 0] - said[near, 0]) // 1_000_000
-        first = [said[out[0], 0]] * PARTS if len(out) else []
-        yield _frame(
-            [key[0]] * (len(near) + len(open_) + len(first)), [*(said[near, 1] % PARTS), *(said[open_, 1] % PARTS), *(range(PARTS) if first else [])],
-            [*said[near, 1], *said[open_, 1], *[None] * len(first)], [*said[near, 0], *said[open_, 0], *first], [*seconds, *[None] * (len(open_) + len(first))], expiredTimerInfo.getExpiryTimeInMs(),
-        )
+        who, out = np.cumsum(np.any(np.diff(said[:, :2], axis=0, prepend=said[:1, :2]), axis=1)), np.flatnonzero(said[:, 4])
+        after = np.append(out, -1)[np.searchsorted(out, np.arange(len(said)))]  # the first outbound message at or after each
+        answered = (after >= 0) & (who[after] == who)
+        near, open_ = (np.flatnonzero((said[:, 4] == 0) & x) for x in (answered, ~answered))
+        first = out[np.unique(who[out], return_index=True)[1]]
+        parts = [said[near, 3] % PARTS, said[open_, 3] % PARTS, np.tile(np.arange(PARTS), len(first))]
+        rows = np.concatenate([said[near, :4], said[open_, :4], np.repeat(said[first, :4], PARTS, axis=0)])
+        kind = np.repeat(["answered", "waiting", "reply"], [len(x) for x in parts])
+        seconds = (said[after[near], 2] - said[near, 2]) // 1_000_000
+        out = _told(rows, np.concatenate(parts), kind, key[0], expiredTimerInfo.getExpiryTimeInMs())
+        out["response_time_secs"] = pd.array([*seconds.tolist(), *[None] * (len(rows) - len(near))], "Int64")
+        yield out
 
     def close(self) -> None:
         pass
 
 
 class _Waiting(StatefulProcessor):
-    """Waiting messages of one customer and part; hours come in order, for they are given out as the watermark passes them."""
+    """Waiting messages of a group of customers and part; hours come in order, for they are given out as the watermark passes them."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, msg_id long")
+        self.waiting = handle.getListState("waiting", "nobody boolean, customer long, at long, msg_id long")
 
     def handleInputRows(self, key, rows, timerValues):
         told = pd.concat(list(rows))
-        done = told[told["response_time_secs"].notna()]
-        yield pd.DataFrame({"customer_id": key[0], "msg_id": done["msg_id"].astype("int64"), "response_time_secs": done["response_time_secs"].astype("int64")})
-        rest = told[told["response_time_secs"].isna()]
-        if not len(rest):
+        yield _replies(told[told["kind"] == "answered"])
+        told = told[told["kind"] != "answered"]
+        if not len(told):
             return
-        waiting, answered = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else [], []
-        for _, hour in rest.groupby("closed_at", sort=True):
-            reply = hour[hour["msg_id"].isna()]["at"]
-            if len(reply):
-                answered += [(m, (int(reply.iloc[0]) - at) // 1_000_000) for at, m in waiting]
-                waiting = []
-            opened = hour[hour["msg_id"].notna()]
-            waiting += list(zip(opened["at"].astype("int64").tolist(), opened["msg_id"].astype("int64").tolist(), strict=True))
-        self._keep(waiting)
-        yield pd.DataFrame({"customer_id": key[0], "msg_id": [a[0] for a in answered], "response_time_secs": [a[1] for a in answered]})
-
-    def _keep(self, waiting: list) -> None:
-        if waiting:
-            self.waiting.put(waiting)
-            self.handle.registerTimer(max(at for at, _ in waiting) // 1000 + self.keep_ms)
+        rows = [*_WHO, "at", "msg_id", "closed"]
+        told = told.assign(closed=told["closed_at"].astype("int64"))
+        opened, reply = told[told["kind"] == "waiting"][rows], told[told["kind"] == "reply"]
+        if self.waiting.exists():
+            before = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=rows[:-1])
+            opened = pd.concat([before.assign(closed=np.iinfo(np.int64).min), opened])
+        # each is answered by the first outbound message of its customer in a later hour
+        reply = reply[[*_WHO, "closed", "at"]].rename(columns={"at": "reply_at"}).sort_values("closed").astype({"nobody": bool, "customer": "int64", "reply_at": "int64"})
+        opened = opened.astype({"nobody": bool, "customer": "int64", "at": "int64", "msg_id": "int64", "closed": "int64"}).sort_values("closed")
+        reply["place"] = np.arange(len(reply))  # what is not met makes times floats, which lose microseconds
+        met = pd.merge_asof(opened, reply[[*_WHO, "closed", "place"]], on="closed", by=_WHO, direction="forward", allow_exact_matches=False)
+        found = met["place"].notna()
+        answered = met[found]
+        seconds = (reply["reply_at"].to_numpy()[answered["place"].to_numpy(np.int64)] - answered["at"].to_numpy()) // 1_000_000
+        left = met[~found]
+        if len(left):
+            self.waiting.put(list(zip(*[left[c].tolist() for c in rows[:-1]], strict=True)))
+            for day in np.unique(-(-left["at"].to_numpy() // DAY_US)).tolist():
+                self.handle.registerTimer(day * DAY_US // 1000 + self.keep_ms)
         else:
             self.waiting.clear()
+        yield _replies(answered.assign(response_time_secs=seconds))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         limit = (expiredTimerInfo.getExpiryTimeInMs() - self.keep_ms) * 1000
         if self.waiting.exists():
-            left = [(r[0], r[1]) for r in self.waiting.get() if r[0] > limit + 999]
+            left = [tuple(r) for r in self.waiting.get() if r[2] > limit + 999]
             self.waiting.put(left) if left else self.waiting.clear()
-        yield pd.DataFrame({"customer_id": [], "msg_id": [], "response_time_secs": []}).astype("int64")
+        yield _replies(pd.DataFrame({c: [] for c in (*_WHO, "msg_id", "response_time_secs")}))
 
     def close(self) -> None:
         pass
 
 
-def _frame(customer: list, part: list, msg_id: list, at: list, seconds: list, closed_ms: int = 0) -> pd.DataFrame:
+def _told(rows: np.ndarray, part, kind, group: int, closed_ms: int = 0) -> pd.DataFrame:
+    """Rows (nobody, customer, at, msg_id) as the hours give them out."""
     return pd.DataFrame(
         {
-            "customer_id": pd.array(customer, "Int64"), "part": pd.array(part, "Int64"), "msg_id": pd.array(msg_id, "Int64"), "at": pd.array(at, "Int64"), "response_time_secs": pd.array(seconds, "Int64"),
-            "closed_at": pd.Series([pd.Timestamp(closed_ms, unit="ms")] * len(customer), dtype="datetime64[ns]"),
+            "grp": np.full(len(rows), group, np.int32), "part": np.array(part, np.int64), "kind": np.array(kind, object), "nobody": rows[:, 0].astype(bool), "customer": rows[:, 1], "msg_id": rows[:, 3], "at": rows[:, 2],
+            "response_time_secs": pd.array([None] * len(rows), "Int64"), "closed_at": pd.Series([pd.Timestamp(closed_ms, unit="ms")] * len(rows), dtype="datetime64[ns]"),
         }
     )
 
 
+def _replies(rows: pd.DataFrame) -> pd.DataFrame:
+    customer = rows["customer"].astype("int64").astype("Int64").mask(rows["nobody"].astype(bool))
+    return pd.DataFrame({"customer_id": customer, "msg_id": rows["msg_id"].astype("int64"), "response_time_secs": rows["response_time_secs"].astype("int64")})
+
+
 def stream_response_times(messages: DataFrame, delay: str = "1 day", keep_days: int = 30) -> DataFrame:
     """Reply delay of answered inbound messages, equal to C5 in whatever order the messages come within ``delay``.
 
-    State is kept per (customer, hour) until the watermark passes the hour, so a late reply or an earlier message that comes after
-    a later one finds its place; what lies behind the watermark is late. What an hour leaves open waits in PARTS
-    parts per customer for the first outbound message of a later hour, of which every part gets a row. So no
-    customer's messages are in one group, and what waits is dealt over tasks. Messages still waiting ``keep_days``
-    after the watermark are given up. Replies are given out when the watermark passes their hour.
+    State is kept per group of customers and hour until the watermark passes the hour, so a late reply or an earlier message that comes after
+    a later one finds its place; what lies behind the watermark is late. There are GROUPS groups, so that the number of states, each of which
+    costs some calls, is set by the hours and not by the messages. What an hour leaves open waits in PARTS
+    parts per group for the first outbound message of its customer in a later hour, of which every part gets a row. So no
+    customer's messages are in one state, and what waits is dealt over tasks. Messages still waiting ``keep_days``
+    after the watermark, up to the end of their day, are given up. Replies are given out when the watermark passes their hour.
     The states need the RocksDB store, which this sets for the session.
     """
     spark = messages.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = with_event_time(messages.select("customer_id", "msg_id", "direction", "timestamp"), delay)
-    rows = timed.withColumns({"hour": F.date_trunc("hour", "timestamp"), "at": F.unix_micros("timestamp")})
-    hours = rows.groupBy("customer_id", "hour").transformWithStateInPandas(
-        _Hour(), "customer_id long, part long, msg_id long, at long, response_time_secs long, closed_at timestamp", "Append", "EventTime", eventTimeColumnName="closed_at"
+    rows = timed.select(
+        F.pmod(F.xxhash64("customer_id"), F.lit(GROUPS)).cast("int").alias("grp"), F.date_trunc("hour", "timestamp").alias("hour"), F.isnull("customer_id").alias("nobody"),
+        F.coalesce(F.col("customer_id").cast("long"), F.lit(0).cast("long")).alias("customer"), F.unix_micros("timestamp").alias("at"), "msg_id", "direction", "timestamp",
+    )
+    hours = rows.groupBy("grp", "hour").transformWithStateInPandas(
+        _Hour(), "grp int, part long, kind string, nobody boolean, customer long, msg_id long, at long, response_time_secs long, closed_at timestamp", "Append", "EventTime", eventTimeColumnName="closed_at"
     )
-    return hours.groupBy("customer_id", "part").transformWithStateInPandas(_Waiting(keep_days * 86_400_000), "customer_id long, msg_id long, response_time_secs long", "Append", "EventTime")
+    return hours.groupBy("grp", "part").transformWithStateInPandas(_Waiting(keep_days * 86_400_000), "customer_id long, msg_id long, response_time_secs long", "Append", "EventTime")

@@ -66,6 +66,17 @@ def test_what_waits_too_long_is_given_up(spark, tmp_path):
     assert replies(spark, tmp_path, [rows, far, [reply], BEAT], "1 hour") == [(1, 2, 3 * 86_400)]
 
 
+def test_many_customers_share_few_states(spark, tmp_path):
+    """The number of states is set by the hours: customers of an hour are in GROUPS groups, and each is answered by its own replies."""
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(150), rng.choice(["inbound", "outbound"]), AT + dt.timedelta(seconds=rng.randrange(4 * 3600), microseconds=rng.choice([0, 999_999]))) for i in range(600)]
+    stream = feed(spark, str(tmp_path / "plan"), [rows], TALK)
+    plan = jobs.stream_response_times(stream, "1 hour")._jdf.queryExecution().analyzed().toString()
+    keys = [line.split("transformWithStateUDF(")[1].split(",")[:2] for line in plan.split("\n") if "transformWithStateUDF(" in line]
+    assert [[k.strip().split("#")[0] for k in pair] for pair in keys] == [["grp", "part"], ["grp", "hour"]]
+    assert replies(spark, tmp_path, [rows, BEAT]) == batch(spark, rows)
+
+
 def test_retried_messages_with_another_time_fall_once(spark, tmp_path):
     schema = "msg_id long, phone_number string, timestamp timestamp_ntz, text string"
     first = [(i, "08", AT + dt.timedelta(minutes=i), f"t{i}") for i in range(10)]
