@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.llm import suffixes
 
@@ -48,6 +49,24 @@ def test_equals_a_count_of_all_windows(spark, monkeypatch, group):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("often", [1, 3, 1000])
+def test_frequent_and_other_runs_give_the_same(spark, monkeypatch, often):
+    monkeypatch.setattr(suffixes, "OFTEN", often)  # 1: none is looked up in a broadcast
+    rows = corpus()
+    rows += [(500 + i, rows[20][1]) for i in range(60)]
+    got = suffixes.without_repeats(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA).repartition(5)).drop("kept").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_a_very_frequent_run_stays_where_it_is(spark):
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("id", "IF(id % 10 < 9, 7, id % 1000) AS digit", "IF(id % 10 < 9, 7, id % 8000) AS run")
+    counted = rows.groupBy("digit", "run").agg(F.count(F.lit(1)).alias("_n")).filter("digit < 800")
+    got = suffixes._repeated(rows, counted, ["digit", "run"]).withColumn("part", F.spark_partition_id()).cache()
+    want = [r.id for r in rows.filter("digit < 800").collect()]
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+    assert got.filter("digit = 7").groupBy("part").count().agg(F.max("count")).first()[0] == 36_000 / 8
+
+
 def test_pieces_of_long_texts_meet(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 1000)
     data = "".join(random.Random(1).choice("abcdefgh") for _ in range(5000)).encode()
