@@ -146,3 +146,42 @@ def test_what_few_pages_repeat_is_no_template(spark):
     got = pages.main_text(spark.createDataFrame([(i, "http://host.example/", m) for i, m in enumerate(made)], "page_id long, url string, html string")).collect()
     assert len(made) > 40 and sum("Only in May" in r["text"] for r in got) == 6
     assert not any("Welcome" in r["text"] or "Follow" in r["text"] for r in got)
+
+
+def _tree(rng, depth=3):
+    return (rng.choice("ab"), rng.choice(["", "x", "y", "z"]), [_tree(rng, depth - 1) for _ in range(rng.randrange(4) if depth else 0)])
+
+
+@pytest.mark.parametrize(("few", "cells"), [(0, 1 << 21), (64, 40), (10**9, 100)])
+def test_long_lists_are_aligned_like_short_ones(monkeypatch, few, cells):
+    rng = random.Random(6)
+    for _ in range(30):
+        a, b = (("div", "", [_tree(rng) for _ in range(rng.randrange(1, 25))]) for _ in range(2))
+        monkeypatch.setattr(pages, "PAIRS", 250_000)
+        size, pairs = pages.matching(a, b)
+        monkeypatch.setattr(pages, "PAIRS", 0)
+        monkeypatch.setattr(pages, "FEW", few)
+        monkeypatch.setattr(pages, "CELLS", cells)
+        got, same = pages.matching(a, b)
+        assert got == size and [(id(p), id(q)) for p, q in same] == [(id(p), id(q)) for p, q in pairs]
+
+
+def test_every_child_of_a_long_list_takes_part():
+    """Children without text of their own, and those beyond the first 500, are mapped as well."""
+    row = lambda i, s: ("tr", "", [("td", f"{s} {i}", []), ("td", "same", []), ("td", "", [("b", f"{i}", [])])])
+    a, b = (("table", "", [row(i, s) for i in range(1200)]) for s in ("left", "right"))
+    size, pairs = pages.matching(a, b)
+    assert size == 1 + 1200 * (1 + 1 + 2 + 1 + 2) and len(pairs) == 1 + 1200 * 5
+    assert {id(p) for p, _ in pairs[1:]} >= {id(t) for t in a[2]}
+    leaves = [("p", f"{i}", []) for i in range(3000)]
+    assert len(pages.matching(("div", "", leaves), ("div", "", leaves[::1]))[1]) == 3001
+
+
+def test_template_in_a_long_page():
+    """Of 700 blocks every other is said by all pages of the host: all of these are template, wherever they stand."""
+    rng = random.Random(8)
+    made = ["<body><div>" + "".join(f"<p>rule {i}</p><p>{rng.random()}</p>" for i in range(700)) + "</div></body>" for _ in range(5)]
+    wrapper = pages.learn(made)
+    for page in made:
+        got = pages.extract(page, wrapper).splitlines()
+        assert len(got) == 700 and not any(x.startswith("rule") for x in got)
