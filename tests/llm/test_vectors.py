@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ebbtide.llm import vectors
 
@@ -83,3 +84,26 @@ def test_pairs_in_few_directions(spark, monkeypatch):
     side /= np.linalg.norm(side, axis=1, keepdims=True)
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, 0.955 * x + math.sqrt(1 - 0.955**2) * side]) @ plane.T)]
     assert result(spark, rows) == brute(rows)
+
+
+def test_what_is_stored_does_not_grow_with_visits(spark, monkeypatch):
+    """Vectors without clusters visit most cells; they are stored once in blocks, and nothing is shuffled to compare them."""
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    kept, stage = {}, vectors.stage
+    monkeypatch.setattr(vectors, "stage", lambda df, label: kept.setdefault(label, (df, stage(df, label)))[1])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x[:300] + rng.normal(size=(300, 16)) * 0.05]))]
+    assert result(spark, rows) == brute(rows)
+    blocks = kept["blocks"][1].collect()
+    assert sum(len(r["x"]) for r in blocks) == 1800 * 16 * 4 and len(blocks) > 3
+    assert max(len(r["seen"]) for r in blocks) > 10  # many cells, whose visitors are not copied
+    plan = kept["links"][0]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("hashes", [7, 1 << 40])
+def test_vectors_of_one_hash_are_told_apart(spark, monkeypatch, hashes):
+    monkeypatch.setattr(vectors, "_key", lambda v: F.pmod(F.xxhash64(v), F.lit(hashes)))
+    rows = [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0]), (5, [1.0, -0.0]), *[(10 + i, [math.cos(i), math.sin(i)]) for i in range(30)]]
+    assert result(spark, rows) == brute(rows)
